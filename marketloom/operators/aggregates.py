@@ -25,11 +25,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     names = list(probs)
     edges = [x for p in probs.values() for x in (max(0.0, p - slack), min(1.0, p + slack))]
     sketch = d.groupBy(*keys).agg(F.percentile_approx("_v", edges, accuracy).alias("_e"), F.count("*").alias("_n"))
+    small = F.col("_n") <= accuracy  # a small group is ranked whole; brackets only narrow large ones
     brackets = sketch.select(*keys, "_n", F.explode(F.array(*[
         F.struct(F.lit(name).alias("_q"),
                  # the ends of the range are exact min/max ranks, so open them fully
-                 (F.lit(float("-inf")) if probs[name] - slack <= 0 else F.col("_e")[2 * i]).alias("_lo"),
-                 (F.lit(float("inf")) if probs[name] + slack >= 1 else F.col("_e")[2 * i + 1]).alias("_hi"),
+                 F.when(small | F.lit(probs[name] - slack <= 0), float("-inf")).otherwise(F.col("_e")[2 * i]).alias("_lo"),
+                 F.when(small | F.lit(probs[name] + slack >= 1), float("inf")).otherwise(F.col("_e")[2 * i + 1]).alias("_hi"),
                  ((F.col("_n") - 1) * probs[name]).alias("_pos")) for i, name in enumerate(names)])).alias("b"))
     brackets = brackets.select(*keys, "_n", "b.*")
     counts = d.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
