@@ -116,9 +116,9 @@ def _find(qs: Column, end: Column, lo: int, hi: int, target: int | None) -> Colu
     """The quarter ending lo..hi days before ``end``: nearest to ``target``, else the newest."""
     near = F.filter(qs, lambda x: F.datediff(end, x["end"]).between(lo, hi))
     if target is None:
-        return near[0]
+        return F.get(near, F.lit(0))
     best = F.array_min(F.transform(near, lambda x: F.struct(F.abs(F.datediff(end, x["end"]) - target).alias("d"), x["end"].alias("end"))))
-    return F.filter(near, lambda x: x["end"] == best["end"])[0]
+    return F.get(F.filter(near, lambda x: x["end"] == best["end"]), F.lit(0))
 
 
 def trailing_four(panel: DataFrame, lead: str, metrics: list[str]) -> DataFrame:
@@ -129,8 +129,11 @@ def trailing_four(panel: DataFrame, lead: str, metrics: list[str]) -> DataFrame:
     complete = F.forall("q4", lambda x: _all([x[m].isNotNull() for m in metrics]))
     d = panel.withColumn("q4", F.when(whole, q4))
     d = d.withColumn("valid4", F.coalesce(F.when(F.col("q4").isNotNull(), gaps_ok & complete), F.lit(False)))
-    return d.withColumns({f"{m}_ttm": F.when(F.col("valid4"), F.aggregate("q4", F.lit(0.0), lambda a, x, m=m: a + x[m])) for m in metrics}
-                         | {"fin_period": F.col("qs")[0]["end"]}).drop("q4")
+
+    def total(m: str) -> Column:
+        return F.when(F.col("valid4"), F.aggregate("q4", F.lit(0.0), lambda acc, x: acc + x[m]))
+
+    return d.withColumns({f"{m}_ttm": total(m) for m in metrics} | {"fin_period": F.get("qs", F.lit(0))["end"]}).drop("q4")
 
 
 def _all(conds: list[Column]) -> Column:
@@ -143,7 +146,7 @@ def _all(conds: list[Column]) -> Column:
 def growth_state(panel: DataFrame) -> DataFrame:
     """Revenue YoY and its acceleration, gross margin with YoY, operating margin and FCF TTM per change point."""
     qs = F.col("qs")
-    d = panel.withColumns({"q0": qs[0]})
+    d = panel.withColumns({"q0": F.get(qs, F.lit(0))})
     d = d.withColumns({"y0": _find(qs, F.col("q0.end"), 350, 380, 365), "p0": _find(qs, F.col("q0.end"), 70, 110, None)})
     d = d.withColumn("py", _find(qs, F.col("p0.end"), 350, 380, 365))
 
@@ -245,7 +248,7 @@ def split_factor(points: DataFrame, splits: DataFrame, on: str, after: str, thro
         cond = cond & (F.col("s.split_date") <= F.col(f"p.{through}"))
     j = points.alias("p").join(s.alias("s"), cond, "left")
     return (j.groupBy(*[F.col(f"p.{c}") for c in points.columns])
-            .agg(F.coalesce(F.exp(F.sum(F.log("s.ratio"))), F.lit(1.0)).alias(out)))
+            .agg(F.coalesce(F.product("s.ratio"), F.lit(1.0)).alias(out)))
 
 
 def visible_shares(days: DataFrame, records: DataFrame, splits: DataFrame, max_age: int = 550) -> DataFrame:

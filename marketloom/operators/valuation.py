@@ -23,11 +23,11 @@ def ttm_eps(facts: DataFrame, history_days: int = 1300) -> DataFrame:
     e = F.struct(F.col("period_end").alias("end"), F.col("period_type").alias("type"), F.col("fiscal_period").alias("fp"), F.col("value").alias("v"))
     d = best.groupBy("ticker", "cp").agg(F.sort_array(F.collect_list(e), asc=False).alias("f"))
     d = d.withColumns({
-        "annual": F.filter("f", lambda x: x["type"] == "annual")[0],
+        "annual": F.get(F.filter("f", lambda x: x["type"] == "annual"), F.lit(0)),
         "interim": F.filter("f", lambda x: (x["type"] == "ytd") | ((x["type"] == "quarter") & (x["fp"] == "Q1"))),
         "quarters": F.slice(F.filter("f", lambda x: x["type"] == "quarter"), 1, 4)})
-    d = d.withColumn("current", F.filter("interim", lambda x: F.col("annual").isNull() | (x["end"] > F.col("annual.end")))[0])
-    d = d.withColumn("prior", F.filter("interim", lambda x: (x["fp"] == F.col("current.fp")) & F.datediff(F.col("current.end"), x["end"]).between(300, 430))[0])
+    d = d.withColumn("current", F.get(F.filter("interim", lambda x: F.col("annual").isNull() | (x["end"] > F.col("annual.end"))), F.lit(0)))
+    d = d.withColumn("prior", F.get(F.filter("interim", lambda x: (x["fp"] == F.col("current.fp")) & F.datediff(F.col("current.end"), x["end"]).between(300, 430)), F.lit(0)))
     continuous = (F.size("quarters") == 4) & F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: F.datediff(
         F.col("quarters")[i]["end"], F.col("quarters")[i + 1]["end"]).between(60, 130))
     four = F.aggregate("quarters", F.lit(0.0), lambda a, x: a + x["v"])

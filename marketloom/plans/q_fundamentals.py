@@ -173,7 +173,7 @@ def derived_liabilities(spark, d):
 _SH = """sr AS (SELECT ticker, period_end AS e, period_end + 40 AS known, 0 AS priority, CAST(n AS DOUBLE) * 1000 AS value FROM quarter_totals UNION ALL SELECT ticker, period_end, period_end + 90, 0, CAST(n AS DOUBLE) * 1000 + 7 FROM quarter_totals WHERE n % 2 = 0),
 sp AS (SELECT DISTINCT ticker, make_date(1998, 3, 2) AS d, 2e0 AS ratio FROM quarter_totals UNION ALL SELECT DISTINCT ticker, make_date(2000, 6, 1), 3e0 FROM quarter_totals),
 pick AS (SELECT b.ticker, b.trade_date, b.close, (SELECT arg_max(struct_pack(e := s.e, v := s.value), (s.e, -s.priority, s.known)) FROM sr s WHERE s.ticker = b.ticker AND s.known < b.trade_date) AS x FROM bars b),
-sh AS (SELECT ticker, trade_date, close, CASE WHEN trade_date - x.e <= 550 THEN x.v * coalesce((SELECT exp(sum(ln(ratio))) FROM sp WHERE sp.ticker = pick.ticker AND sp.d > x.e AND sp.d <= pick.trade_date), 1) END AS shares, x.e AS share_end FROM pick)"""
+sh AS (SELECT ticker, trade_date, close, CASE WHEN trade_date - x.e <= 550 THEN x.v * coalesce((SELECT product(ratio) FROM sp WHERE sp.ticker = pick.ticker AND sp.d > x.e AND sp.d <= pick.trade_date), 1) END AS shares, x.e AS share_end FROM pick)"""
 
 
 def shares(spark, d):
@@ -212,7 +212,7 @@ _PA = """l AS (SELECT ticker, period_end, max(value) FILTER (WHERE metric_key =
 
 
 @register("pit_16_period_analysis", S.sql("facts", f"""SELECT l.ticker, l.period_end, {r('l.rev / q.rev - 1', 6)} AS revenue_qoq, {r('l.rev / y.rev - 1', 6)} AS revenue_yoy, {r('l.gp / l.rev', 6)} AS gross_margin, {r('l.ocf - l.cx', 2)} AS free_cash_flow, {r('l.ocf / l.ni', 6)} AS cash_conversion
-  FROM l LEFT JOIN l q ON q.ticker = l.ticker AND l.period_end - q.period_end BETWEEN 70 AND 120 LEFT JOIN l y ON y.ticker = l.ticker AND l.period_end - y.period_end BETWEEN 360 AND 370""", _PA))
+  FROM l LEFT JOIN l q ON q.ticker = l.ticker AND l.period_end - q.period_end BETWEEN 70 AND 120 LEFT JOIN (SELECT a.ticker, a.period_end, arg_min(b.rev, abs(a.period_end - b.period_end - 365)) AS rev FROM l a JOIN l b ON a.ticker = b.ticker AND a.period_end - b.period_end BETWEEN 250 AND 470 GROUP BY 1, 2) y ON y.ticker = l.ticker AND y.period_end = l.period_end""", _PA))
 def period_analysis(spark, d):
     f = O.annual_series(V.facts(spark, d))
     p = O.period_analysis(f.groupBy("ticker", "period_end").pivot("metric_key", FLOWS).agg(F.max("value")))
