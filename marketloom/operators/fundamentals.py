@@ -41,6 +41,9 @@ def with_known_day(facts: DataFrame, filings: DataFrame | None = None) -> DataFr
 
 def first_usable_session(facts: DataFrame, calendar: DataFrame, delay: int = 0) -> DataFrame:
     """Add ``usable_from``: the first session strictly after the known day, plus ``delay`` sessions."""
+    if delay == 0:
+        nxt = calendar.select(F.col("day").alias("known"), F.col("next_session").alias("usable_from"))
+        return facts.join(F.broadcast(nxt), "known").where("usable_from IS NOT NULL")
     at = calendar.select(F.col("day").alias("known"), (F.col("session_no") + 1 + delay).alias("_no"))
     to = calendar.where("is_session").select(F.col("session_no").alias("_no"), F.col("day").alias("usable_from"))
     return facts.join(F.broadcast(at), "known").join(F.broadcast(to), "_no").drop("_no")
@@ -65,32 +68,37 @@ def quarter_values(v: DataFrame) -> DataFrame:
 
     Both inputs of a difference carry validity intervals, so the difference is valid on their
     intersection; until the earlier cumulative is visible the derived quarter is null, never an
-    older quarter.
+    older quarter.  One self-join on (ticker, metric, period start) does it; direct quarters ride
+    along unmatched.
     """
-    days = F.datediff("period_end", "period_start") + 1
-    direct = v.where(days.between(*QUARTER_DAYS)).withColumn("derived", F.lit(False))
-    first_direct = direct.groupBy("ticker", "metric_key", "period_end").agg(F.min("valid_from").alias("_direct_from"))
-    cum = v.where(days > QUARTER_DAYS[1]).alias("c")
-    prev = v.select(F.col("ticker").alias("t"), F.col("metric_key").alias("m"), F.col("period_start").alias("s"), F.col("period_end").alias("pe"),
-                    F.col("valid_from").alias("pf"), F.col("valid_to").alias("pt"), F.col("value").alias("pv")).alias("p")
-    same = (F.col("c.ticker") == F.col("t")) & (F.col("c.metric_key") == F.col("m")) & (F.col("c.period_start") == F.col("s"))
-    gap = F.datediff("c.period_end", "pe").between(*QUARTER_DAYS)
-    end_of = lambda a, b: F.least(a, b)  # least() skips nulls: an open end never wins
-    j = cum.join(prev, same & gap, "left")
-    overlap = j.where(F.col("pf").isNotNull() & (F.coalesce(F.col("valid_to"), F.lit("9999-12-31").cast("date")) > F.col("pf"))
-                      & (F.coalesce(F.col("pt"), F.lit("9999-12-31").cast("date")) > F.col("valid_from")))
-    diff = overlap.select("c.ticker", "c.metric_key", F.date_add("pe", 1).alias("period_start"), "c.period_end",
-                          F.greatest("valid_from", "pf").alias("valid_from"), end_of(F.col("valid_to"), F.col("pt")).alias("valid_to"),
-                          "known", (F.col("value") - F.col("pv")).alias("value"), "conflict", F.lit(True).alias("derived"))
-    gaps = (j.groupBy("c.ticker", "c.metric_key", "c.period_start", "c.period_end", "valid_from", "valid_to", "known", "conflict")
-            .agg(F.min("pf").alias("_first"))
-            .where(F.col("_first").isNull() | (F.col("_first") > F.col("valid_from")))
-            .select("ticker", "metric_key", "period_start", "period_end", "valid_from", end_of(F.col("valid_to"), F.col("_first")).alias("valid_to"),
-                    "known", F.lit(None).cast("double").alias("value"), "conflict", F.lit(True).alias("derived")))
-    derived = diff.unionByName(gaps).join(first_direct, ["ticker", "metric_key", "period_end"], "left")
-    derived = derived.where(F.col("_direct_from").isNull() | (F.col("valid_from") < F.col("_direct_from"))).withColumn(
-        "valid_to", end_of(F.col("valid_to"), F.col("_direct_from"))).drop("_direct_from")
-    return direct.unionByName(derived)
+    key = ["ticker", "metric_key", "period_end"]
+    span = F.datediff("period_end", "period_start") + 1
+    direct, cumulative = span.between(*QUARTER_DAYS), span > QUARTER_DAYS[1]
+    seen = Window.partitionBy(*key)
+    c = v.where(direct | cumulative).withColumns({
+        "_cum": cumulative, "_direct_from": F.min(F.when(direct, F.col("valid_from"))).over(seen)})
+    prev = v.select(F.col("ticker").alias("_t"), F.col("metric_key").alias("_m"), F.col("period_start").alias("_s"), F.col("period_end").alias("_pe"),
+                    F.col("valid_from").alias("_pf"), F.col("valid_to").alias("_pt"), F.col("value").alias("_pv"))
+    j = c.join(prev, (F.col("ticker") == F.col("_t")) & (F.col("metric_key") == F.col("_m")) & (F.col("period_start") == F.col("_s"))
+               & F.col("_cum") & F.datediff("period_end", "_pe").between(*QUARTER_DAYS), "left")
+    version = Window.partitionBy(*key, "period_start", "valid_from")
+    j = j.withColumn("_first", F.min("_pf").over(version))
+    open_end = F.lit("9999-12-31").cast("date")
+    overlap = (F.coalesce("valid_to", open_end) > F.col("_pf")) & (F.coalesce("_pt", open_end) > F.col("valid_from"))
+    waiting = F.col("_first").isNull() | ((F.col("_pf") == F.col("_first")) & (F.col("_first") > F.col("valid_from")))
+
+    def row(start: Column, frm: Column, to: Column, value: Column) -> Column:
+        return F.struct(start.alias("period_start"), frm.alias("valid_from"), to.alias("valid_to"), value.alias("value"), F.col("_cum").alias("derived"))
+
+    # least() skips nulls, so an open end never wins
+    rows = F.array_compact(F.array(
+        F.when(~F.col("_cum"), row(F.col("period_start"), F.col("valid_from"), F.col("valid_to"), F.col("value"))),
+        F.when(F.col("_cum") & overlap, row(F.date_add("_pe", 1), F.greatest("valid_from", "_pf"), F.least("valid_to", "_pt"), F.col("value") - F.col("_pv"))),
+        F.when(F.col("_cum") & waiting, row(F.col("period_start"), F.col("valid_from"), F.least("valid_to", "_first"), F.lit(None).cast("double")))))
+    q = j.select(*key, "known", "conflict", "_direct_from", F.explode(rows).alias("r")).select(*key, "known", "conflict", "_direct_from", "r.*")
+    late = F.col("derived") & (F.col("valid_from") >= F.col("_direct_from"))
+    return q.where(~F.coalesce(late, F.lit(False))).withColumn(
+        "valid_to", F.when(F.col("derived"), F.least("valid_to", "_direct_from")).otherwise(F.col("valid_to"))).drop("_direct_from")
 
 
 def change_points(q: DataFrame, lead_metric: str, metrics: list[str], history_days: int = 900) -> DataFrame:
