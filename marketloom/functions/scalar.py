@@ -17,7 +17,10 @@ def rnd(c: Column | str, digits: int = 4) -> Column:
     between engines; the floor form does not.
     """
     f = float(10**digits)
-    return F.floor((col(c) + F.lit(EPSILON)) * F.lit(f) + F.lit(0.5)).cast("double") / F.lit(f)
+    x = col(c)
+    scaled = (x + F.lit(EPSILON)) * F.lit(f) + F.lit(0.5)
+    # floor() is a 64-bit integer; beyond 2**53 a double has no decimals left to round
+    return F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double") / F.lit(f)).otherwise(x)
 
 
 def clamp(c: Column | str, lo: float, hi: float) -> Column:
