@@ -202,11 +202,12 @@ def balance_vintages(facts: DataFrame) -> DataFrame:
 def quality_ratios(ttm: DataFrame, balance: DataFrame) -> DataFrame:
     """Net margin, cash-flow margin and -liabilities/assets at the newest period, per change point."""
     b = balance.where(F.col("metric_key").isin("assets", "liabilities"))
-    vis = ttm.alias("x").join(b.alias("b"), (F.col("x.ticker") == F.col("b.ticker")) & (F.col("b.period_end") == F.col("x.fin_period"))
-                              & (F.col("b.valid_from") <= F.col("x.cp")) & (F.col("b.valid_to").isNull() | (F.col("b.valid_to") > F.col("x.cp"))), "left")
-    g = vis.groupBy("x.ticker", "x.cp").agg(F.max(F.when(F.col("metric_key") == "assets", F.col("b.value"))).alias("assets"),
-                                            F.max(F.when(F.col("metric_key") == "liabilities", F.col("b.value"))).alias("liabilities"))
-    d = ttm.join(g, ["ticker", "cp"])
+    x = ttm.drop("qs")
+    vis = x.alias("x").join(b.alias("b"), (F.col("x.ticker") == F.col("b.ticker")) & (F.col("b.period_end") == F.col("x.fin_period"))
+                            & (F.col("b.valid_from") <= F.col("x.cp")) & (F.col("b.valid_to").isNull() | (F.col("b.valid_to") > F.col("x.cp"))), "left")
+    d = vis.groupBy(*[F.col(f"x.{c}") for c in x.columns]).agg(
+        F.max(F.when(F.col("metric_key") == "assets", F.col("b.value"))).alias("assets"),
+        F.max(F.when(F.col("metric_key") == "liabilities", F.col("b.value"))).alias("liabilities"))
     ok = F.col("valid4") & (F.col("revenue_ttm") > 0) & (F.col("assets") > 0) & (F.col("liabilities") >= 0)
     return d.withColumns({"net_margin_ttm": F.when(ok, F.col("netIncome_ttm") / F.col("revenue_ttm")),
                           "ocf_margin_ttm": F.when(ok, F.col("operatingCashFlow_ttm") / F.col("revenue_ttm")),

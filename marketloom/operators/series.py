@@ -129,12 +129,16 @@ def streak(flag: Column, w: WindowSpec) -> Column:
 
 
 def average_tie_rank(value: str | Column, partition: list[str | Column]) -> Column:
-    """Percentile rank in (0, 1] with average ties, over the non-null values of a cross-section."""
+    """Percentile rank in (0, 1] with average ties, over the non-null values of a cross-section.
+
+    Average rank = (first rank + last rank of the tie) / 2; both come from one ordered window, so
+    several ranks of a cross-section share the exchange on ``partition``.
+    """
     v = col(value)
-    below = F.rank().over(Window.partitionBy(*partition, v.isNull()).orderBy(v))
-    ties = F.count(v).over(Window.partitionBy(*partition, v))
-    n = F.count(v).over(Window.partitionBy(*partition))
-    return F.when(v.isNotNull(), (below + (ties - 1) / 2) / n)
+    whole = Window.partitionBy(*partition)
+    w = whole.orderBy(v.asc_nulls_last())
+    last_rank = F.round(F.cume_dist().over(w) * F.count(F.lit(1)).over(whole))
+    return F.when(v.isNotNull(), (F.rank().over(w) + last_rank) / 2 / F.count(v).over(whole))
 
 
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
