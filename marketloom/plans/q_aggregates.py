@@ -3,6 +3,7 @@ from pyspark.sql import Window, functions as F
 
 from marketloom.functions.scalar import rnd
 from marketloom.operators import aggregates as A, series as O
+from marketloom.operators.portfolio import signed_quantity
 from marketloom.plans import sqlviews as S
 from marketloom.plans.registry import register
 from marketloom.sources import views as V
@@ -43,12 +44,11 @@ def distinct_count(spark, d):
 
 
 _POS = "sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END)"
-SIGNED = F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity"))
 
 
 @register("agg_04_having_position", S.sql("trades", f"SELECT ticker, {_POS} AS position FROM trades GROUP BY 1 HAVING {_POS} > 100"))
 def having(spark, d):
-    return V.trades(spark, d).groupBy("ticker").agg(F.sum(SIGNED).alias("position")).where("position > 100")
+    return V.trades(spark, d).groupBy("ticker").agg(F.sum(signed_quantity()).alias("position")).where("position > 100")
 
 
 @register("agg_05_distinct_list", S.sql("articles", "SELECT ticker, string_agg(publisher, ',' ORDER BY publisher) AS publishers FROM (SELECT DISTINCT ticker, publisher FROM articles) GROUP BY 1"))
