@@ -42,6 +42,19 @@ IMPACT_RULES = [  # (severity, category, direction, pattern)
 ]
 
 
+# Literals of which a text must contain at least one (lower-cased) before a rule's pattern is tried.
+NEEDLES = {
+    "BANKRUPTCY": ["bankrupt", "chapter", "insolven", "receivership"], "DELISTING": ["delist", "listing deficiency", "noncompliance notice"],
+    "DEFAULT": ["default", "covenant breach"], "FRAUD": ["fraud", "accounting irregularit", "no longer be relied", "restatement"],
+    "ENFORCEMENT": ["investigation", "indict"], "BUYBACK_STOP": ["repurchase", "buyback"], "CUSTOMER_LOSS": ["customer", "contract termination", "supply agreement"],
+    "REGULATORY": ["regulatory", "antitrust probe", "subpoena"], "SANCTIONS": ["sanction", "export", "entity list"], "CYBER": ["cyber", "data breach", "ransomware"],
+    "RECALL": ["recall"], "LITIGATION": ["lawsuit"], "GUIDANCE": ["profit warning", "guidance", "outlook"], "LAYOFF": ["layoff", "workforce reduction", "restructuring charge"],
+    "CAPACITY_CUT": ["production", "output", "capacity", "plant", "factory", "fab"], "BUYBACK_AUTHORIZATION": ["repurchase", "buyback"], "BUYBACK_ACTIVITY": ["share", "common stock"],
+    "CAPACITY_EXPANSION": ["capacity", "plant", "factory", "fab", "production"], "CAPACITY_REDUCTION": ["capacity", "production", "output", "plant", "factory", "fab", "expansion"],
+    "MAJOR_INVESTMENT": ["million", "billion", "bn", "mn"], "SUPPLY_AGREEMENT": ["supply agreement", "contract", "strategic customer", "design win", "purchase commitment"],
+    "INDUSTRY_PRICING": ["price", "pricing", "supply", "inventory", "demand"]}
+
+
 def normalize_ticker(c: Column | str) -> Column:
     t = F.upper(F.trim(col(c)))
     return F.when(t.rlike(r"^[A-Z][A-Z0-9.\-]{0,14}$"), t)
@@ -94,12 +107,16 @@ def words(c: Column | str) -> Column:
 
 
 def text_sentiment(c: Column | str) -> Column:
-    """(positive - negative) / max(2, hits) over lexicon words, within -1..1; 0 without hits."""
-    w = words(c)
-    pos = F.size(F.filter(w, lambda x: x.isin(*POSITIVE)))
-    neg = F.size(F.filter(w, lambda x: x.isin(*NEGATIVE)))
-    score = (pos - neg) / F.greatest(F.lit(2), pos + neg)
-    return F.when(pos + neg == 0, 0.0).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score)))
+    """(positive - negative) / max(2, hits) over lexicon words, within -1..1; 0 without hits.
+
+    One fold over the words counts both lexicons, so the text is scanned once.
+    """
+    one = lambda hit: F.when(hit, 1).otherwise(0)
+    zero = F.struct(F.lit(0).alias("p"), F.lit(0).alias("n"))
+    step = lambda a, w: F.struct((a["p"] + one(w.isin(*POSITIVE))).alias("p"), (a["n"] + one(w.isin(*NEGATIVE))).alias("n"))
+    finish = lambda a: F.when(a["p"] + a["n"] == 0, 0.0).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (a["p"] - a["n"]) / F.greatest(F.lit(2), a["p"] + a["n"]))))
+    return F.aggregate(words(c), zero, step, finish)
 
 
 def sentiment_label(c: Column | str) -> Column:
@@ -120,36 +137,60 @@ def relevance(text: Column | str, ticker: Column | str, name: Column | str) -> C
             .when(F.regexp_like(t, F.concat(F.lit(r"\b"), k, F.lit(r"\b"))), 0.72).otherwise(0.0))
 
 
-def first_rule(text: Column | str, rules: list[tuple], guard=lambda rule: None) -> Column:
-    """The first matching rule as (severity, category, term[, direction])."""
+def first_rule(text: Column | str, rules: list[tuple], guards: list[Column | None] | None = None) -> Column:
+    """Position of the first matching rule (0-based), null if none; patterns are tried in order."""
     t = col(text)
-    out = []
-    for rule in rules:
-        pattern = "(?i)" + rule[-1]
-        hit = t.rlike(pattern)
-        extra = guard(rule)
-        fields = [F.lit(rule[0]).alias("severity"), F.lit(rule[1]).alias("category"),
-                  (F.lit(rule[2]) if len(rule) == 4 else F.lit(None).cast("string")).alias("direction"), F.regexp_extract(t, pattern, 0).alias("term")]
-        out.append(F.when(hit if extra is None else hit & extra, F.struct(*fields)))
-    return F.coalesce(*out)
+
+    def tried(low: Column) -> Column:
+        arms = []
+        for i, rule in enumerate(rules):
+            hit = F.contains(low, F.lit(NEEDLES[rule[1]][0]))
+            for needle in NEEDLES[rule[1]][1:]:
+                hit = hit | F.contains(low, F.lit(needle))
+            hit = hit & t.rlike("(?i)" + rule[-1])
+            guard = guards[i] if guards else None
+            arms.append(F.when(hit if guard is None else guard & hit, F.lit(i)))
+        return F.coalesce(*arms)
+
+    return _bound(F.lower(t), tried)
+
+
+def _bound(value: Column, use) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` as a lambda variable."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _pick(rules: list[tuple], i: Column, field: int) -> Column:
+    return F.get(F.array(*[F.lit(rule[field]) for rule in rules]), i)
+
+
+def _term(text: Column | str, rules: list[tuple], i: Column) -> Column:
+    return F.coalesce(*[F.when(i == k, F.regexp_extract(col(text), "(?i)" + rule[-1], 0)) for k, rule in enumerate(rules)])
 
 
 def classify_risk(text: Column | str, sentiment: Column | str, rel: Column | str, kind: Column | str) -> Column:
     """News risk: severe rules need a sentiment that is not positive; discussions are downgraded."""
     s, r = col(sentiment), col(rel)
     low = s.isNull() | (s <= 0.05)
-    hit = first_rule(text, RISK_RULES, lambda rule: low if rule[0] == "P1" else None)
-    social = (col(kind) == "DISCUSSION") & (hit["severity"] == "P1")
-    fallback = F.when((s <= -0.5) & (r >= 0.7), F.struct(F.lit("P2").alias("severity"), F.lit("NEGATIVE_SENTIMENT").alias("category"), F.lit(None).cast("string").alias("term")))
-    ranked = F.when(hit.isNotNull(), F.struct(F.when(social, "P2").otherwise(hit["severity"]).alias("severity"),
-                                              F.when(social, F.concat(F.lit("SOCIAL_"), hit["category"])).otherwise(hit["category"]).alias("category"), hit["term"].alias("term")))
-    return F.when(r >= 0.35, F.coalesce(ranked, fallback))
+    first = first_rule(text, RISK_RULES, [low if rule[0] == "P1" else None for rule in RISK_RULES])
+
+    def build(i: Column) -> Column:
+        sev, cat = _pick(RISK_RULES, i, 0), _pick(RISK_RULES, i, 1)
+        social = (col(kind) == "DISCUSSION") & (sev == "P1")
+        return (F.when(i.isNotNull(), F.struct(F.when(social, "P2").otherwise(sev).alias("severity"),
+                                               F.when(social, F.concat(F.lit("SOCIAL_"), cat)).otherwise(cat).alias("category"), _term(text, RISK_RULES, i).alias("term")))
+                .when((s <= -0.5) & (r >= 0.7), F.struct(F.lit("P2").alias("severity"), F.lit("NEGATIVE_SENTIMENT").alias("category"), F.lit(None).cast("string").alias("term"))))
+
+    return F.when(r >= 0.35, _bound(first, build))
 
 
 def classify_impact(text: Column | str, rel: Column | str, kind: Column | str) -> Column:
-    hit = first_rule(text, IMPACT_RULES)
-    sev = F.when((col(kind) == "DISCUSSION") & (hit["severity"] == "P2"), "P3").otherwise(hit["severity"])
-    return F.when((col(rel) >= 0.4) & hit.isNotNull(), F.struct(sev.alias("severity"), hit["category"].alias("category"), hit["direction"].alias("direction"), hit["term"].alias("term")))
+    def build(i: Column) -> Column:
+        sev = _pick(IMPACT_RULES, i, 0)
+        down = F.when((col(kind) == "DISCUSSION") & (sev == "P2"), "P3").otherwise(sev)
+        return F.when(i.isNotNull(), F.struct(down.alias("severity"), _pick(IMPACT_RULES, i, 1).alias("category"), _pick(IMPACT_RULES, i, 2).alias("direction"), _term(text, IMPACT_RULES, i).alias("term")))
+
+    return F.when(col(rel) >= 0.4, _bound(first_rule(text, IMPACT_RULES), build))
 
 
 def decode_entities(c: Column | str) -> Column:

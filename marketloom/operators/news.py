@@ -68,10 +68,12 @@ def sentiment_summary(articles: DataFrame, as_of: Column) -> DataFrame:
 def news_events(articles: DataFrame, risk: str = "risk", impact: str = "impact") -> DataFrame:
     """Event rows with stable keys from classified articles."""
     base = ["article_id", "ticker", "published_on"]
-    r = articles.where(F.col(risk).isNotNull()).select(*base, F.lit("NEWS_RISK").alias("source_type"), F.col(f"{risk}.severity").alias("severity"), F.col(f"{risk}.category").alias("category"),
-                                                       F.concat_ws(":", F.lit("NEWS_RISK"), F.col("article_id").cast("string"), "ticker").alias("event_key"))
-    i = articles.where(F.col(impact).isNotNull()).select(*base, F.lit("NEWS_IMPACT").alias("source_type"), F.col(f"{impact}.severity").alias("severity"), F.col(f"{impact}.category").alias("category"),
-                                                         F.concat_ws(":", F.lit("NEWS_IMPACT"), F.col("article_id").cast("string"), "ticker", F.col(f"{impact}.category")).alias("event_key"))
+    # explode of a compacted one-element array evaluates the classification once and drops nulls
+    one = lambda c: articles.select(*base, F.explode(F.array_compact(F.array(F.col(c)))).alias("x"))
+    r = one(risk).select(*base, F.lit("NEWS_RISK").alias("source_type"), "x.severity", "x.category",
+                         F.concat_ws(":", F.lit("NEWS_RISK"), F.col("article_id").cast("string"), "ticker").alias("event_key"))
+    i = one(impact).select(*base, F.lit("NEWS_IMPACT").alias("source_type"), "x.severity", "x.category",
+                           F.concat_ws(":", F.lit("NEWS_IMPACT"), F.col("article_id").cast("string"), "ticker", "x.category").alias("event_key"))
     return r.unionByName(i)
 
 

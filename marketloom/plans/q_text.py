@@ -100,12 +100,13 @@ def sentiment(spark, d):
 
 @register("news_03_risk", "WITH " + CLS + " SELECT article_id, split_part(risk, ':', 1) AS severity, split_part(risk, ':', 2) AS category FROM cls WHERE risk IS NOT NULL")
 def risk(spark, d):
-    return classified(spark, d).where("risk IS NOT NULL").select("article_id", "risk.severity", "risk.category")
+    return N.news_events(classified(spark, d)).where("source_type = 'NEWS_RISK'").select("article_id", "severity", "category")
 
 
 @register("news_04_impact", "WITH " + CLS + " SELECT article_id, split_part(impact, ':', 1) AS severity, split_part(impact, ':', 2) AS category, split_part(impact, ':', 3) AS direction FROM cls WHERE impact IS NOT NULL")
 def impact(spark, d):
-    return classified(spark, d).where("impact IS NOT NULL").select("article_id", "impact.severity", "impact.category", "impact.direction")
+    one = F.explode(F.array_compact(F.array("impact"))).alias("x")  # evaluated once, nulls dropped
+    return classified(spark, d).select("article_id", one).select("article_id", "x.severity", "x.category", "x.direction")
 
 
 @register("news_07_event_rows", "WITH " + CLS + " SELECT article_id, ticker, 'NEWS_RISK:' || article_id || ':' || ticker AS event_key, split_part(risk, ':', 1) AS severity FROM cls WHERE risk IS NOT NULL UNION ALL SELECT article_id, ticker, 'NEWS_IMPACT:' || article_id || ':' || ticker || ':' || split_part(impact, ':', 2), split_part(impact, ':', 1) FROM cls WHERE impact IS NOT NULL")
