@@ -164,3 +164,32 @@ def ridge_model(samples: DataFrame, features: list[str], label: str, lam: float
     vec = VectorAssembler(inputCols=features, outputCol="x").transform(filled)
     return LinearRegression(featuresCol="x", labelCol="label", elasticNetParam=0.0, standardization=True, solver="l-bfgs", tol=1e-12, maxIter=500,
                             regParam=lam * s["sd"] / s["n"]).fit(vec)
+
+
+def fixed_target_comparisons(pred: DataFrame, target: str = "target_date", window_days: int = 7) -> DataFrame:
+    """For each ticker and anchor horizon (21, 63): the predictions of the same and longer horizons whose
+    target is nearest to the anchor's latest target, and how the median target moved."""
+    from marketloom.operators.asof import nearest_by_day
+    known = pred.where(F.col(target).isNotNull())
+    latest = known.where("horizon IN (21, 63)").groupBy("ticker", F.col("horizon").alias("anchor_horizon")).agg(
+        F.max("trade_date").alias("anchor_as_of"), F.max_by(target, "trade_date").alias("anchor_target"))
+    hs = F.filter(F.array(*[F.lit(h) for h in HORIZONS]), lambda h: h >= F.col("anchor_horizon"))
+    a = latest.withColumn("horizon", F.explode(hs))
+    c = known.select("ticker", "horizon", target, "trade_date", *[(F.col("close") * (1 + F.col(f"return_{p}"))).alias(f"target_{p}") for p in ("p10", "p50", "p90")])
+    p = nearest_by_day(a, c, ["ticker", "horizon"], "anchor_target", target, window_days, "trade_date", ["trade_date", "target_p10", "target_p50", "target_p90"], not_after="anchor_as_of")
+    g = p.groupBy("ticker", "anchor_horizon", "anchor_target").agg(
+        F.count("*").alias("points"), F.max_by("near_target_p50", "horizon").alias("_old"), F.min_by("near_target_p50", "horizon").alias("_new"),
+        F.max("near_target_p10").alias("_lo"), F.min("near_target_p90").alias("_hi"), F.max("near_target_p50").alias("_mx"), F.min("near_target_p50").alias("_mn"), F.avg("near_target_p50").alias("_avg"))
+    move = F.col("_new") / F.col("_old") - 1
+    return g.where("points >= 2").select("ticker", "anchor_horizon", "anchor_target", "points", rnd(move, 6).alias("target_change_pct"),
+                                         F.when(move > 0.01, "UPGRADED").when(move < -0.01, "DOWNGRADED").otherwise("STABLE").alias("revision"),
+                                         rnd((F.col("_mx") - F.col("_mn")) / F.abs("_avg"), 6).alias("target_spread_pct"), (F.col("_lo") <= F.col("_hi")).alias("intervals_overlap"))
+
+
+def input_changes(features: DataFrame, inputs: list[str], keys: list[str], order: str) -> DataFrame:
+    """One row per numeric input that changed against the previous snapshot of its key."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = F.array(*[F.struct(F.lit(c).alias("input"), F.lag(c).over(w).alias("previous"), F.col(c).alias("current")) for c in inputs])
+    d = features.withColumn("_i", rows).select(*keys, order, F.row_number().over(w).alias("_n"), F.explode("_i").alias("x")).select(*keys, order, "_n", "x.*")
+    changed = ~F.col("previous").eqNullSafe(F.col("current")) & ~F.coalesce(F.abs(F.col("current") - F.col("previous")) <= 1e-10, F.lit(False))
+    return d.where((F.col("_n") > 1) & changed).drop("_n").withColumn("delta", rnd(F.col("current") - F.col("previous"), 8))
