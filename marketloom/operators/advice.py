@@ -98,8 +98,8 @@ def update_relations(current: DataFrame, chosen: DataFrame, as_of: Column) -> Da
 
 def assign_concepts(securities: DataFrame, specific: DataFrame, generic: DataFrame, industry: str) -> DataFrame:
     """Specific concepts of a ticker where they exist, else the generic ones of its industry."""
-    s = securities.join(F.broadcast(specific), "ticker").select("ticker", "concept", F.lit("SPECIFIC").alias("source"))
-    g = securities.join(specific.select("ticker"), "ticker", "left_anti").join(F.broadcast(generic), industry).select("ticker", "concept", F.lit("GENERIC").alias("source"))
+    s = securities.join(specific, "ticker").select("ticker", "concept", F.lit("SPECIFIC").alias("source"))
+    g = securities.join(specific.select("ticker"), "ticker", "left_anti").join(generic, industry).select("ticker", "concept", F.lit("GENERIC").alias("source"))
     return s.unionByName(g)
 
 

@@ -156,7 +156,7 @@ def split_events(payloads: DataFrame, exceptions: DataFrame) -> DataFrame:
     d = payloads.select("ticker", F.explode(F.map_values(F.from_json("payload", s)["chart"]["result"][0]["events"]["splits"])).alias("e"))
     d = d.select("ticker", D.eastern_date(F.timestamp_seconds("e.date")).alias("split_date"), (F.col("e.numerator") / F.col("e.denominator")).alias("ratio"))
     x = exceptions.select("ticker", "split_date").withColumn("_x", F.lit(True))
-    return d.join(F.broadcast(x), ["ticker", "split_date"], "left").withColumn("genuine", F.col("_x").isNull()).drop("_x")
+    return d.join(x, ["ticker", "split_date"], "left").withColumn("genuine", F.col("_x").isNull()).drop("_x")
 
 
 def merge_by_fetch(stored: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame:

@@ -22,7 +22,7 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys:
     try:
         existing = spark.read.schema(incoming.schema).parquet(path)
         touched = incoming.select(partition).distinct()
-        merged = upserted(existing.join(F.broadcast(touched), partition, "left_semi"), incoming, keys)
+        merged = upserted(existing.join(touched, partition, "left_semi"), incoming, keys)
     except Exception as e:  # first write of the table
         if "PATH_NOT_FOUND" not in str(e):
             raise
