@@ -122,3 +122,50 @@ def numbered_evidence(filings: DataFrame, events: DataFrame, per: str) -> DataFr
     u = filings.select(*cols).unionByName(events.select(*cols))
     w = Window.partitionBy(per, "day").orderBy("kind", "ref")
     return u.withColumn("evidence_id", F.format_string("E%s-%03d", F.date_format("day", "yyyyMMdd"), F.row_number().over(w)))
+
+
+# Event-type pattern -> (exposure, affected variable), template patterns.
+CHAINS = [("BUYBACK", "SHARE_COUNT", "EPS_AND_VALUATION"), ("CAPACITY|PRODUCTION", "CAPACITY_AND_UNIT_COST", "REVENUE_MARGIN_CAPEX"), ("INVESTMENT|CAPEX", "CAPEX_AND_CASH", "DEPRECIATION_AND_FCF"),
+          ("SUPPLY|CUSTOMER|CONTRACT", "ORDERS_AND_CUSTOMERS", "VOLUME_PRICE_REVENUE"), ("GUIDANCE|EARNINGS", "GUIDANCE_AND_EXPECTATIONS", "EPS_ESTIMATES"), ("RATE|TREASURY|FED", "RISK_FREE_RATE", "MULTIPLE_AND_FINANCING")]
+TEMPLATES = [("semiconductor|memory|storage", "SEMICONDUCTOR_CYCLE"), ("technology|software|communications|electronic|computer", "TECHNOLOGY_COMPETITION")]
+
+
+def thesis_direction(explicit: Column, source_type: Column, event_type: Column, severity: Column) -> Column:
+    """The tagged direction, else negative for risk types and severe events, else mixed."""
+    kind = F.upper(F.concat_ws(" ", source_type, event_type))
+    return (F.when(explicit.isin("POSITIVE", "NEGATIVE", "MIXED"), explicit)
+            .when(kind.rlike("NEWS_RISK|CUSTOMER_LOSS|GUIDANCE_CUT|CAPACITY_CUT|BUYBACK_STOP") | severity.isin("P0", "P1"), "NEGATIVE").otherwise("MIXED"))
+
+
+def transmission(event_type: Column, title: Column) -> Column:
+    """(exposure, variable) an event acts through, by the first matching pattern."""
+    t = F.upper(F.concat_ws(" ", event_type, title))
+    pair = lambda a, b: F.struct(F.lit(a).alias("exposure"), F.lit(b).alias("variable"))
+    return F.coalesce(*[F.when(t.rlike(p), pair(a, b)) for p, a, b in CHAINS], pair("OTHER", "RESULTS_OR_ASSUMPTIONS"))
+
+
+def template_of(*texts: Column) -> Column:
+    """Analysis template by the company's sector, industry and description text."""
+    t = F.lower(F.concat_ws(" ", *texts))
+    return F.coalesce(*[F.when(t.rlike(p), F.lit(k)) for p, k in TEMPLATES], F.lit("GENERAL_FINANCIAL"))
+
+
+def report_sections(row: DataFrame, keys: list[str], sections: list[str]) -> DataFrame:
+    """One row per report section with its availability."""
+    s = F.array(*[F.struct(F.lit(i + 1).alias("section_no"), F.lit(c).alias("section"), F.when(F.col(c).isNull(), "UNAVAILABLE").otherwise("AVAILABLE").alias("status")) for i, c in enumerate(sections)])
+    return row.select(*keys, F.explode(s).alias("s")).select(*keys, "s.*")
+
+
+def expectation_fields(valuations: DataFrame) -> DataFrame:
+    """Expectation fields of a report: what is not known is stated, never filled."""
+    known = lambda c: F.when(F.col(c).isNull(), "UNAVAILABLE").otherwise("AVAILABLE")
+    return valuations.withColumns({"ntm_eps_status": known("eps_value"), "actual_vs_consensus": F.lit("UNAVAILABLE"), "company_guidance": F.lit("UNAVAILABLE"), "revenue_consensus": F.lit("UNAVAILABLE")})
+
+
+def driver_view(concepts: DataFrame, actions: DataFrame, events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """External drivers per ticker: concepts, latest corporate action and the window's driver events."""
+    e = events.where(F.col("event_date").between(F.date_sub(as_of, days), as_of)).groupBy("ticker").agg(
+        F.count("*").alias("driver_events"), F.count_if(F.col("severity").isin("P0", "P1")).alias("severe_events"))
+    c = concepts.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("concept")), ",").alias("concepts"))
+    a = actions.groupBy("ticker").agg(F.max("period_end").alias("action_period"), F.max_by("change_pct", "period_end").alias("action_change"))
+    return c.join(a, "ticker", "full_outer").join(e, "ticker", "full_outer").fillna(0, ["driver_events", "severe_events"])

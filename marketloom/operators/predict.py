@@ -193,3 +193,19 @@ def input_changes(features: DataFrame, inputs: list[str], keys: list[str], order
     d = features.withColumn("_i", rows).select(*keys, order, F.row_number().over(w).alias("_n"), F.explode("_i").alias("x")).select(*keys, order, "_n", "x.*")
     changed = ~F.col("previous").eqNullSafe(F.col("current")) & ~F.coalesce(F.abs(F.col("current") - F.col("previous")) <= 1e-10, F.lit(False))
     return d.where((F.col("_n") > 1) & changed).drop("_n").withColumn("delta", rnd(F.col("current") - F.col("previous"), 8))
+
+
+def residual_intervals(scored: DataFrame, expected: str, actual: str, keys: list[str]) -> DataFrame:
+    """Residual quantiles and deviation per key (one row per session, so the exact percentile is small)."""
+    r = F.col(actual) - F.col(expected)
+    return scored.where(F.col(actual).isNotNull()).groupBy(*keys).agg(
+        F.percentile(r, 0.1).alias("residual_p10"), F.percentile(r, 0.9).alias("residual_p90"), F.stddev_samp(r).alias("residual_sd"))
+
+
+def candidate_prediction(rows: DataFrame, expected: str = "expected") -> DataFrame:
+    """Interval from the residual quantiles and a logistic probability scaled by their deviation."""
+    e = clamp(expected, -0.8, 2)
+    lo, hi = clamp(e + F.coalesce("residual_p10", F.lit(-0.1)), -0.95, 3), clamp(e + F.coalesce("residual_p90", F.lit(0.1)), -0.95, 3)
+    scale = F.greatest(F.lit(0.02), F.coalesce("residual_sd", F.lit(0.1)))
+    return rows.withColumns({"return_p10": rnd(F.least(lo, e), 6), "return_p50": rnd(e, 6), "return_p90": rnd(F.greatest(hi, e), 6),
+                             "probability_up": rnd(clamp(1 / (1 + F.exp(-e / scale)), 0.05, 0.95), 4), "predicted_direction": direction(e)})

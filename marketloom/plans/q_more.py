@@ -132,3 +132,50 @@ def manual(spark, d):
     q = V.quarter_totals(spark, d).withColumn("horizon", F.explode(F.array(F.lit(21), F.lit(63), F.lit(126))))
     q = q.withColumns({k: (50 + F.col("n") % 50).cast("double") for k in PR.RELIABILITY_WEIGHTS if k != "data_quality"} | {"data_quality": F.lit(90.0), "effective_samples": F.col("n")})
     return PR.composite_reliability(q).select("ticker", "period_end", "horizon", "composite_score", "status")
+
+
+@register("the_02_event_chains", S.sql("research_events", """SELECT event_id, CASE WHEN source_type = 'NEWS_IMPACT' THEN direction WHEN source_type = 'NEWS_RISK' OR severity IN ('P0', 'P1') THEN 'NEGATIVE' ELSE 'MIXED' END AS thesis_direction,
+  CASE event_id % 4 WHEN 0 THEN 'SHARE_COUNT' WHEN 1 THEN 'CAPACITY_AND_UNIT_COST' WHEN 2 THEN 'RISK_FREE_RATE' ELSE 'OTHER' END AS exposure FROM research_events"""))
+def chains(spark, d):
+    e = V.research_events(spark, d)
+    kind = F.element_at(F.array(F.lit("buyback plan"), F.lit("new capacity"), F.lit("treasury move"), F.lit("note")), (F.col("event_id") % 4 + 1).cast("int"))
+    explicit = F.when(F.col("source_type") == "NEWS_IMPACT", F.col("direction"))
+    return e.select("event_id", A.thesis_direction(explicit, F.col("source_type"), kind, F.col("severity")).alias("thesis_direction"), A.transmission(kind, F.lit("title"))["exposure"].alias("exposure"))
+
+
+@register("str_13_template_choice", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'SEMICONDUCTOR_CYCLE' WHEN p_partkey % 3 = 1 THEN 'TECHNOLOGY_COMPETITION' ELSE 'GENERAL_FINANCIAL' END AS template FROM part")
+def templates(spark, d):
+    ind_ = F.element_at(F.array(F.lit("Computer Storage Devices"), F.lit("Prepackaged Software"), F.lit("Retail")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return V.table(spark, d, "part").select("p_partkey", A.template_of(F.col("p_type"), F.col("p_brand"), ind_).alias("template"))
+
+
+@register("rep_05_sections", S.sql("securities bars filings", "SELECT ticker, 1 AS section_no, 'price' AS section, CASE WHEN price IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS status FROM x UNION ALL SELECT ticker, 2, 'filings', CASE WHEN filings IS NULL THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END FROM x", _REP))
+def sections(spark, d):
+    p = V.bars(spark, d).where("close > 4000").groupBy("ticker").agg(F.max("close").alias("price"))
+    f = V.filings(spark, d).groupBy("ticker").agg(F.count("*").alias("filings")).where("filings > 1400")
+    return A.report_sections(V.securities(spark, d).select("ticker").join(p, "ticker", "left").join(f, "ticker", "left"), ["ticker"], ["price", "filings"])
+
+
+@register("evt_04_driver_view", S.sql("securities filings facts", """SELECT s.ticker, 'c-' || s.sector AS concepts, a.pe AS action_period, """ + r("a.ch", 6) + """ AS action_change, (SELECT count(*) FROM filings f WHERE f.ticker = s.ticker AND filed_at BETWEEN DATE '2000-06-30' - 30 AND DATE '2000-06-30') AS driver_events FROM securities s LEFT JOIN
+  (SELECT ticker, max(period_end) AS pe, arg_max(ch, period_end) AS ch FROM (SELECT ticker, period_end, (value - lag(value) OVER w) / abs(lag(value) OVER w) AS ch FROM (SELECT * FROM facts WHERE metric_key = 'capitalExpenditure' QUALIFY row_number() OVER (PARTITION BY ticker, period_end ORDER BY filed_at DESC) = 1) WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) GROUP BY 1) a USING (ticker)"""))
+def drivers(spark, d):
+    c = V.securities(spark, d).select("ticker", F.concat(F.lit("c-"), "sector").alias("concept"))
+    a = FU.comparable_series(V.facts(spark, d).where("metric_key = 'capitalExpenditure'").withColumn("period_type", F.lit("quarter")))
+    e = V.filings(spark, d).select("ticker", F.col("filed_at").alias("event_date"), F.lit("P3").alias("severity"))
+    return A.driver_view(c, a, e, F.lit("2000-06-30").cast("date")).select("ticker", "concepts", "action_period", rnd("action_change", 6).alias("action_change"), "driver_events")
+
+
+@register("pred_14_residual_intervals", S.sql(FSRC, f"""SELECT p.ticker, p.trade_date, p.horizon, {r('least(least(greatest(p.return_p50 + r.q10, -0.95e0), 3), p.return_p50)', 6)} AS return_p10, {r('greatest(least(greatest(p.return_p50 + r.q90, -0.95e0), 3), p.return_p50)', 6)} AS return_p90, {r('least(greatest(1 / (1 + exp(-p.return_p50 / greatest(0.02e0, r.sd))), 0.05e0), 0.95e0)', 4)} AS probability_up
+  FROM pd p JOIN (SELECT ticker, horizon, quantile_cont(actual_return - return_p50, 0.1) AS q10, quantile_cont(actual_return - return_p50, 0.9) AS q90, stddev_samp(actual_return - return_p50) AS sd FROM em WHERE td < DATE '2000-12-29' GROUP BY 1, 2) r ON r.ticker = p.ticker AND r.horizon = p.horizon WHERE p.trade_date >= DATE '2000-12-29'""", EVAL))
+def residuals(spark, d):
+    cut = F.lit("2000-12-29").cast("date")
+    e = evaluated(spark, d)
+    q = PR.residual_intervals(e.where((F.col("status") == "MATURED") & (F.col("actual_date") < cut)), "return_p50", "actual_return", ["ticker", "horizon"])
+    rows = predictions(spark, d).where(F.col("trade_date") >= cut).select("ticker", "trade_date", "horizon", F.col("return_p50").alias("expected")).join(q, ["ticker", "horizon"])
+    return PR.candidate_prediction(rows).select("ticker", "trade_date", "horizon", "return_p10", "return_p90", "probability_up")
+
+
+@register("rep_06_expectation_fields", S.sql("estimates securities", "SELECT ticker, CASE WHEN ticker = 'T09' THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS ntm_eps_status, 'UNAVAILABLE' AS company_guidance FROM securities"))
+def expectations(spark, d):
+    e = V.estimates(spark, d).where("ticker <> 'T09'").groupBy("ticker").agg(F.max_by("eps_average", F.struct("as_of", "period_end")).alias("eps_value"))
+    return A.expectation_fields(V.securities(spark, d).select("ticker").join(e, "ticker", "left")).select("ticker", "ntm_eps_status", "company_guidance")
