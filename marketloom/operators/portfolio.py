@@ -44,7 +44,9 @@ def fifo_matches(trades: DataFrame, rows_per_bucket: int = 100_000) -> DataFrame
     lot = F.struct(F.col("lo").alias("lo"), F.col("hi").alias("hi"), F.col("id").alias("id"), F.col("unit").alias("unit"), F.col("trade_date").alias("day"))
     rows = (cum.withColumns({"lo": (F.col("hi") - F.col("quantity").cast(QTY)).cast(QTY), "unit": unit, "hi": F.col("hi").cast(QTY)})
             .select("ticker", "lo", "side", lot.alias("lot")))
-    width = rows.groupBy("ticker").agg((F.max("lot.hi").cast("double") / F.ceil(F.count("*") / rows_per_bucket)).alias("_w"))
+    # bucket width per ticker from plain totals: no need to wait for the running sums
+    totals = trades.where("quantity > 0").groupBy("ticker", "side").agg(F.sum(F.col("quantity").cast(QTY)).cast("double").alias("_t"), F.count("*").alias("_n"))
+    width = totals.groupBy("ticker").agg((F.max("_t") / F.ceil(F.sum("_n") / rows_per_bucket)).alias("_w"))
     rows = rows.join(width, "ticker").withColumn("_b", F.floor(F.col("lo").cast("double") / F.col("_w")))
     rows = rows.withColumns({"_buy": F.when(F.col("side") == "BUY", F.col("lot")), "_sell": F.when(F.col("side") == "SELL", F.col("lot"))})
     wb = Window.partitionBy("ticker").orderBy("_b").rowsBetween(UNBOUNDED, -1)
