@@ -59,7 +59,8 @@ def phrases(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for _ in range(ROUNDS):
             label = toss(label, first)
         begins = first.copy()
-        begins[1:-1] |= (label[1:-1] < label[:-2]) & ((label[1:-1] < label[2:]) | first[2:])
+        lower = np.append((label[:-1] < label[1:]) | first[1:], True)  # than the right neighbour; a text's last symbol has none
+        begins[1:] |= (label[1:] < label[:-1]) & lower[1:]
         at = np.flatnonzero(begins)
         place = np.arange(len(x)) - np.repeat(at, np.diff(np.append(at, len(x))))
         return mix(np.add.reduceat(x * WEIGHTS[place & 255], at)), first[at]
