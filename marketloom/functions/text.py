@@ -196,11 +196,22 @@ def classify_impact(text: Column | str, rel: Column | str, kind: Column | str) -
 def decode_entities(c: Column | str) -> Column:
     """CDATA sections and the named and numeric entities of feed text; & is decoded last."""
     t = F.regexp_replace(col(c), r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    for src, dst in (("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#34;", '"'), ("&#160;", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+    t = F.replace(t, F.lit("&#160;"), F.lit(" "))
+    references = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});)"), F.lit(1)))
+    t = F.when(F.contains(t, F.lit("&#")), F.aggregate(references, t, lambda text, ref: F.replace(text, ref, _character(ref)))).otherwise(t)
+    for src, dst in (("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
         t = F.replace(t, F.lit(src), F.lit(dst))
     return t
 
 
+def _character(ref: Column) -> Column:
+    """The character of a numeric reference; one that names no character stays as it is."""
+    hexadecimal = F.lower(F.substring(ref, 3, 1)) == "x"
+    point = F.when(hexadecimal, F.conv(F.regexp_extract(ref, r"([0-9A-Fa-f]+);$", 1), 16, 10)).otherwise(F.regexp_extract(ref, r"([0-9]+);$", 1)).cast("long")
+    real = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    return F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(ref)
+
+
 def yahoo_symbol(c: Column | str) -> Column:
     return F.replace(col(c), F.lit("."), F.lit("-"))
 

@@ -27,9 +27,9 @@ def item_codes(text: Column | str) -> Column:
 
 
 def classify_filings(filings: DataFrame) -> DataFrame:
-    """Event type and severity of a filing: the worst item decides, the first listed wins ties."""
+    """Event type and severity of a filing, one row per accession number: the worst item decides, the first listed wins ties."""
     spark = filings.sparkSession
-    x = filings.select("*", F.posexplode_outer(item_codes("items")).alias("_pos", "item"))
+    x = filings.dropDuplicates(["accession_number"]).select("*", F.posexplode_outer(item_codes("items")).alias("_pos", "item"))
     j = x.join(F.broadcast(item_rules(spark)), "item", "left")
     sev = F.coalesce("severity", F.lit("P3"))
     first = F.min_by(F.struct("item", sev.alias("severity"), "label"), F.struct(sev, "_pos"))

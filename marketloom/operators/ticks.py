@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketloom.functions.scalar import clamp, ratio, rnd
+from marketloom.operators.aggregates import exact_quantiles
 
 
 def latest_trade_date(ticks: DataFrame, bars: DataFrame) -> DataFrame:
@@ -12,9 +13,9 @@ def latest_trade_date(ticks: DataFrame, bars: DataFrame) -> DataFrame:
     return ticks.select("ticker", "trade_date").unionByName(b).groupBy("ticker").agg(F.max("trade_date").alias("latest"))
 
 
-# Score bands, imbalance thresholds and the size of the large-trade sample.
+# Score bands, imbalance thresholds and the large-trade quantile.
 BANDS = (("STRONG_INFLOW", 35), ("INFLOW", 12))
-LARGE_SAMPLE, LARGE_QUANTILE, MIN_LARGE_TICKS, SESSION_MINUTES = 5000, 0.95, 20, 390
+LARGE_QUANTILE, MIN_LARGE_TICKS, SESSION_MINUTES = 0.95, 20, 390
 
 
 def normalize_ticks(raw: DataFrame) -> DataFrame:
@@ -68,17 +69,12 @@ def daily_direction(ticks: DataFrame) -> DataFrame:
 
 
 def large_trades(ticks: DataFrame) -> DataFrame:
-    """Large-trade ratio: the 95th percentile of the latest 5 000 active ticks of a day.
-
-    The sample is the feature's own definition; Spark pushes the rank limit below the shuffle,
-    so at most 5 000 rows per (ticker, day) and map task move.
-    """
+    """Large-trade ratio: sums over the active ticks of a day at or above their 95th percentile."""
     active = normalize_ticks(ticks).where(F.col("direction").isin("BUY", "SELL"))
-    w = Window.partitionBy("ticker", "trade_date").orderBy(F.col("trade_time").desc(), F.col("sequence").desc())
-    sample = active.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= LARGE_SAMPLE)
-    limit = F.percentile("turnover", LARGE_QUANTILE).over(Window.partitionBy("ticker", "trade_date"))
-    n = F.count("*").over(Window.partitionBy("ticker", "trade_date"))
-    marked = sample.withColumns({"_limit": F.when(n >= MIN_LARGE_TICKS, limit)})
+    key = ["ticker", "trade_date"]
+    n = active.groupBy(*key).agg(F.count("*").alias("_n"))
+    limits = exact_quantiles(active, key, "turnover", {"_q95": LARGE_QUANTILE}).join(n, key)
+    marked = active.join(limits.select(*key, F.when(F.col("_n") >= MIN_LARGE_TICKS, F.col("_q95")).alias("_limit")), key, "left")
     amount = F.when(F.col("turnover") >= F.col("_limit"), F.col("turnover").cast("decimal(28,6)"))
     g = marked.groupBy("ticker", "trade_date").agg(
         F.max("_limit").alias("large_threshold"), F.count("*").alias("large_sample"),

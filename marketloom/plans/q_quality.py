@@ -111,10 +111,10 @@ def audit(spark, d):
     return Q.audit_counts(o, li, "o_orderkey", "expected")
 
 
-@register("dq_10_incomplete_sessions", S.sql("minute_bars", "SELECT ticker, count(*) AS bars FROM minute_bars GROUP BY 1 HAVING count(*) < 1000"))
+@register("dq_10_incomplete_sessions", S.sql("minute_bars", "SELECT ticker, count(*) AS bars FROM minute_bars GROUP BY 1 HAVING count(*) < 390"))
 def incomplete(spark, d):
     from marketloom.operators.ticks import incomplete_sessions
-    return incomplete_sessions(V.minute_bars(spark, d), V.securities(spark, d), 1000)
+    return incomplete_sessions(V.minute_bars(spark, d), V.securities(spark, d))
 
 
 @register("dat_03_latest_stable_session", "WITH " + CAL + " SELECT o_orderkey, CASE WHEN is_session AND o_orderkey % 24 >= 23 THEN day ELSE previous_session END AS stable_session FROM orders JOIN cal ON day = CAST(o_orderdate AS DATE) WHERE month(o_orderdate) IN (1, 2, 12)")

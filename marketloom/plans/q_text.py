@@ -47,9 +47,9 @@ def domain(spark, d):
 FP = "sha256(trim(regexp_replace(regexp_replace(lower({c}), '\\s+-\\s+[^-]{{2,60}}$', ''), '[^a-z0-9\\x{{4e00}}-\\x{{9fff}}]+', ' ', 'g')))"
 
 
-@register("str_05_story_fingerprint", "SELECT doc_id, " + FP.format(c="text") + " AS fingerprint FROM documents WHERE lang = 'en'")
+@register("str_05_story_fingerprint", "SELECT doc_id, " + FP.format(c="text") + " AS fingerprint FROM documents")
 def fingerprint(spark, d):
-    return docs(spark, d).where("lang = 'en'").select("doc_id", T.story_fingerprint("text").alias("fingerprint"))
+    return docs(spark, d).select("doc_id", T.story_fingerprint("text").alias("fingerprint"))
 
 
 @register("str_06_content_key", "SELECT doc_id, sha256(concat_ws(chr(1), source, CAST(n_chars AS VARCHAR), text)) AS key FROM documents")
@@ -179,12 +179,12 @@ def feeds(spark, d):
     return N.combine_sources({"documents": docs(spark, d).select("text"), "pages": pages(spark, d).select("url"), "conversations": V.table(spark, d, "conversations").select("text")}).groupBy("feed").agg(F.count("*").alias("n"))
 
 
-@register("news_09_article_list", S.sql("articles securities", "SELECT doc_id, s.name, (SELECT count(DISTINCT publisher) FROM articles b WHERE b.ticker = a.ticker) AS publishers, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id) AS labelled FROM articles a JOIN securities s USING (ticker) WHERE published_on >= DATE '2024-01-15'"))
+@register("news_09_article_list", S.sql("articles securities", "SELECT doc_id, s.name, (SELECT count(DISTINCT publisher) FROM articles b WHERE b.ticker = a.ticker) AS publishers, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = a.doc_id) AS labelled FROM articles a JOIN securities s USING (ticker)"))
 def article_list(spark, d):
     a = V.articles(spark, d)
     n = a.groupBy("ticker").agg(F.countDistinct("publisher").alias("publishers"))
     lab = V.table(spark, d, "labels").select("doc_id").distinct().withColumn("l", F.lit(True))
-    return (a.where("published_on >= DATE '2024-01-15'").select("doc_id", "ticker").join(V.securities(spark, d).select("ticker", "name"), "ticker").join(n, "ticker").join(lab, "doc_id", "left")
+    return (a.select("doc_id", "ticker").join(V.securities(spark, d).select("ticker", "name"), "ticker").join(n, "ticker").join(lab, "doc_id", "left")
             .select("doc_id", "name", "publishers", F.coalesce("l", F.lit(False)).alias("labelled")))
 
 

@@ -13,7 +13,7 @@ KEY = ["ticker", "trade_date"]
 DAY = """dd AS (SELECT ticker, trade_date, coalesce(CAST(sum(CAST(price * volume AS DECIMAL(28,6))) FILTER (WHERE direction = 'BUY') AS DOUBLE), 0) AS buy_turnover,
   coalesce(CAST(sum(CAST(price * volume AS DECIMAL(28,6))) FILTER (WHERE direction = 'SELL') AS DOUBLE), 0) AS sell_turnover, coalesce(CAST(sum(CAST(price * volume AS DECIMAL(28,6))) FILTER (WHERE direction = 'NEUTRAL') AS DOUBLE), 0) AS neutral_turnover,
   count(*) FILTER (WHERE direction <> 'NEUTRAL') AS active_count, count(*) AS tick_count, count(DISTINCT date_trunc('minute', trade_time)) AS tick_minutes, arg_max(price, (trade_time, sequence)) AS latest_price FROM ticks GROUP BY 1, 2),
-smp AS (SELECT ticker, trade_date, direction, price * volume AS t FROM ticks WHERE direction <> 'NEUTRAL' QUALIFY row_number() OVER (PARTITION BY ticker, trade_date ORDER BY trade_time DESC, sequence DESC) <= 5000),
+smp AS (SELECT ticker, trade_date, direction, price * volume AS t FROM ticks WHERE direction <> 'NEUTRAL'),
 lim AS (SELECT ticker, trade_date, count(*) AS large_sample, CASE WHEN count(*) >= 20 THEN quantile_cont(t, 0.95) END AS lim FROM smp GROUP BY 1, 2),
 lg AS (SELECT ticker, trade_date, any_value(lim) AS large_threshold, any_value(large_sample) AS large_sample, coalesce(CAST(sum(CAST(t AS DECIMAL(28,6))) FILTER (WHERE t >= lim AND direction = 'BUY') AS DOUBLE), 0) AS lb,
   coalesce(CAST(sum(CAST(t AS DECIMAL(28,6))) FILTER (WHERE t >= lim AND direction = 'SELL') AS DOUBLE), 0) AS ls FROM smp JOIN lim USING (ticker, trade_date) GROUP BY 1, 2),
@@ -73,9 +73,9 @@ MIN = """SELECT ticker, trade_date, date_trunc('minute', trade_time) AS minute,
 MIN_COLS = ["ticker", "trade_date", "minute", "buy_turnover", "sell_turnover", "buy_count", "sell_count", "neutral_count", "volume", "last_price"]
 
 
-@register("tick_08_minutes_latest", S.sql("ticks", f"SELECT * FROM ({MIN}) ORDER BY minute DESC, ticker LIMIT 200"))
+@register("tick_08_minutes_latest", S.sql("ticks", f"SELECT * FROM ({MIN}) ORDER BY minute DESC, ticker"))
 def minutes(spark, d):
-    return O.minute_flow(V.ticks(spark, d)).select(*MIN_COLS).orderBy(F.col("minute").desc(), "ticker").limit(200)
+    return O.minute_flow(V.ticks(spark, d)).select(*MIN_COLS).orderBy(F.col("minute").desc(), "ticker")
 
 
 @register("stm_05_minute_rebuild", S.sql("ticks", MIN))

@@ -1,6 +1,7 @@
 """Where jobs keep checkpoints and intermediate tables."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a temporary folder of this
-    machine; on a cluster its absence is an error, as executors could not see the files.
+    Only a session whose executors are threads of this process (master ``local`` or
+    ``local[...]``) falls back to a temporary folder when that setting is missing; anywhere
+    else its absence is an error, as executors could not see the files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="marketloom-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

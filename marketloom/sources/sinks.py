@@ -15,20 +15,35 @@ def upserted(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataF
 def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], partition: str) -> None:
     """Upsert into a partitioned table, rewriting only the partitions the batch touches.
 
-    The affected partitions are read with a partition filter, merged and replaced by dynamic
-    overwrite; a rerun of the same batch changes nothing.
+    These are the partitions of the batch and those that still hold one of its keys, so a key may move.
+    They are read, merged and replaced by dynamic overwrite; a partition left without rows is dropped.
+    A rerun of the same batch changes nothing.
     """
     from marketloom.sources.shared import materialize
+    touched = None
     try:
         existing = spark.read.schema(incoming.schema).parquet(path)
-        touched = incoming.select(partition).distinct()
+        moved = existing.join(incoming.select(*keys).distinct(), keys, "left_semi").select(partition)
+        touched = materialize(incoming.select(partition).unionByName(moved).distinct(), "upsert-touched")
         merged = upserted(existing.join(touched, partition, "left_semi"), incoming, keys)
     except Exception as e:  # first write of the table
         if "PATH_NOT_FOUND" not in str(e):
             raise
         merged = latest_per_key(incoming, keys, [F.lit(1)])
     # the source partitions are replaced below, so the merge is written out before
-    (materialize(merged, "upsert").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    merged = materialize(merged, "upsert")
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    if touched is not None:  # dynamic overwrite leaves partitions alone that got no row
+        left = merged.select(F.col(partition).alias("_p")).distinct()
+        for row in touched.join(left, touched[partition].eqNullSafe(left["_p"]), "left_anti").select(F.col(partition).cast("string")).collect():
+            _drop_partition(spark, path, partition, row[0])
+
+
+def _drop_partition(spark: SparkSession, path: str, partition: str, value: str | None) -> None:
+    jvm = spark._jvm
+    names = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={names.DEFAULT_PARTITION_NAME() if value is None else names.escapePathName(value)}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
@@ -37,8 +52,10 @@ def insert_absent(existing: DataFrame, incoming: DataFrame, keys: list[str]) ->
 
 
 def keep_recent(df: DataFrame, date: str, today: Column, days: int) -> DataFrame:
-    """Retention: rows of the last ``days`` days, days limited to 1..30."""
-    return df.where(F.col(date) >= F.date_sub(today, min(30, max(1, days))))
+    """Retention: rows of the last ``days`` days, at least one."""
+    if days < 1:
+        raise ValueError("days must be 1 or more")
+    return df.where(F.col(date) >= F.date_sub(today, days))
 
 
 def write_snapshot(df: DataFrame, path: str, version: str) -> None:
