@@ -27,6 +27,29 @@ BANDS = 3
 MIN_WORDS = 16
 #: Candidates up to this number are broadcast (16 MB of ids), more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
+REMEMBERED = 300_000
+
+
+class Digests(dict):
+    """Hashes of words, as eight bytes; the newest REMEMBERED ones of a worker process are kept."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[word] = out = xxhash.xxh64_digest(word)
+        return out
+
+
+DIGESTS = Digests()
+MULTIPLIERS = spread(SHINGLE)
+
+
+def least_before(x: np.ndarray) -> np.ndarray:
+    """For each place the least of the REACH values before it; the largest number where there are none."""
+    out = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(1, min(REACH, len(x) - 1) + 1):
+        np.minimum(out[k:], x[:-k], out=out[k:])
+    return out
 
 
 def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -35,14 +58,12 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[in
     n = len(w)
     if n < SHINGLE:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), []
-    h = np.frombuffer(b"".join([xxhash.xxh64_digest(x) for x in w]), np.uint64)
-    m = spread(SHINGLE)
+    h = np.frombuffer(b"".join(map(DIGESTS.__getitem__, w)), np.uint64)
+    m = MULTIPLIERS
     with np.errstate(over="ignore"):
         pair = mix(h[:-1] * m[0] + h[1:] * m[1])
         shingles = mix(sum(h[k:n - SHINGLE + 1 + k] * m[k] for k in range(SHINGLE)))
-    far = np.full(REACH, np.iinfo(np.uint64).max, np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([far, pair, far]), 2 * REACH + 1)
-    cut = np.flatnonzero((pair < windows[:, :REACH].min(axis=1)) & (pair <= windows[:, REACH + 1:].min(axis=1)))
+    cut = np.flatnonzero((pair < least_before(pair)) & (pair <= least_before(pair[::-1])[::-1]))
     starts = np.concatenate([[0], cut[cut > 0]])
     ends = np.concatenate([starts[1:], [n]])
     whole = ends - starts >= SHINGLE
@@ -51,30 +72,6 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[in
     return starts, ends, shingles, names
 
 
-def band_rows(docs: DataFrame) -> DataFrame:
-    """``key, id``: a band's least shingle hash, and the paragraph's hash; equal ones of a batch once."""
-    seeds = spread(BANDS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, ids = [], []
-            for t in as_bytes(b.column(0)):
-                starts, ends, shingles, names = paragraphs(t)
-                if not names:
-                    continue
-                spans = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
-                for k in range(BANDS):
-                    with np.errstate(over="ignore"):
-                        low = np.minimum.reduceat(np.append(mix(shingles ^ seeds[k]), np.uint64(0)), spans)[::2]
-                    keys.append((low & ~np.uint64(3)) | np.uint64(k))
-                    ids.append(np.array(names, np.uint64))
-            if keys:
-                rows = np.unique(np.stack([np.concatenate(keys), np.concatenate(ids)], axis=1).view(np.int64), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["key", "id"])
-
-    return texts(docs).select("text").mapInArrow(run, "key long, id long")
-
-
 def collisions(rows: DataFrame) -> DataFrame:
     """The distinct rows of keys with two or more different paragraphs; most keys have one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +95,7 @@ def collisions(rows: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """``id, shingles``: each paragraph's distinct shingle hashes, 32 bits each."""
+    """``id, shingles``: each paragraph's shingle hashes, 32 bits each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[int, bytes] = {}
@@ -107,7 +104,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 short = (shingles >> np.uint64(32)).astype(np.uint32)
                 for a, e, name in zip(starts.tolist(), ends.tolist(), names, strict=True):
                     if name not in found:
-                        found[name] = np.unique(short[a:e - SHINGLE + 1]).tobytes()
+                        found[name] = short[a:e - SHINGLE + 1].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), pa.array(list(found.values()), pa.binary())], names=["id", "shingles"])
 
     return texts(docs).select("text").mapInArrow(run, "id long, shingles binary")
@@ -115,61 +112,89 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
 
 def similar(unit: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs of Jaccard similarity SIMILARITY or more in each unit, from the shingle sets."""
-    ids, u, v = unit["id"].to_pylist(), [], []
-    sets = [frozenset(np.frombuffer(x, np.uint32).tolist()) for x in unit["shingles"].to_pylist()]
+    ids, u, v = unit["id"].to_numpy(), [], []
+    sets = [np.frombuffer(x, np.uint32) for x in unit["shingles"].to_pylist()]
     for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        rest = list(range(s, e))
-        while len(rest) > 1:
-            front, rest = [rest[0]], rest[1:]
-            while front and rest:
-                at, left = front.pop(), []
-                for k in rest:
-                    both = len(sets[at] & sets[k])
-                    if both >= SIMILARITY * (len(sets[at]) + len(sets[k]) - both):
-                        u.append(ids[at])
-                        v.append(ids[k])
-                        front.append(k)
-                    else:
-                        left.append(k)
-                rest = left
-    return np.array(u, np.int64), np.array(v, np.int64)
+        if e - s == 2:  # most units
+            a, b = set(sets[s].tolist()), set(sets[s + 1].tolist())
+            if len(a & b) >= SIMILARITY * len(a | b):
+                u.append(ids[s:s + 1])
+                v.append(ids[s + 1:e])
+            continue
+        own = [np.unique(x) for x in sets[s:e]]
+        size = np.array([len(x) for x in own])
+        flat, place = np.unique(np.concatenate(own), return_inverse=True)
+        begin = np.cumsum(size) - size
+        marked = np.zeros(len(flat), np.int32)
+        rest = np.ones(e - s, bool)
+        for seed in range(e - s):
+            if not rest[seed]:
+                continue
+            rest[seed], front = False, [seed]
+            while front and rest.any():
+                at = front.pop()
+                mine = place[begin[at]:begin[at] + size[at]]
+                marked[mine] = 1
+                both = np.add.reduceat(marked[place], begin)
+                marked[mine] = 0
+                hit = np.flatnonzero(rest & (both >= SIMILARITY * (size + size[at] - both)))
+                rest[hit] = False
+                u.append(np.full(len(hit), ids[s + at]))
+                v.append(ids[s + hit])
+                front.extend(hit.tolist())
+    return np.concatenate(u or [np.empty(0, np.int64)]), np.concatenate(v or [np.empty(0, np.int64)])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, start, n, id``: every paragraph of every row."""
+    """``doc_id, text_key, start, n, id, keys``: every paragraph of every row, with its hash and its bands' least shingle hashes.
+
+    Of equal paragraphs in a batch only the first has keys, so a passage in a third of all rows sends few.
+    """
+    seeds = spread(BANDS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, starts, lengths, ids = [], [], [], []
+            at, starts, lengths, ids, keys = [], [], [], [], []
             for k, t in enumerate(as_bytes(b.column(2))):
-                s, e, _, names = paragraphs(t)
+                s, e, shingles, names = paragraphs(t)
+                if not names:
+                    continue
                 at.append(np.full(len(s), k))
                 starts.append(s)
                 lengths.append(e - s)
-                ids += names
+                ids.append(np.array(names, np.uint64))
+                spans = np.stack([s, e - SHINGLE + 1], axis=1).ravel()
+                least = [np.minimum.reduceat(np.append(mix(shingles ^ seed), np.uint64(0)), spans)[::2] for seed in seeds]
+                keys.append(np.stack([(x & ~np.uint64(3)) | np.uint64(k) for k, x in enumerate(least)], axis=1))
             if not at:
                 continue
-            at = pa.array(np.concatenate(at))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lengths).astype(np.int32)),
-                                              pa.array(np.array(ids, np.uint64).view(np.int64))], names=["doc_id", "text_key", "start", "n", "id"])
+            rows, name = pa.array(np.concatenate(at)), np.concatenate(ids)
+            first = np.zeros(len(name), bool)
+            first[np.unique(name, return_index=True)[1]] = True
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first * BANDS)]).astype(np.int32)), pa.array(np.concatenate(keys)[first].ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lengths).astype(np.int32)),
+                                              pa.array(name.view(np.int64)), bands], names=["doc_id", "text_key", "start", "n", "id", "keys"])
 
-    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, start int, n int, id long")
+    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, start int, n int, id long, keys array<long>")
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
-    """``node, root`` of paragraphs that are similar to a different one."""
-    hits = materialize(collisions(band_rows(docs)), "paragraph-collisions")
+def near_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, root`` of paragraphs that are similar to a different one. ``found``: the written occurrences."""
+    hits = materialize(collisions(found.select(F.explode("keys").alias("key"), "id")), "paragraph-collisions")
     wanted = hits.select("id").distinct()
     if hits.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = shingle_sets(docs).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    return components(bucket_links(hits.join(sets, "id"), similar, cap=1000), "paragraph-components")
+    members = materialize(hits.join(sets, "id"), "paragraph-members")  # read twice: sizes and members of the buckets
+    return components(bucket_links(members, similar, cap=1000), "paragraph-components")
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, start, n, class, first_id, first_key, first_start``: paragraphs whose class occurs twice or more."""
-    roots = near_classes(docs).withColumnRenamed("node", "id")
+    found = materialize(occurrences(docs), "paragraph-occurrences")
+    roots = near_classes(docs, found).withColumnRenamed("node", "id")
+    found = found.drop("keys")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
-    found = occurrences(docs)
     each = found.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
     labelled = each.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).filter("copies > 1 or root is not null")
     labelled = materialize(labelled.select("id", "class", "copies", "first"), "paragraph-classes")
