@@ -9,16 +9,23 @@ from marketloom.operators.asof import asof_join
 from marketloom.operators.series import latest_per_key
 
 
-def ttm_eps(facts: DataFrame, history_days: int = 1300) -> DataFrame:
+def ttm_eps(facts: DataFrame) -> DataFrame:
     """Trailing-twelve-month EPS at every filing date (visible strictly after it).
 
     In order: the latest full year; that year plus this year's interim minus last year's same
     interim; four continuous quarters.  ``cp`` is the filing date that changed the visible facts.
+    No fact is too old: what a date needs is told by the newest period ends visible then.
     """
     key = ["ticker", "period_type", "period_start", "period_end", "fiscal_period"]
-    cps = facts.select("ticker", F.col("filed_at").alias("cp")).distinct()
-    seen = cps.join(facts.drop("fiscal_year"), "ticker").where(
-        (F.col("filed_at") <= F.col("cp")) & (F.col("period_end") >= F.date_sub("cp", history_days)))
+    kinds = {"_annual": F.col("period_type") == "annual", "_quarter": F.col("period_type") == "quarter",
+             "_interim": (F.col("period_type") == "ytd") | ((F.col("period_type") == "quarter") & (F.col("fiscal_period") == "Q1"))}
+    so_far = Window.partitionBy("ticker").orderBy("cp")  # one row per filing date
+    cps = facts.groupBy("ticker", F.col("filed_at").alias("cp")).agg(*[F.max(F.when(is_kind, F.col("period_end"))).alias(k) for k, is_kind in kinds.items()])
+    cps = cps.withColumns({k: F.max(k).over(so_far) for k in kinds})
+    # the newest year, the interims up to the same one a year before, four quarters with gaps of at most 130 days
+    needed = ((kinds["_annual"] & (F.col("period_end") == F.col("_annual"))) | (kinds["_interim"] & (F.col("period_end") >= F.date_sub("_interim", 430)))
+              | (kinds["_quarter"] & (F.col("period_end") >= F.date_sub("_quarter", 390))))
+    seen = cps.join(facts.drop("fiscal_year"), "ticker").where((F.col("filed_at") <= F.col("cp")) & needed)
     best = seen.groupBy("cp", *key).agg(F.max_by("value", F.struct("filed_at", -F.col("tag_priority"))).alias("value"))
     e = F.struct(F.col("period_end").alias("end"), F.col("period_type").alias("type"), F.col("fiscal_period").alias("fp"), F.col("value").alias("v"))
     d = best.groupBy("ticker", "cp").agg(F.sort_array(F.collect_list(e), asc=False).alias("f"))

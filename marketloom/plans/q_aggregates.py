@@ -249,8 +249,8 @@ def missing_sessions(spark, d):
     return densify(V.bars(spark, d).select("ticker", "trade_date", F.lit(1).alias("x"))).where("x IS NULL").select("ticker", "trade_date")
 
 
-@register("set_06_full_outer", S.sql("trades articles", "SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.n, 0) AS trades, coalesce(b.n, 0) AS articles FROM (SELECT ticker, count(*) AS n FROM trades WHERE price > 300 GROUP BY 1) a FULL OUTER JOIN (SELECT ticker, count(*) AS n FROM articles GROUP BY 1) b ON a.ticker = b.ticker"))
+@register("set_06_full_outer", S.sql("trades articles", "SELECT coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.n, 0) AS trades, coalesce(b.n, 0) AS articles FROM (SELECT ticker, count(*) AS n FROM trades GROUP BY 1) a FULL OUTER JOIN (SELECT ticker, count(*) AS n FROM articles GROUP BY 1) b ON a.ticker = b.ticker"))
 def full_outer(spark, d):
-    a = V.trades(spark, d).where("price > 300").groupBy("ticker").agg(F.count("*").alias("a"))
+    a = V.trades(spark, d).groupBy("ticker").agg(F.count("*").alias("a"))
     b = V.articles(spark, d).groupBy("ticker").agg(F.count("*").alias("b"))
     return a.join(b, "ticker", "full_outer").select("ticker", F.coalesce("a", F.lit(0)).alias("trades"), F.coalesce("b", F.lit(0)).alias("articles"))

@@ -68,9 +68,9 @@ def forward_range(spark, d):
     return V.bars(spark, d).select(*KEY, rnd(F.max("high").over(f), 6).alias("next_high"), rnd(F.min("low").over(f), 6).alias("next_low"))
 
 
-@register("join_10_interval", S.sql("relationships trades", "SELECT t.id, t.ticker, r.related_ticker FROM trades t JOIN relationships r ON t.ticker = r.ticker AND r.active_from <= t.trade_date AND (r.active_to IS NULL OR r.active_to >= t.trade_date) WHERE t.price > 400"))
+@register("join_10_interval", S.sql("relationships trades", "SELECT t.id, t.ticker, r.related_ticker FROM trades t JOIN relationships r ON t.ticker = r.ticker AND r.active_from <= t.trade_date AND (r.active_to IS NULL OR r.active_to >= t.trade_date)"))
 def interval(spark, d):
-    t = V.trades(spark, d).where("price > 400").select("id", *KEY)
+    t = V.trades(spark, d).select("id", *KEY)
     return O.valid_at(V.relationships(spark, d), t, ["ticker"], "trade_date", "active_from", "active_to").select("id", "ticker", "related_ticker")
 
 

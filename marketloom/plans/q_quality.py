@@ -117,11 +117,11 @@ def incomplete(spark, d):
     return incomplete_sessions(V.minute_bars(spark, d), V.securities(spark, d))
 
 
-@register("dat_03_latest_stable_session", "WITH " + CAL + " SELECT o_orderkey, CASE WHEN is_session AND o_orderkey % 24 >= 23 THEN day ELSE previous_session END AS stable_session FROM orders JOIN cal ON day = CAST(o_orderdate AS DATE) WHERE month(o_orderdate) IN (1, 2, 12)")
+@register("dat_03_latest_stable_session", "WITH " + CAL + " SELECT o_orderkey, CASE WHEN is_session AND (o_orderkey % 3 = 2 OR (o_orderkey % 3 = 1 AND day >= make_date(year(day), 4, 1) + ((7 - dayofweek(make_date(year(day), 4, 1))) % 7)::INTEGER AND day < make_date(year(day), 10, 31) - dayofweek(make_date(year(day), 10, 31))::INTEGER)) THEN day ELSE previous_session END AS stable_session FROM orders JOIN cal ON day = CAST(o_orderdate AS DATE)")
 def stable(spark, d):
     k = F.col("o_orderkey")
-    # 18:15 Eastern is 23:15 UTC in winter: an instant at 23:30 UTC is final, one at 22:30 is not
-    o = V.table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 2, 12)).select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 22 HOURS 30 MINUTES") + F.when(k % 24 >= 23, F.expr("INTERVAL 1 HOUR")).otherwise(F.expr("INTERVAL 0 HOUR"))).alias("ts"))
+    # 18:15 Eastern is 23:15 UTC in winter and 22:15 in summer (first Sunday of April to last of October in these years): 23:30 is final, 21:30 is not, 22:30 is in summer
+    o = V.table(spark, d, "orders").select("o_orderkey", (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 21 HOURS 30 MINUTES") + F.make_dt_interval(hours=(k % 3).cast("int"))).alias("ts"))
     return D.latest_stable_session(o, "ts", calendar(spark, d)).select("o_orderkey", "stable_session")
 
 

@@ -241,9 +241,9 @@ def reductions(spark, d):
     return x.select("ticker", "from_date", "to_date", "sessions", rnd("average_exposure", 6).alias("average_exposure"), rnd("baseline_return", 6).alias("baseline_return"))
 
 
-@register("sig_26_decorated", S.sql("bars", f"SELECT ticker, rule, trade_date, {r('CASE position WHEN 1 THEN ln(equity * 100000 / close) END', 6)} AS log_units, {r('CASE position WHEN 0 THEN ln(equity * 100000) END', 6)} AS log_cash, CAST(position AS DOUBLE) AS exposure FROM cur WHERE rule = 'trend60'", CUR))
+@register("sig_26_decorated", S.sql("bars", f"SELECT ticker, rule, trade_date, {r('CASE position WHEN 1 THEN ln(equity * 100000 / close) END', 6)} AS log_units, {r('CASE position WHEN 0 THEN ln(equity * 100000) END', 6)} AS log_cash, CAST(position AS DOUBLE) AS exposure FROM cur", CUR))
 def decorated(spark, d):
-    return O.decorate(curve(spark, d)).where("rule = 'trend60'").select(*KEY, "trade_date", rnd(F.log(F.when(F.col("units") > 0, F.col("units"))), 6).alias("log_units"), rnd(F.log(F.when(F.col("cash") > 0, F.col("cash"))), 6).alias("log_cash"), "exposure")
+    return O.decorate(curve(spark, d)).select(*KEY, "trade_date", rnd(F.log(F.when(F.col("units") > 0, F.col("units"))), 6).alias("log_units"), rnd(F.log(F.when(F.col("cash") > 0, F.col("cash"))), 6).alias("log_cash"), "exposure")
 
 
 from marketloom.plans.q_fundamentals import _DAILY, states  # noqa: E402

@@ -100,9 +100,9 @@ def fx(spark, d):
     return R.fx_series(p).select("day", rnd("close", 6).alias("close"))
 
 
-@register("src_13_split_events", S.sql("quarter_totals", "SELECT ticker, period_end AS split_date, CAST(2 + n % 3 AS DOUBLE) AS ratio, NOT (ticker = 'T03' AND period_end = DATE '1997-03-31') AS genuine FROM quarter_totals WHERE n % 10 = 0"))
+@register("src_13_split_events", S.sql("quarter_totals", "SELECT ticker, period_end AS split_date, CAST(2 + n % 3 AS DOUBLE) AS ratio, NOT (ticker = 'T03' AND period_end = DATE '1997-03-31') AS genuine FROM quarter_totals"))
 def splits(spark, d):
-    q = V.quarter_totals(spark, d).where("n % 10 = 0")
+    q = V.quarter_totals(spark, d)
     ev = F.struct(_ts("period_end").alias("date"), (2 + F.col("n") % 3).cast("double").alias("numerator"), F.lit(1.0).alias("denominator"))
     res = F.struct(F.struct(F.create_map(F.lit("k"), ev).alias("splits")).alias("events"))
     p = q.select("ticker", F.to_json(F.struct(F.struct(F.array(res).alias("result")).alias("chart"))).alias("payload"))

@@ -12,7 +12,7 @@ from marketloom.sources import views as V
 r = S.rnd
 
 TTM = """cp AS (SELECT DISTINCT ticker, filed_at AS cp FROM eps_facts),
-se AS (SELECT c.ticker, c.cp, e.period_type, e.period_end, e.fiscal_period, e.value FROM cp c JOIN eps_facts e ON e.ticker = c.ticker AND e.filed_at <= c.cp AND e.period_end >= c.cp - 1300),
+se AS (SELECT c.ticker, c.cp, e.period_type, e.period_end, e.fiscal_period, e.value FROM cp c JOIN eps_facts e ON e.ticker = c.ticker AND e.filed_at <= c.cp),
 aa AS (SELECT ticker, cp, max(period_end) AS ae, arg_max(value, period_end) AS av FROM se WHERE period_type = 'annual' GROUP BY 1, 2),
 ii AS (SELECT * FROM se WHERE period_type = 'ytd' OR (period_type = 'quarter' AND fiscal_period = 'Q1')),
 ci AS (SELECT i.ticker, i.cp, max(i.period_end) AS ce, arg_max(i.value, i.period_end) AS cv, arg_max(i.fiscal_period, i.period_end) AS cf FROM ii i LEFT JOIN aa USING (ticker, cp) WHERE ae IS NULL OR i.period_end > ae GROUP BY 1, 2),

@@ -235,7 +235,12 @@ def test_conflicting_values_become_null(spark):
     ([("annual", "2024-01-01", "2024-12-31", "FY", "2025-02-01", 4.0)], "LATEST_FY", 4.0),
     ([("annual", "2024-01-01", "2024-12-31", "FY", "2025-02-01", 4.0), ("ytd", "2025-01-01", "2025-06-30", "Q2", "2025-08-01", 3.0), ("ytd", "2024-01-01", "2024-06-30", "Q2", "2024-08-01", 1.5)], "FY_PLUS_YTD_DELTA", 5.5),
     ([("quarter", f"2024-{m:02d}-01", e, f"Q{i}", "2025-01-05", 1.0) for i, (m, e) in enumerate([(1, "2024-03-31"), (4, "2024-06-30"), (7, "2024-09-30"), (10, "2024-12-31")], 1)], "FOUR_QUARTERS", 4.0),
-    ([("annual", "2024-01-01", "2024-12-31", "FY", "2025-02-01", 4.0), ("ytd", "2025-01-01", "2025-06-30", "Q2", "2025-08-01", 3.0)], None, None)])
+    ([("annual", "2024-01-01", "2024-12-31", "FY", "2025-02-01", 4.0), ("ytd", "2025-01-01", "2025-06-30", "Q2", "2025-08-01", 3.0)], None, None),
+    # no fact is too old: a year filed late, and interims that follow it in the same late filings
+    ([("annual", "2015-01-01", "2015-12-31", "FY", "2022-03-01", 7.0)], "LATEST_FY", 7.0),
+    ([("annual", "2015-01-01", "2015-12-31", "FY", "2022-03-01", 7.0), ("ytd", "2015-01-01", "2015-06-30", "Q2", "2022-03-01", 3.0), ("ytd", "2016-01-01", "2016-06-30", "Q2", "2022-03-02", 4.0)], "FY_PLUS_YTD_DELTA", 8.0),
+    # four quarters in five with one missing aren't continuous
+    ([("quarter", f"2023-{m:02d}-01", e, f"Q{i}", "2025-01-05", 1.0) for i, (m, e) in enumerate([(1, "2023-03-31"), (4, "2023-06-30"), (10, "2023-12-31")], 1)] + [("quarter", "2024-01-01", "2024-03-31", "Q1", "2025-01-05", 1.0)], None, None)])
 def test_ttm_methods(spark, facts, method, value):
     d = dt.date.fromisoformat
     f = spark.createDataFrame([("T", t, d(s), d(e), fp, d(fl), v, 0) for t, s, e, fp, fl, v in facts],
