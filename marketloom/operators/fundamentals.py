@@ -101,16 +101,21 @@ def quarter_values(v: DataFrame) -> DataFrame:
         "valid_to", F.when(F.col("derived"), F.least("valid_to", "_direct_from")).otherwise(F.col("valid_to"))).drop("_direct_from")
 
 
-def change_points(q: DataFrame, lead_metric: str, metrics: list[str], history_days: int = 900) -> DataFrame:
+def change_points(q: DataFrame, lead_metric: str, metrics: list[str], reach: int = 600) -> DataFrame:
     """Per (ticker, change point) the visible quarters, newest first, as a bounded array.
 
+    However old a quarter is, it counts; left out are those that end more than ``reach`` days before one that
+    stays visible for good (the consumers look back 490 days from the newest, or over four quarters in a row).
+
     Each element holds end, start and one value per metric; a metric whose quarter does not
     start where the lead metric's does is null.
     """
-    cps = q.select("ticker", F.col("valid_from").alias("cp")).distinct()
+    stays = F.when((F.col("metric_key") == lead_metric) & F.col("valid_to").isNull(), F.col("period_end"))
+    cps = q.groupBy("ticker", F.col("valid_from").alias("cp")).agg(F.max(stays).alias("_newest"))
+    cps = cps.withColumn("_newest", F.max("_newest").over(Window.partitionBy("ticker").orderBy("cp")))  # one row per change point
     vis = cps.alias("x").join(q.alias("q"), (F.col("x.ticker") == F.col("q.ticker")) & (F.col("valid_from") <= F.col("cp"))
                               & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("cp")))
-                              & (F.col("period_end") >= F.date_sub("cp", history_days)))
+                              & (F.col("_newest").isNull() | (F.col("period_end") >= F.date_sub("_newest", reach))))
     per = vis.groupBy("x.ticker", "cp", "period_end").agg(
         F.max(F.when(F.col("metric_key") == lead_metric, F.col("period_start"))).alias("start"),
         *[F.max(F.when(F.col("metric_key") == m, F.struct(F.col("period_start").alias("s"), F.col("value").alias("v")))).alias(m) for m in metrics])

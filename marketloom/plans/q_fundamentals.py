@@ -52,7 +52,7 @@ def quarters(spark, d):
 # Direct statement: every change point sees the latest version of every quarter.
 PANEL = VIN + """,
 cps AS (SELECT DISTINCT ticker, valid_from AS cp FROM vin),
-vis AS (SELECT c.ticker, c.cp, v.period_start, v.period_end, v.metric_key, v.value FROM cps c JOIN vin v ON v.ticker = c.ticker AND v.valid_from <= c.cp AND (v.valid_to IS NULL OR v.valid_to > c.cp) WHERE v.period_end >= c.cp - 900),
+vis AS (SELECT c.ticker, c.cp, v.period_start, v.period_end, v.metric_key, v.value FROM cps c JOIN vin v ON v.ticker = c.ticker AND v.valid_from <= c.cp AND (v.valid_to IS NULL OR v.valid_to > c.cp)),
 per AS (SELECT ticker, cp, period_start, period_end, """ + ", ".join(f"max(value) FILTER (WHERE metric_key = '{m}') AS {a}" for m, a in zip(FLOWS, ("rev", "gp", "oi", "ni", "ocf", "capex"))) + """,
   row_number() OVER (PARTITION BY ticker, cp ORDER BY period_end DESC) AS k FROM vis GROUP BY 1, 2, 3, 4),
 ttm AS (SELECT ticker, cp, max(period_end) AS fin_period, count(*) AS n, sum(rev) AS rev, sum(ni) AS ni, sum(ocf) AS ocf, sum(CASE WHEN capex >= 0 THEN ocf - capex END) AS fcf,
