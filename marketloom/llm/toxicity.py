@@ -2,32 +2,37 @@
 
 A word's vector is that of its hash plus that of its prefix's hash. Filters of several widths slide over
 the words, the largest answer of each filter is kept (max pooling), and a logistic unit weighs them. The
-language that a threshold belongs to is guessed from the text; no column but the text enters a score.
+language that a threshold belongs to is guessed from the text; no column but the text enters a score. The
+network learns from a bounded sample; thresholds come from counts over all labelled rows that aren't held out.
 """
 from __future__ import annotations
 
 import hashlib
 import io
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.llm.common import as_bytes, texts
 from marketloom.llm.quality import held_out
+from marketloom.sources.shared import materialize
 
 WORDS, PREFIXES, GUESS, PREFIX_CHARS = 1 << 20, 1 << 18, 1 << 14, 4
 DIM, WIDTHS, FILTERS = 4, (1, 2, 3), 4
-#: Labelled rows that teach, at most, of each label: those with the least hashes of their ids. Every fourth of them sets thresholds.
+#: Labelled rows that teach the network, at most, of each label: those with the least hashes of their ids, but for every fourth of them.
 SAMPLE, CALIBRATE = {1: 4000, 0: 8000}, 4
 EPOCHS, BATCH, RATE = 3, 64, 0.05
-#: Languages with thresholds of their own: those with so many rows among the calibrating ones.
+#: Languages with thresholds of their own: those with so many labelled rows. A language's errors weigh against the rates of all rows as so many rows.
 LEAST_ROWS = 100
+#: Languages that a text can be guessed to be in, at most (64 KB of the model each), and rows of a language that the guess learns from besides the sample.
+LANGUAGES, GUESS_ROWS = 256, 400
+#: Logits are counted in bins of this width, up to this size.
+BIN, LARGEST = 1 / 32, 32
 HELD_OUT, THRESHOLD = 0, 0.5
 REMEMBERED = 300_000
 CHUNK = 200_000
@@ -70,7 +75,6 @@ class Model:
     out: np.ndarray
     rest: np.ndarray  # one number
     guess: np.ndarray  # GUESS x languages
-    thresholds: np.ndarray  # by language, of the logit
 
     def pack(self) -> bytes:
         f = io.BytesIO()
@@ -112,12 +116,10 @@ class Model:
                 k += 1
             pooled.append(np.maximum.reduceat(total, spans, axis=0)[::2])
         logit = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.out + self.rest[0]
-        votes = np.add.reduceat(self.guess[different & (GUESS - 1)][place], starts, axis=0)
-        return logit, votes.argmax(axis=1)
-
-    def scores(self, docs: list[np.ndarray]) -> np.ndarray:
-        logit, language = self.logits(docs)
-        return 1 / (1 + np.exp(-np.clip(logit - self.thresholds[language], -50, 50)))
+        bucket = different & (GUESS - 1)
+        # a few languages at a time, so that memory doesn't grow with their number
+        votes = [np.add.reduceat(self.guess[:, k:k + 8][bucket][place], starts, axis=0) for k in range(0, self.guess.shape[1], 8)]
+        return logit, np.concatenate(votes, axis=1).argmax(axis=1)
 
 
 def log_odds(docs: list[np.ndarray], y: np.ndarray, size: int, bucket) -> np.ndarray:
@@ -131,15 +133,13 @@ def log_odds(docs: list[np.ndarray], y: np.ndarray, size: int, bucket) -> np.nda
     return np.where(both > 0, odds * both / (both + 5), 0.0)
 
 
-def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str]) -> Model:
+def train(docs: list[np.ndarray], y: np.ndarray, guess: np.ndarray) -> Model:
     """Embeddings begin with the log odds of their buckets in one place; stochastic gradients do the rest."""
     rng = np.random.default_rng(7)
-    calibrating = np.arange(len(docs)) % CALIBRATE == 0
-    teach = [k for k in np.flatnonzero(~calibrating).tolist()]
+    teach = np.flatnonzero(np.arange(len(docs)) % CALIBRATE != 0).tolist()  # the others keep the thresholds honest on small tables
     taught, labels = [docs[k] for k in teach], y[teach]
     model = Model(rng.normal(0, 0.05, (WORDS, DIM)).astype(np.float32), rng.normal(0, 0.05, (PREFIXES, DIM)).astype(np.float32),
-                  rng.normal(0, 0.2, (sum(WIDTHS), DIM, FILTERS)), np.zeros((len(WIDTHS), FILTERS)), np.full(len(WIDTHS) * FILTERS, 0.3), np.array([-2.0]),
-                  np.zeros((GUESS, 1), np.float32), np.zeros(1))
+                  rng.normal(0, 0.2, (sum(WIDTHS), DIM, FILTERS)), np.zeros((len(WIDTHS), FILTERS)), np.full(len(WIDTHS) * FILTERS, 0.3), np.array([-2.0]), guess)
     model.words[:, 0] = log_odds(taught, labels, WORDS, lambda d: d & (WORDS - 1)) / 2
     model.prefixes[:, 0] = log_odds(taught, labels, PREFIXES, lambda d: d >> 20) / 2
     model.words[0] = model.prefixes[0] = 0
@@ -148,11 +148,6 @@ def train(docs: list[np.ndarray], y: np.ndarray, lang: list[str]) -> Model:
     order = np.concatenate([rng.permutation(len(teach)) for _ in range(EPOCHS)])
     for a in range(0, len(order), BATCH):
         step(model, [taught[k] for k in order[a:a + BATCH]], labels[order[a:a + BATCH]], weight[order[a:a + BATCH]], RATE / (1 + 2 * a / len(order)))
-    known = sorted(x for x, n in Counter(lang).items() if n >= CALIBRATE * LEAST_ROWS)
-    model.guess = guesser(docs, lang, known)
-    held = np.flatnonzero(calibrating)
-    logit, guessed = model.logits([docs[k] for k in held])
-    model.thresholds = thresholds(logit, y[held], guessed, model.guess.shape[1])
     return model
 
 
@@ -187,62 +182,97 @@ def step(model: Model, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray
         model.bias[w] -= rate * g.sum(axis=0)
 
 
-def guesser(docs: list[np.ndarray], lang: list[str], known: list[str]) -> np.ndarray:
-    """Log probabilities of word buckets by language; one column of zeros if no language has rows enough."""
-    if len(known) < 2:
+def guesser(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """Log probabilities of word buckets by language; one column of zeros if there aren't two languages."""
+    if len(counts) < 2:
         return np.zeros((GUESS, 1), np.float32)
-    counts = np.full((GUESS, len(known)), 0.1)
-    for d, x in zip(docs, lang, strict=True):
-        if x in known:
-            counts[:, known.index(x)] += np.bincount(d & (GUESS - 1), minlength=GUESS)
-    return np.log(counts / counts.sum(axis=0)).astype(np.float32)
-
-
-def thresholds(logit: np.ndarray, y: np.ndarray, guessed: np.ndarray, n: int) -> np.ndarray:
-    """By language, the middle of the widest place with the least errors; that of all rows where a language has few of a label."""
-    def best(z: np.ndarray, t: np.ndarray) -> float:
-        order = np.argsort(z, kind="stable")
-        z, t = z[order], t[order]
-        errors = np.concatenate([[0], np.cumsum(t == 1)]) + np.concatenate([np.cumsum((t == 0)[::-1])[::-1], [0]])
-        edges = np.concatenate([[z[0] - 2], z, [z[-1] + 2]])
-        gaps = np.where(errors == errors.min(), edges[1:] - edges[:-1], -1)
-        k = int(gaps.argmax())
-        return float((edges[k] + edges[k + 1]) / 2)
-
-    if not len(logit):
-        return np.zeros(n)
-    all_rows = best(logit, y)
-    return np.array([best(logit[m], y[m]) if (m := guessed == k).sum() >= LEAST_ROWS and 5 <= y[m].sum() < m.sum() else all_rows for k in range(n)])
+    all_counts = np.stack([counts[x] for x in sorted(counts)], axis=1) + 0.1
+    return np.log(all_counts / all_counts.sum(axis=0)).astype(np.float32)
+
+
+def thresholds(counts: np.ndarray) -> np.ndarray:
+    """By language, the middle of the widest place with the least errors. ``counts``: language, bin of the logit from -LARGEST, label.
+
+    The error rate of all rows counts as LEAST_ROWS rows of every language, so a threshold moves
+    from that of all rows to the language's own as its rows become more, and nothing flips at a number.
+    """
+    def errors(c: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(c[:, 1])]) + np.concatenate([np.cumsum(c[::-1, 0])[::-1], [0]])
+
+    total = counts.sum(axis=0)
+    if not total.sum():
+        return np.zeros(len(counts))
+    used = np.flatnonzero(total.sum(axis=1))
+    low, high = used[0] - int(2 / BIN), used[-1] + 1 + int(2 / BIN)
+    pooled, out = errors(total), []
+    for own in counts:
+        # whole numbers, so that equal errors are equal
+        cost = errors(own).astype(object) * int(total.sum()) + LEAST_ROWS * pooled.astype(object)
+        at = np.arange(low, high + 1)
+        least = cost[np.clip(at, 0, len(cost) - 1)] == cost.min()
+        change = np.flatnonzero(np.diff(np.concatenate([[0], least.astype(int), [0]])))
+        begin, end = change[::2], change[1::2] - 1
+        k = int((end - begin).argmax())
+        out.append((at[begin[k]] + at[end[k]]) / 2 * BIN - LARGEST)
+    return np.array(out)
+
+
+def teachers(labels: DataFrame) -> DataFrame:
+    """``doc_id, y`` of all labelled ids that aren't held out; of repeated labels of an id the largest holds."""
+    return labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")).filter(~held_out(HELD_OUT, 5))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
     """The packed model, or None if labels of both kinds are missing.
 
-    Teachers are at most SAMPLE rows a label, not held out; they are chosen among all by a hash of their
-    id, sent to one task and trained there. Rows without a doc_id or a label of 0 or 1 don't teach.
+    The network's teachers are at most SAMPLE rows a label, not held out; they are chosen among all by a
+    hash of their id, sent to one task and trained there. Languages are those of all labelled rows; the
+    guess learns from the sample and from GUESS_ROWS more of each. Rows without a doc_id or a label of
+    0 or 1 don't teach.
     """
-    marks = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")).filter(~held_out(HELD_OUT, 5))
+    marks = teachers(labels)
     chosen = None
     for label, n in SAMPLE.items():
         some = marks.filter(F.col("y") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         chosen = some if chosen is None else chosen.unionByName(some)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                         (F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")).alias("lang"))
-    sample = named.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most sum(SAMPLE) rows
+    spoken = named.select("doc_id", "lang").join(marks, "doc_id")
+    rows = spoken.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_ROWS)
+    known = [r["lang"] for r in rows.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    more = spoken.filter(F.col("lang").isin(known)).withColumn("r", first).filter(F.col("r") <= GUESS_ROWS)  # cut in each task before rows move
+    wanted = chosen.unionByName(more.select("doc_id", F.lit(None).cast("int").alias("y"))).groupBy("doc_id").agg(F.max("y").alias("y"))
+    sample = named.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id"])  # at most sum(SAMPLE) + GUESS_ROWS * LANGUAGES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, y, lang = [], [], []
+        tokens, y = [], []
+        counts = {x: np.zeros(GUESS) for x in known}
         for b in batches:
-            tokens += [TOKENS.of(t) for t in as_bytes(b["text"])]
-            y += b["y"].to_pylist()
-            lang += b["lang"].to_pylist()
+            for t, label, lang in zip(as_bytes(b["text"]), b["y"].to_pylist(), b["lang"].to_pylist(), strict=True):
+                d = TOKENS.of(t)
+                if lang in counts:
+                    counts[lang] += np.bincount(d & (GUESS - 1), minlength=GUESS)
+                if label is not None:
+                    tokens.append(d)
+                    y.append(label)
         if len(set(y)) == 2:
-            yield pa.RecordBatch.from_arrays([pa.array([train(tokens, np.array(y), lang).pack()], pa.binary())], names=["model"])
+            yield pa.RecordBatch.from_arrays([pa.array([train(tokens, np.array(y), guesser(counts)).pack()], pa.binary())], names=["model"])
 
     found = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
     return bytes(found[0]) if found else None
 
 
+def calibration(logits: DataFrame, labels: DataFrame, languages: int) -> np.ndarray:
+    """Counts by guessed language, bin of the logit and label over all labelled rows that aren't held out."""
+    bins = int(2 * LARGEST / BIN)
+    at = F.least(F.greatest(F.floor((F.col("logit") + LARGEST) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")
+    out = np.zeros((languages, bins, 2), np.int64)
+    for r in logits.join(teachers(labels), "doc_id").groupBy("language", at.alias("bin"), "y").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+        out[r["language"], r["bin"], r["y"]] = r["n"]
+    return out
+
+
 MODELS: dict[bytes, Model] = {}
 
 
@@ -262,25 +292,29 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     null doc_id isn't held out. Extra columns are ignored; an empty table gives an empty result.
     """
     content = fit(docs, labels)
+    if content is None:
+        rows = texts(docs).select("doc_id", F.lit(0.0).alias("score"))
+        return rows.select("doc_id", held_out(HELD_OUT, 5).alias("held_out"), "score", F.lit(0).alias("predicted"))
     blob = docs.sparkSession.sparkContext.broadcast(content)  # the model's size doesn't depend on the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(blob.value) if blob.value else None
+        model = model_of(blob.value)
         for b in batches:
-            if model is None:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(b.num_rows))], names=["doc_id", "score"])
-                continue
             out, now, size = [], [], 0
             for t in as_bytes(b.column(1)):
                 now.append(TOKENS.of(t))
                 size += len(now[-1])
                 if size >= CHUNK:
-                    out.append(model.scores(now))
+                    out.append(model.logits(now))
                     now, size = [], 0
             if now:
-                out.append(model.scores(now))
+                out.append(model.logits(now))
             if out:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([x for x, _ in out])), pa.array(np.concatenate([k for _, k in out]).astype(np.int32))], names=["doc_id", "logit", "language"])
 
-    scored = texts(docs).mapInArrow(run, "doc_id long, score double")
+    # each text is read once: its logit counts for the thresholds and is what they are held against
+    logits = materialize(texts(docs).mapInArrow(run, "doc_id long, logit double, language int"), "toxicity-logits")
+    limits = thresholds(calibration(logits, labels, Model.unpack(content).guess.shape[1]))
+    over = F.col("logit") - F.array(*[F.lit(float(x)) for x in limits])[F.col("language")]
+    scored = logits.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(over, F.lit(-50.0)), F.lit(50.0)))))
     return scored.select("doc_id", held_out(HELD_OUT, 5).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

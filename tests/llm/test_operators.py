@@ -225,6 +225,28 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_thresholds_from_all_labelled_rows(spark, monkeypatch):
+    docs, labels = quality_tables(spark)
+    rare = F.col("doc_id") % 3 == 0  # 167 rows, most of them outside of the sample
+    docs = docs.withColumn("lang", F.when(rare, "es").otherwise("en")).withColumn("text", F.when(rare, F.concat(F.lit("hola que tal "), "text")).otherwise(F.col("text")))
+    monkeypatch.setattr(toxicity, "SAMPLE", {1: 30, 0: 60})
+    model = toxicity.Model.unpack(toxicity.fit(docs, labels))
+    assert model.guess.shape[1] == 2
+    logits = docs.select("doc_id", (F.col("doc_id") / 10).alias("logit"), F.when(rare, 1).otherwise(0).alias("language"))
+    counts = toxicity.calibration(logits, labels, 2)
+    taught = [k for k in range(500) if zlib.crc32(str(k).encode()) % 5]
+    assert counts.sum(axis=1).tolist() == [[sum((k % 3 == 0) == lang and (k % 7 == 0) == y for k in taught) for y in (0, 1)] for lang in (0, 1)]
+
+
+def test_toxicity_thresholds_by_language():
+    counts = np.zeros((3, 2048, 2), np.int64)
+    for lang, (middle, n) in enumerate(((1024, 100_000), (1200, 5_000), (1200, 3))):
+        counts[lang, middle - 10, 0], counts[lang, middle + 9, 1] = n, n // 10
+    own, other, few = toxicity.thresholds(counts) + toxicity.LARGEST
+    assert own == pytest.approx(1024 / 32, abs=1 / 32) and other == pytest.approx(1200 / 32, abs=1 / 32) and abs(few - own) < 0.5
+    assert toxicity.thresholds(np.zeros((2, 2048, 2), np.int64)).tolist() == [0, 0]
+
+
 def test_byte_bpe(spark, corpus):
     texts, ids = corpus
     texts = [*texts, "it's  \x1c\x85 don't’ 123456 日本語 \U0001f600\U0001f468‍\U0001f469 \n\n  x\t", "a" * 3000, "<|endoftext|>"]
