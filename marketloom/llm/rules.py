@@ -1,9 +1,11 @@
 """Quality rules: base statistics and robust multivariate outliers per language and source, with DataFrame functions only.
 
 The statistics of a text are transformed to a vector of four numbers. For each language and source the
-minimum-covariance-determinant estimate is found by concentration steps: from the median and the median
-absolute deviation, each step takes the half or more of the rows with the least Mahalanobis distances and
-estimates mean and covariance anew. Rows beyond CUTOFF of the last estimate are rejected.
+minimum-covariance-determinant estimate is found by concentration steps: from each of three starts (median
+and median absolute deviation, shortest halves, covariance of bounded scores) a step takes the half of the
+rows with the least Mahalanobis distances and estimates mean and covariance anew, until no determinant
+changes. The start with the least determinant wins, and the rows near it give the last estimate. Rows beyond
+CUTOFF of it are rejected.
 """
 from __future__ import annotations
 
@@ -14,16 +16,19 @@ from marketloom.sources.shared import materialize
 
 #: Fewer words fail; more than this percentage of words in repeated windows fail.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group that a concentration step keeps, number of steps, and rows a group needs for an estimate of its own.
-SHARE, STEPS, LEAST_ROWS = 0.75, 4, 200
+#: Number of starts, steps at most, change of a determinant's logarithm that counts as one, and rows a group needs for an estimate of its own.
+STARTS, STEPS, CHANGE, LEAST_ROWS = 3, 12, 0.01, 200
 #: Squared Mahalanobis distance: the 1 - 1e-5 quantile of chi-square with four degrees of freedom.
 CUTOFF = 28.5
 #: Least standard deviation by coordinate: a clean group may have none at all in some.
 FLOORS = (0.06, 0.15, 0.15, 0.15)
-#: Determinant-one consistency: the covariance of the central 75 % underestimates; 1 / 0.6536 for four normal coordinates.
-CONSISTENCY = 1.53
+#: The covariance of the central half of four normal coordinates underestimates by 0.5 / P(chi-square(6) < its median at 4).
+CONSISTENCY = 2.109
+#: Rows up to the 0.975 quantile of chi-square give the last estimate, and the factor for what it underestimates.
+NEAR, NEAR_CONSISTENCY = 11.143, 1.0645
 DIM = 4
 P = "__qr_"  # of working columns
+GROUP, START = P + "group", P + "start"
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
@@ -85,30 +90,32 @@ def groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn(P + "own", own).join(chosen, P + "own", "left").drop(P + "own")
 
 
-def moments(rows: DataFrame) -> DataFrame:
-    """By group: mean and the lower triangle of the covariance's Cholesky factor, all columns."""
-    x = [F.col(f"{P}x{k}") for k in range(DIM)]
-    pairs = [(a, b) for a in range(DIM) for b in range(a + 1)]
-    sums = rows.groupBy(P + "group").agg(*[F.avg(x[k]).alias(f"m{k}") for k in range(DIM)], *[F.covar_pop(x[a], x[b]).alias(f"c{a}{b}") for a, b in pairs])
-    return factored(sums, CONSISTENCY)
+PAIRS = [(a, b) for a in range(DIM) for b in range(a + 1)]
 
 
-def factored(sums: DataFrame, scale: float) -> DataFrame:
-    for a in range(DIM):
-        for b in range(a + 1):
-            v = F.col(f"c{a}{b}") * scale
-            if a == b:
-                v = F.greatest(v, F.lit(FLOORS[a] ** 2))
-            for k in range(b):
-                v = v - F.col(f"l{a}{k}") * F.col(f"l{b}{k}")
-            # the floor also bounds what is left of a variance that other coordinates explain
-            sums = sums.withColumn(f"l{a}{b}", F.sqrt(F.greatest(v, F.lit(FLOORS[a] ** 2 / 4))) if a == b else v / F.col(f"l{b}{b}"))
-    return sums.select(P + "group", *[f"m{k}" for k in range(DIM)], *[f"l{a}{b}" for a in range(DIM) for b in range(a + 1)])
-
-
-def distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    """``rows`` with ``__qr_d2``, the squared Mahalanobis distance by forward substitution."""
-    out = rows.join(estimate, P + "group", "left")
+def moments(rows: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    """By key: mean and the lower triangle of the covariance's Cholesky factor, all columns. ``__qr_det`` of ``rows`` becomes ``before``."""
+    x = [F.col(f"{P}x{k}") for k in range(DIM)]
+    sums = rows.groupBy(*keys).agg(*[F.avg(x[k]).alias(f"m{k}") for k in range(DIM)], *[F.covar_pop(x[a], x[b]).alias(f"c{a}{b}") for a, b in PAIRS], F.first(P + "det").alias("before"))
+    return factored(sums, keys, scale)
+
+
+def factored(sums: DataFrame, keys: list[str], scale: float) -> DataFrame:
+    for a, b in PAIRS:
+        v = F.col(f"c{a}{b}") * scale
+        if a == b:
+            v = F.greatest(v, F.lit(FLOORS[a] ** 2))
+        for k in range(b):
+            v = v - F.col(f"l{a}{k}") * F.col(f"l{b}{k}")
+        # the floor also bounds what is left of a variance that other coordinates explain
+        sums = sums.withColumn(f"l{a}{b}", F.sqrt(F.greatest(v, F.lit(FLOORS[a] ** 2 / 4))) if a == b else v / F.col(f"l{b}{b}"))
+    det = 2 * sum((F.log(f"l{k}{k}") for k in range(1, DIM)), F.log("l00"))
+    return sums.select(*keys, *[f"m{k}" for k in range(DIM)], *[f"l{a}{b}" for a, b in PAIRS], det.alias(P + "det"), "before")
+
+
+def distances(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``__qr_d2``, the squared Mahalanobis distance by forward substitution, and the estimate's ``__qr_det``."""
+    out = rows.join(estimate, keys, "left")
     y: list[Column] = []
     for a in range(DIM):
         v = F.col(f"{P}x{a}") - F.col(f"m{a}")
@@ -117,31 +124,52 @@ def distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
         out = out.withColumn(f"{P}y{a}", v / F.col(f"l{a}{a}"))
         y.append(F.col(f"{P}y{a}"))
     d2 = sum((v * v for v in y[1:]), y[0] * y[0])
-    return out.withColumn(P + "d2", d2).drop(*[f"{P}y{a}" for a in range(DIM)], *[c for c in estimate.columns if c != P + "group"])
+    return out.withColumn(P + "d2", d2).drop(*[f"{P}y{a}" for a in range(DIM)], *[c for c in estimate.columns if c not in (*keys, P + "det")])
 
 
-def central(rows: DataFrame) -> DataFrame:
-    """The SHARE of each group's rows with the least distances, to a bin of 1 / 32 of the logarithm: counts of bins, no sort of a group."""
+def central(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The half, (n + DIM + 1) / 2, of each key's rows with the least distances, to a bin of 1 / 32 of the logarithm: counts of bins, no sort of a group."""
     b = F.floor(F.log1p(P + "d2") * 32).cast("int")
-    counts = rows.groupBy(P + "group", b.alias(P + "bin")).agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy(P + "group").orderBy(P + "bin")
-    limits = (counts.withColumn("before", F.sum("n").over(up) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(P + "group")))
-              .filter(F.col("before") < SHARE * F.col("all")).groupBy(P + "group").agg(F.max(P + "bin").alias(P + "limit")))
-    return rows.withColumn(P + "bin", b).join(limits, P + "group").filter(F.col(P + "bin") <= F.col(P + "limit")).drop(P + "bin", P + "limit")
+    counts = rows.groupBy(*keys, b.alias(P + "bin")).agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy(*keys).orderBy(P + "bin")
+    limits = (counts.withColumn("before", F.sum("n").over(up) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
+              .filter(2 * F.col("before") < F.col("all") + DIM + 1).groupBy(*keys).agg(F.max(P + "bin").alias(P + "limit")))
+    return rows.withColumn(P + "bin", b).join(limits, keys).filter(F.col(P + "bin") <= F.col(P + "limit")).drop(P + "bin", P + "limit")
+
+
+def starts(fit: DataFrame) -> DataFrame:
+    """By group and start, a first estimate: medians and median absolute deviations, shortest halves, covariance of bounded scores."""
+    x = [F.col(f"{P}x{k}") for k in range(DIM)]
+    q = fit.groupBy(GROUP).agg(*[F.percentile_approx(x[k], [i / 20 for i in range(21)], 10000).alias(f"q{k}") for k in range(DIM)])
+    q = q.select("*", *[F.col(f"q{k}")[10].alias(f"m{k}") for k in range(DIM)])
+    mad = fit.join(q, GROUP).groupBy(GROUP).agg(*[F.first(c).alias(c) for k in range(DIM) for c in (f"m{k}", f"q{k}")],
+                                                *[(1.4826 * F.percentile_approx(F.abs(x[k] - F.col(f"m{k}")), 0.5, 10000)).alias(f"s{k}") for k in range(DIM)])
+    mad = materialize(mad, "rules-starts")
+    alone = [F.lit(0.0).alias(f"c{a}{b}") for a, b in PAIRS if a != b]
+    first = mad.select(GROUP, F.lit(0).alias(START), *[f"m{k}" for k in range(DIM)], *alone, *[F.pow(f"s{k}", F.lit(2)).alias(f"c{k}{k}") for k in range(DIM)])
+    halves = mad.select(GROUP, *[f"q{k}" for k in range(DIM)], *[F.array_min(F.array(*[F.struct((F.col(f"q{k}")[i + 10] - F.col(f"q{k}")[i]).alias("w"), F.lit(i).alias("i")) for i in range(11)])).alias(f"h{k}") for k in range(DIM)])
+    second = halves.select(GROUP, F.lit(1).alias(START), *[F.col(f"q{k}")[F.col(f"h{k}.i") + 5].alias(f"m{k}") for k in range(DIM)], *alone, *[F.pow(F.col(f"h{k}.w") / 1.349, F.lit(2)).alias(f"c{k}{k}") for k in range(DIM)])
+    s = [F.greatest(F.col(f"s{k}"), F.lit(FLOORS[k])) for k in range(DIM)]
+    scores = fit.join(mad, GROUP).select(GROUP, *[f"m{k}" for k in range(DIM)], *[s[k].alias(f"s{k}") for k in range(DIM)], *[F.tanh((x[k] - F.col(f"m{k}")) / s[k]).alias(f"t{k}") for k in range(DIM)])
+    # 0.394 is the variance of the hyperbolic tangent of a normal number
+    third = scores.groupBy(GROUP).agg(*[(F.first(f"m{k}") + F.first(f"s{k}") * F.avg(f"t{k}")).alias(f"m{k}") for k in range(DIM)],
+                                      *[(F.covar_pop(f"t{a}", f"t{b}") * F.first(f"s{a}") * F.first(f"s{b}") / 0.394).alias(f"c{a}{b}") for a, b in PAIRS]).withColumn(START, F.lit(2))
+    return factored(first.unionByName(second).unionByName(third).withColumn("before", F.lit(0.0)), [GROUP, START], 1.0)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """By group, the minimum-covariance-determinant mean and Cholesky factor of its rows that passed the base rules."""
-    fit = rows.filter(~F.col(P + "failed"))
-    half = fit.groupBy(P + "group").agg(*[F.percentile_approx(f"{P}x{k}", 0.5, 10000).alias(f"m{k}") for k in range(DIM)])
-    spread = fit.join(half, P + "group").groupBy(P + "group").agg(
-        *[F.first(f"m{k}").alias(f"m{k}") for k in range(DIM)],
-        *[F.pow(1.4826 * F.percentile_approx(F.abs(F.col(f"{P}x{k}") - F.col(f"m{k}")), 0.5, 10000), 2).alias(f"c{k}{k}") for k in range(DIM)])
-    spread = spread.withColumns({f"c{a}{b}": F.lit(0.0) for a in range(DIM) for b in range(a)})
-    now = materialize(factored(spread, 1.0), "rules-estimate")
+    fit = rows.filter(~F.col(P + "failed")).select(GROUP, *[f"{P}x{k}" for k in range(DIM)])
+    keys = [GROUP, START]
+    each = fit.withColumn(START, F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
+    now = materialize(starts(fit), "rules-estimate")
     for _ in range(STEPS):
-        now = materialize(moments(central(distances(fit, now))), "rules-estimate")
-    return now
+        now = materialize(moments(central(distances(each, now, keys), keys), keys, CONSISTENCY), "rules-estimate")
+        if (now.agg(F.max(F.abs(F.col(P + "det") - F.col("before")))).first()[0] or 0) < CHANGE:
+            break
+    least = now.groupBy(GROUP).agg(F.min_by(F.struct(*[c for c in now.columns if c not in keys]), F.struct(P + "det", START)).alias("e")).select(GROUP, "e.*")
+    near = distances(fit, least, [GROUP]).filter(F.col(P + "d2") <= NEAR)
+    return materialize(moments(near, [GROUP], NEAR_CONSISTENCY), "rules-estimate")
 
 
 def judged(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -149,7 +177,7 @@ def judged(docs: DataFrame, columns: list[str]) -> DataFrame:
     extra = {P + c: (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")) for c in ("lang", "source")}
     rows = base_columns(docs.withColumns(extra).select(*columns, P + "lang", P + "source", *([] if "text" in columns else ["text"])))
     rows = materialize(groups(materialize((rows if "text" in columns else rows.drop("text")).withColumns(vector()).withColumn(P + "failed", base_failed()), "rules-statistics")), "rules-groups")
-    far = distances(rows, estimates(rows))
+    far = distances(rows, estimates(rows), [GROUP])
     return far.withColumn(P + "kept", ~F.col(P + "failed") & F.coalesce(F.col(P + "d2") <= CUTOFF, F.lit(True)))
 
 

@@ -179,6 +179,15 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert all(got[k] for k in range(500)) and not any(got[k] for k in range(500, 620))
 
 
+def test_a_source_that_is_two_fifths_junk(spark):
+    rng = random.Random(3)
+    clean = [prose(rng, rng.randint(60, 200)) for _ in range(360)]
+    junk = [" ".join(w + "###" for w in prose(rng, 100).split()) for _ in range(240)]
+    docs = frame(spark, clean + junk).withColumns({"lang": F.lit("en"), "source": F.lit("hot")})
+    got = {r["doc_id"]: r["kept"] for r in rules.quality_verdicts(docs).collect()}
+    assert all(got[k] for k in range(360)) and not any(got[k] for k in range(360, 600))
+
+
 def quality_tables(spark):
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(30, 200)) for _ in range(400)] + [" ".join(w.upper() + "!!" for w in prose(rng, 60).split()) for _ in range(100)]
