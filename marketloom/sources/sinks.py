@@ -25,7 +25,8 @@ def upsert_partitions(spark: SparkSession, path: str, incoming: DataFrame, keys:
         existing = spark.read.schema(incoming.schema).parquet(path)
         moved = existing.join(incoming.select(*keys).distinct(), keys, "left_semi").select(partition)
         touched = materialize(incoming.select(partition).unionByName(moved).distinct(), "upsert-touched")
-        merged = upserted(existing.join(touched, partition, "left_semi"), incoming, keys)
+        hit = touched.select(F.col(partition).alias("_p"))
+        merged = upserted(existing.join(hit, existing[partition].eqNullSafe(hit["_p"]), "left_semi"), incoming, keys)
     except Exception as e:  # first write of the table
         if "PATH_NOT_FOUND" not in str(e):
             raise

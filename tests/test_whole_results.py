@@ -37,6 +37,15 @@ def test_upsert_of_a_key_that_moves(spark, tmp_path):
     assert {tuple(r) for r in spark.read.schema(schema).parquet(path).collect()} == {(1, 99, 1999), (2, 20, 1998), (3, 31, 1999)}
 
 
+def test_upsert_keeps_the_rest_of_a_null_partition(spark, tmp_path):
+    schema, path = "id int, v int, year int", str(tmp_path / "t")
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(1, 10, None), (2, 20, None), (3, 30, None), (4, 40, 1998)], schema), ["id"], "year")
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(1, 11, 1998)], schema), ["id"], "year")
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(path).collect()} == {(1, 11, 1998), (2, 20, None), (3, 30, None), (4, 40, 1998)}
+    sinks.upsert_partitions(spark, path, spark.createDataFrame([(2, 21, None)], schema), ["id"], "year")
+    assert {tuple(r) for r in spark.read.schema(schema).parquet(path).collect()} == {(1, 11, 1998), (2, 21, None), (3, 30, None), (4, 40, 1998)}
+
+
 def test_repeated_filings_count_once(spark):
     df = spark.createDataFrame([("a", "Items: 1.01 and 9.01"), ("a", "Items: 1.01 and 9.01")], "accession_number string, items string")
     assert [r["item_count"] for r in classify_filings(df).collect()] == [2]
