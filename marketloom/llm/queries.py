@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketloom.llm import bpe, chat, lcp, packing, paragraphs, quality, rules, simhash, toxicity, warc
+from marketloom.llm import bpe, chat, lcp, nearest, packing, paragraphs, quality, repair, rules, simhash, toxicity, warc, whitening
 from marketloom.llm.common import table
 
 
@@ -62,8 +62,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.col("fingerprint"), "component_id")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a fixed rule, then repaired."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_warc, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_fingerprints, op7_toxicity, op8_chat_formatting, op9_packing, op10_simhash)}
+    op1_substring_dedup, op2_warc, op3_quality_rules, op4_byte_bpe, op5_quality_classifier, op6_fingerprints, op7_toxicity, op8_chat_formatting, op9_packing, op10_simhash,
+    op11_nearest_neighbours, op12_whitening, op13_conversation_repair)}
 
 #: SQL where DuckDB can express the whole result. The others are tested against brute force: ranks and merges
 #: of a tokenizer, trained models, estimates, connected components and XXH64 with a seed have no SQL there.
