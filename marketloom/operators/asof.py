@@ -48,23 +48,83 @@ def asof_join(left: DataFrame, right: DataFrame, on: list[str], left_ts: str, ri
     return rows.select(*[F.col(f"_l.{c}").alias(c) for c in lcols], *extra)
 
 
+def asof_joins(left: DataFrame, rights: list[tuple[DataFrame, str, list[str], bool]], on: list[str], left_ts: str) -> DataFrame:
+    """Several as-of joins on the same keys and timestamp in one shuffle and one ordered scan.
+
+    ``rights``: (table, its timestamp, the values to attach, whether strictly before). As in ``asof_join``, ties on a
+    table's timestamp resolve to its greatest values.
+    """
+    lrow = left.select(*on, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
+    payloads = [F.struct(F.col(ts).alias("_at"), *[F.col(v) for v in values]) for _, ts, values, _ in rights]
+    parts = [lrow] + [r.where(F.col(ts).isNotNull()).select(*on, F.col(ts).alias("_ts"), F.lit(2 if strict else 0).alias("_side"), p.alias(f"_v{k}"))
+                      for k, ((r, ts, _, strict), p) in enumerate(zip(rights, payloads, strict=True))]
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    names = [f"_v{k}" for k in range(len(rights))]
+    w = Window.partitionBy(*on).orderBy("_ts", "_side", *names).rowsBetween(Window.unboundedPreceding, 0)
+    hits = both.withColumns({f"_h{k}": F.last(n, ignorenulls=True).over(w) for k, n in enumerate(names)}).where(F.col("_l").isNotNull())
+    return hits.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_h{k}.{v}").alias(v) for k, (_, _, values, _) in enumerate(rights) for v in values])
+
+
 def validity_intervals(changes: DataFrame, keys: list[str], from_col: str, to_col: str) -> DataFrame:
     """Close each version at the start of the next: [from, to) with null for the open end."""
     w = Window.partitionBy(*keys).orderBy(from_col)
     return changes.withColumn(to_col, F.lead(from_col).over(w))
 
 
+DAY_ZERO = 719528  # days from 0000-01-01 to the epoch: day numbers of all dates are positive
+LEVELS = 8  # blocks of 1, 8, 64, ... days; the widest, 8^7 days, covers every date
+
+
+def _day_number(date: Column) -> Column:
+    return (F.unix_date(date) + DAY_ZERO).cast("long")
+
+
+def _point_blocks(day: Column) -> Column:
+    """The one block of every level that holds a day."""
+    return F.array(*[F.struct(F.lit(level).alias("_level"), F.shiftright(day, 3 * level).alias("_block")) for level in range(LEVELS)])
+
+
+def _interval_blocks(first: Column, last: Column) -> Column:
+    """The fewest blocks that cover the days ``first`` to ``last`` without overlap: at most 14 a level."""
+    def between(level: int, low: Column, high: Column) -> Column:  # low <= block < high
+        some = F.transform(F.sequence(low, high - 1), lambda k: F.struct(F.lit(level).alias("_level"), k.alias("_block")))
+        return F.when(high > low, some).otherwise(F.array().cast("array<struct<_level:int,_block:bigint>>"))
+
+    parts = []
+    for level in range(LEVELS):
+        size = 1 << (3 * level)
+        low, high = F.shiftright(first + (size - 1), 3 * level), F.shiftright(last + 1, 3 * level)
+        if level + 1 == LEVELS:
+            parts.append(between(level, low, high))
+            continue
+        wide = size * 8
+        up_low, up_high = F.shiftright(first + (wide - 1), 3 * level + 3), F.shiftright(last + 1, 3 * level + 3)
+        inner = up_high > up_low  # wider blocks take the middle
+        parts += [between(level, low, F.when(inner, up_low * 8).otherwise(high)), between(level, F.when(inner, up_high * 8).otherwise(high), high)]
+    return F.concat(*parts)
+
+
 def valid_at(rel: DataFrame, points: DataFrame, on: list[str], at: str, from_col: str, to_col: str,
              how: str = "inner") -> DataFrame:
-    """SCD2 interval join: relations whose [from, to] contains the point (open end allowed)."""
-    cond = (F.col(from_col) <= F.col(at)) & (F.col(to_col).isNull() | (F.col(to_col) >= F.col(at)))
-    p = points.alias("p")
-    r = rel.alias("r")
-    eq = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in on]
-    full = cond
-    for e in eq:
-        full = e & full
-    return p.join(r, full, how).drop(*[F.col(f"r.{k}") for k in on])
+    """SCD2 interval join: relations whose [from, to] contains the point (open end allowed).
+
+    An interval is cut into date blocks of 8^k days, a point lies in one block a level, and they meet by equality of
+    keys and block: each match is found in exactly one block, so the cost is linear in points, intervals and matches,
+    and a key with many rows is spread over its blocks. A point without a date or a key matches nothing.
+    """
+    last = F.coalesce(F.col(to_col), F.lit("9999-12-31").cast("date"))
+    r = rel.where(F.col(from_col) <= last).withColumn("_b", F.explode(_interval_blocks(_day_number(F.col(from_col)), _day_number(last)))).select(*rel.columns, "_b.*")
+    if how == "inner":
+        return points.withColumn("_b", F.explode(_point_blocks(_day_number(F.col(at))))).select(*points.columns, "_b.*").join(r, [*on, "_level", "_block"]).select(
+            *points.columns, *[c for c in rel.columns if c not in on])
+    if how != "left":
+        raise ValueError("how is inner or left")
+    rows = points.withColumn("_row", F.struct(*points.columns))
+    hits = valid_at(rel, points.distinct(), on, at, from_col, to_col).select(F.struct(*points.columns).alias("_row"), *[F.col(c).alias(f"_r_{c}") for c in rel.columns if c not in on])
+    keyed = rows.join(hits, rows["_row"].eqNullSafe(hits["_row"]), "left")
+    return keyed.select(*points.columns, *[F.col(f"_r_{c}").alias(c) for c in rel.columns if c not in on])
 
 
 def nearest_by_day(anchors: DataFrame, candidates: DataFrame, on: list[str], anchor_date: str,

@@ -50,7 +50,7 @@ def flow_metrics(bars: DataFrame, keys: list[str] | None = None) -> DataFrame:
         "volume_z": F.when(sd > 0, (v - base) / sd),
         "daily_return": returns("close", 1, w), "return_5d": returns("close", 5, w), "return_20d": returns("close", 20, w),
         "volume_trend_pct": trend,
-        "sample_size": F.least(F.col("_n"), F.lit(HISTORY)),
+        "sample_size": F.col("_n"),
         "volume_sample": F.count("_posvol").over(trailing(HISTORY, w))})
     return m.withColumn("volume_trend", F.when(F.col("volume_trend_pct").isNull(), "INSUFFICIENT")
                         .when(F.col("volume_trend_pct") >= 0.20, "RISING")

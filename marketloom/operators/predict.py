@@ -18,12 +18,12 @@ RELIABILITY_WEIGHTS = {"direction_accuracy": 0.30, "probability_calibration": 0.
 MACRO_SIGNAL = {"RATE_HEADWIND": -0.6, "RATE_TAILWIND": 0.6, "MIXED": 0.0, "NEUTRAL": 0.0}
 
 
-def price_features(bars: DataFrame, history: int = 180) -> DataFrame:
+def price_features(bars: DataFrame) -> DataFrame:
     w = over()
     d = bars.withColumn("_r", returns("close", 1, w))
     f20 = trailing(20, w)
     return d.select(
-        "ticker", "trade_date", "close", F.least(F.row_number().over(w), F.lit(history)).alias("sample_size"),
+        "ticker", "trade_date", "close", F.row_number().over(w).alias("sample_size"),
         *[rnd(returns("close", n, w), 6).alias(f"return_{n}d") for n in (5, 21, 63, 126)],
         rnd(F.stddev_samp("_r").over(f20), 6).alias("volatility_20d"), rnd(F.col("close") / F.avg("close").over(f20) - 1, 6).alias("ma_gap_20d"),
         rnd(ratio("volume", F.avg("volume").over(f20)), 4).alias("relative_volume_20d"))
@@ -31,7 +31,7 @@ def price_features(bars: DataFrame, history: int = 180) -> DataFrame:
 
 def benchmark_features(rows: DataFrame, benchmark: DataFrame, prefix: str) -> DataFrame:
     """Returns of the benchmark's last bar on or before each date (one series, joined by date)."""
-    b = price_features(benchmark).select(F.lit(1).alias("_k"), "trade_date", F.col("close").alias(f"{prefix}_close"), *[F.col(f"return_{n}d").alias(f"{prefix}_{n}d") for n in (21, 63, 126)])
+    b = price_features(benchmark).select(F.lit(1).alias("_k"), "trade_date", F.col("close").alias(f"{prefix}_close"), F.col("volatility_20d").alias(f"{prefix}_volatility"), *[F.col(f"return_{n}d").alias(f"{prefix}_{n}d") for n in (21, 63, 126)])
     dates = rows.select("trade_date").distinct().withColumn("_k", F.lit(1))
     at = asof_join(dates, b, ["_k"], "trade_date", "trade_date", [c for c in b.columns if c not in ("_k", "trade_date")]).drop("_k")
     return rows.join(F.broadcast(at), "trade_date", "left")  # one row per session date
@@ -128,11 +128,12 @@ def composite_reliability(c: DataFrame, gate: float = 85.0) -> DataFrame:
 
 
 def model_choice(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """Promote the candidate only with enough samples, +3 points and 3 % less error."""
-    b = baseline.select("ticker", "horizon", F.col("composite_score").alias("_bs"), F.col("model_mae").alias("_bm"))
-    j = candidate.join(b, ["ticker", "horizon"])
-    better = (F.col("effective_samples") >= F.col("required_samples")) & (F.col("composite_score") >= F.col("_bs") + 3) & (F.col("model_mae") <= F.col("_bm") * 0.97)
-    return j.select("ticker", "horizon", F.when(better, "PROMOTE_CANDIDATE").otherwise("KEEP_BASELINE").alias("decision"))
+    """Both models' figures per (ticker, horizon); the candidate is promoted only with enough samples, +3 points and 3 % less error."""
+    b = baseline.select("ticker", "horizon", F.col("composite_score").alias("baseline_score"), F.col("model_mae").alias("baseline_mae"))
+    c = candidate.select("ticker", "horizon", F.col("composite_score").alias("candidate_score"), F.col("model_mae").alias("candidate_mae"), "effective_samples", "required_samples")
+    better = ((F.col("effective_samples") >= F.col("required_samples")) & (F.col("candidate_score") >= F.col("baseline_score") + 3)
+              & (F.col("candidate_mae") <= F.col("baseline_mae") * 0.97))
+    return c.join(b, ["ticker", "horizon"]).withColumn("decision", F.when(better, "PROMOTE_CANDIDATE").otherwise("KEEP_BASELINE"))
 
 
 def prediction_changes(pred: DataFrame) -> DataFrame:
@@ -152,20 +153,6 @@ def prediction_changes(pred: DataFrame) -> DataFrame:
                     rnd(F.col("_r") - explained, 8).alias("residual"), F.array_join(F.transform(top, lambda x: x["key"]), ",").alias("drivers"), *[f"d_{k}" for k in FACTORS])
 
 
-def ridge_model(samples: DataFrame, features: list[str], label: str, lam: float = 2.0):
-    """Ridge on standardised features with a free intercept (MLlib, L-BFGS on the cluster).
-
-    MLlib scales the label too, so the penalty maps to 2 * stddev(label) / n.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    filled = samples.select(F.col(label).alias("label"), *[F.coalesce(F.col(f), F.lit(0.0)).alias(f) for f in features])
-    s = filled.agg(F.count("*").alias("n"), F.stddev_samp("label").alias("sd")).first()  # two scalars
-    vec = VectorAssembler(inputCols=features, outputCol="x").transform(filled)
-    return LinearRegression(featuresCol="x", labelCol="label", elasticNetParam=0.0, standardization=True, solver="l-bfgs", tol=1e-12, maxIter=500,
-                            regParam=lam * s["sd"] / s["n"]).fit(vec)
-
-
 def fixed_target_comparisons(pred: DataFrame, target: str = "target_date", window_days: int = 7) -> DataFrame:
     """For each ticker and anchor horizon (21, 63): the predictions of the same and longer horizons whose
     target is nearest to the anchor's latest target, and how the median target moved."""
@@ -193,19 +180,3 @@ def input_changes(features: DataFrame, inputs: list[str], keys: list[str], order
     d = features.withColumn("_i", rows).select(*keys, order, F.row_number().over(w).alias("_n"), F.explode("_i").alias("x")).select(*keys, order, "_n", "x.*")
     changed = ~F.col("previous").eqNullSafe(F.col("current")) & ~F.coalesce(F.abs(F.col("current") - F.col("previous")) <= 1e-10, F.lit(False))
     return d.where((F.col("_n") > 1) & changed).drop("_n").withColumn("delta", rnd(F.col("current") - F.col("previous"), 8))
-
-
-def residual_intervals(scored: DataFrame, expected: str, actual: str, keys: list[str]) -> DataFrame:
-    """Residual quantiles and deviation per key (one row per session, so the exact percentile is small)."""
-    r = F.col(actual) - F.col(expected)
-    return scored.where(F.col(actual).isNotNull()).groupBy(*keys).agg(
-        F.percentile(r, 0.1).alias("residual_p10"), F.percentile(r, 0.9).alias("residual_p90"), F.stddev_samp(r).alias("residual_sd"))
-
-
-def candidate_prediction(rows: DataFrame, expected: str = "expected") -> DataFrame:
-    """Interval from the residual quantiles and a logistic probability scaled by their deviation."""
-    e = clamp(expected, -0.8, 2)
-    lo, hi = clamp(e + F.coalesce("residual_p10", F.lit(-0.1)), -0.95, 3), clamp(e + F.coalesce("residual_p90", F.lit(0.1)), -0.95, 3)
-    scale = F.greatest(F.lit(0.02), F.coalesce("residual_sd", F.lit(0.1)))
-    return rows.withColumns({"return_p10": rnd(F.least(lo, e), 6), "return_p50": rnd(e, 6), "return_p90": rnd(F.greatest(hi, e), 6),
-                             "probability_up": rnd(clamp(1 / (1 + F.exp(-e / scale)), 0.05, 0.95), 4), "predicted_direction": direction(e)})

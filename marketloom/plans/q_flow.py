@@ -21,7 +21,7 @@ b2 AS (SELECT *, count(ptyp) OVER {FR(14)} AS mobs, sum(CASE WHEN typ > ptyp THE
   sum(dir * close * vol) OVER {FR(20)} AS dn, sum(close * vol) OVER {FR(20)} AS dd, sum(dir * vol) OVER {FR(20)} AS un, sum(vol) OVER {FR(20)} AS ud,
   avg(pv) OVER {FR(20, 1)} AS base, stddev_samp(pv) OVER {FR(20, 1)} AS sd, avg(volume) OVER {FR(5)} AS a5, avg(volume) OVER {FR(20)} AS a20, count(pv) OVER {FR(90)} AS volume_sample,
   close / pc - 1 AS daily_return, close / lag(close, 5) OVER (PARTITION BY ticker ORDER BY trade_date) - 1 AS return_5d, close / lag(close, 20) OVER (PARTITION BY ticker ORDER BY trade_date) - 1 AS return_20d FROM b1),
-m AS (SELECT ticker, trade_date, open, high, low, close, volume, daily_return, return_5d, return_20d, volume_sample, least(rn, 90) AS sample_size,
+m AS (SELECT ticker, trade_date, open, high, low, close, volume, daily_return, return_5d, return_20d, volume_sample, rn AS sample_size,
   CASE WHEN rn < 10 OR mobs < 8 THEN NULL WHEN mneg = 0 THEN CASE WHEN mpos > 0 THEN 100e0 ELSE 50e0 END ELSE 100 - 100 / (1 + mpos / mneg) END AS mfi14,
   CASE WHEN cobs >= 10 THEN least(greatest(cnum / cden, -1e0), 1e0) END AS cmf20, CASE WHEN dd > 0 THEN dn / dd END AS directional_notional, CASE WHEN ud > 0 THEN un / ud END AS up_down_volume,
   CASE WHEN ud > 0 THEN un / ud END AS obv_slope, CASE WHEN high > low THEN (2 * close - high - low) / (high - low) END AS close_location, CASE WHEN volume > 0 AND base > 0 THEN volume / base END AS relative_volume,

@@ -9,7 +9,7 @@ from marketloom.plans import sqlviews as S
 from marketloom.plans.q_behavior import REL as BREL, STAGED, staged
 from marketloom.plans.q_fundamentals import _DAILY, states
 from marketloom.plans.q_portfolio import CAL, DAILY, M, calendar
-from marketloom.plans.q_predict import EVAL, FEAT, FSRC, evaluated, features, predictions
+from marketloom.plans.q_predict import EVAL, FEAT, FSRC, features, predictions
 from marketloom.plans.q_signals import CUR, IND, curve, ind
 from marketloom.plans.registry import register
 from marketloom.sources import views as V
@@ -165,16 +165,6 @@ def drivers(spark, d):
     return A.driver_view(c, a, e, F.lit("2000-06-30").cast("date")).select("ticker", "concepts", "action_period", rnd("action_change", 6).alias("action_change"), "driver_events")
 
 
-@register("pred_14_residual_intervals", S.sql(FSRC, f"""SELECT p.ticker, p.trade_date, p.horizon, {r('least(least(greatest(p.return_p50 + r.q10, -0.95e0), 3), p.return_p50)', 6)} AS return_p10, {r('greatest(least(greatest(p.return_p50 + r.q90, -0.95e0), 3), p.return_p50)', 6)} AS return_p90, {r('least(greatest(1 / (1 + exp(-p.return_p50 / greatest(0.02e0, r.sd))), 0.05e0), 0.95e0)', 4)} AS probability_up
-  FROM pd p JOIN (SELECT ticker, horizon, quantile_cont(actual_return - return_p50, 0.1) AS q10, quantile_cont(actual_return - return_p50, 0.9) AS q90, stddev_samp(actual_return - return_p50) AS sd FROM em WHERE td < DATE '2000-12-29' GROUP BY 1, 2) r ON r.ticker = p.ticker AND r.horizon = p.horizon WHERE p.trade_date >= DATE '2000-12-29'""", EVAL))
-def residuals(spark, d):
-    cut = F.lit("2000-12-29").cast("date")
-    e = evaluated(spark, d)
-    q = PR.residual_intervals(e.where((F.col("status") == "MATURED") & (F.col("actual_date") < cut)), "return_p50", "actual_return", ["ticker", "horizon"])
-    rows = predictions(spark, d).where(F.col("trade_date") >= cut).select("ticker", "trade_date", "horizon", F.col("return_p50").alias("expected")).join(q, ["ticker", "horizon"])
-    return PR.candidate_prediction(rows).select("ticker", "trade_date", "horizon", "return_p10", "return_p90", "probability_up")
-
-
 @register("rep_06_expectation_fields", S.sql("estimates securities", "SELECT ticker, CASE WHEN ticker = 'T09' THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS ntm_eps_status, 'UNAVAILABLE' AS company_guidance FROM securities"))
 def expectations(spark, d):
     e = V.estimates(spark, d).where("ticker <> 'T09'").groupBy("ticker").agg(F.max_by("eps_average", F.struct("as_of", "period_end")).alias("eps_value"))

@@ -2,14 +2,16 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalar import rnd
-from marketloom.operators import behavior as BH, flow as FL, macro as MC, predict as O, valuation as VA
+from marketloom.operators import behavior as BH, flow as FL, macro as MC, predict as O, snapshot as SN, valuation as VA
 from marketloom.operators.asof import asof_join
 from marketloom.operators.series import non_overlapping
 from marketloom.plans import sqlviews as S
-from marketloom.plans.q_flow import SCORED
-from marketloom.plans.q_valuation import REV, TTM, ttm
+from marketloom.plans.q_behavior import STAGED
+from marketloom.plans.q_text import _DIR, _MAG, _RANK
+from marketloom.plans.q_valuation import EST_ROWS, REV, TTM, ntm, ttm
 from marketloom.plans.registry import register
 from marketloom.sources import views as V
+from marketloom.sources.shared import materialize
 
 r, clamp = S.rnd, S.clamp
 KEY = ["ticker", "trade_date"]
@@ -38,35 +40,73 @@ def macro_events(spark, d):
 
 
 F20 = "(PARTITION BY ticker ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-FEAT = SCORED + ",\n" + TTM + ",\n" + REV + ",\n" + MAC + f""",
+
+def _pe(close, eps):
+    return f"CASE WHEN {eps} > 0 THEN {r(f'{close} / {eps}', 4)} END"
+
+
+FEAT = STAGED + ",\n" + TTM + ",\n" + REV + ",\n" + MAC + ",\n" + EST_ROWS + f""",
 pr AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY trade_date) - 1 AS r1 FROM bars),
-pf AS (SELECT ticker, trade_date, close, least(row_number() OVER w, 180) AS sample_size, {', '.join(f"{r(f'close / lag(close, {n}) OVER w - 1', 6)} AS return_{n}d" for n in (5, 21, 63, 126))}, {r(f'stddev_samp(r1) OVER {F20}', 6)} AS volatility_20d, {r(f'close / avg(close) OVER {F20} - 1', 6)} AS ma_gap_20d FROM pr WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
-mk AS (SELECT trade_date AS md, close AS market_close, return_21d AS market_21d, return_63d AS market_63d, return_126d AS market_126d FROM pf WHERE ticker = 'T00'),
+pf AS MATERIALIZED (SELECT ticker, trade_date, close, row_number() OVER w AS sample_size, {', '.join(f"{r(f'close / lag(close, {n}) OVER w - 1', 6)} AS return_{n}d" for n in (5, 21, 63, 126))}, {r(f'stddev_samp(r1) OVER {F20}', 6)} AS volatility_20d, {r(f'close / avg(close) OVER {F20} - 1', 6)} AS ma_gap_20d FROM pr WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+mk AS (SELECT trade_date AS md, close AS market_close, return_21d AS market_21d, return_63d AS market_63d, return_126d AS market_126d, volatility_20d AS market_volatility FROM pf WHERE ticker = 'T00'),
 rv2 AS (SELECT ticker AS tk, as_of, coalesce(({r('(v - p7) / abs(p7)', 6)} + {r('(v - p30) / abs(p30)', 6)}) / 2, {r('(v - p7) / abs(p7)', 6)}, {r('(v - p30) / abs(p30)', 6)}) AS eps_revision FROM rv),
-f1 AS (SELECT p.*, m.* EXCLUDE (md) FROM pf p ASOF LEFT JOIN mk m ON p.trade_date >= m.md),
-f2 AS (SELECT f1.*, t.ttm_eps FROM f1 ASOF LEFT JOIN ttm t ON t.ticker = f1.ticker AND f1.trade_date > t.cp),
-f3 AS (SELECT f2.*, x.eps_revision FROM f2 ASOF LEFT JOIN rv2 x ON x.tk = f2.ticker AND f2.trade_date >= x.as_of),
+zn AS MATERIALIZED (SELECT ticker AS nk, as_of AS na, {r('eps_value', 4)} AS ntm_eps FROM nt WHERE eps_value IS NOT NULL),
+zx AS (SELECT ticker AS xk, min(ticker) OVER (PARTITION BY sector) AS industry FROM securities),
+zi AS (SELECT ticker AS ik, trade_date AS id, close AS industry_close, return_21d AS industry_21d, return_63d AS industry_63d, return_126d AS industry_126d FROM pf),
+zcp AS (SELECT DISTINCT ticker, filed_at AS cp FROM annual_facts),
+zv AS (SELECT c.ticker, c.cp, a.metric_key, a.period_end, arg_max(a.value, a.filed_at) AS v FROM zcp c JOIN annual_facts a ON a.ticker = c.ticker AND a.filed_at <= c.cp GROUP BY 1, 2, 3, 4),
+zr AS (SELECT ticker, cp, period_end, v AS rev, lag(v) OVER (PARTITION BY ticker, cp ORDER BY period_end) AS before, row_number() OVER (PARTITION BY ticker, cp ORDER BY period_end DESC) AS k FROM zv WHERE metric_key = 'revenue'),
+zs AS MATERIALIZED (SELECT zr.ticker AS sk, zr.cp AS scp, {r('(rev - before) / abs(before)', 6)} AS revenue_growth, {r('g.v / rev', 6)} AS gross_margin, {r('o.v / rev', 6)} AS cash_flow_margin FROM zr
+  LEFT JOIN zv g ON g.ticker = zr.ticker AND g.cp = zr.cp AND g.period_end = zr.period_end AND g.metric_key = 'grossProfit' LEFT JOIN zv o ON o.ticker = zr.ticker AND o.cp = zr.cp AND o.period_end = zr.period_end AND o.metric_key = 'operatingCashFlow' WHERE k = 1),
+zp AS MATERIALIZED (SELECT p.ticker, p.trade_date, x.related_ticker FROM pf p JOIN relationships x ON x.ticker = p.ticker AND x.active_from <= p.trade_date AND (x.active_to IS NULL OR x.active_to >= p.trade_date)),
+zq AS (SELECT a.related_ticker, a.trade_date, c.close, t.ttm_eps, n.ntm_eps FROM (SELECT DISTINCT related_ticker, trade_date FROM zp) a ASOF LEFT JOIN pf c ON c.ticker = a.related_ticker AND a.trade_date >= c.trade_date
+  ASOF LEFT JOIN ttm t ON t.ticker = a.related_ticker AND a.trade_date > t.cp ASOF LEFT JOIN zn n ON n.nk = a.related_ticker AND a.trade_date >= n.na),
+zm AS MATERIALIZED (SELECT zp.ticker AS mt, zp.trade_date AS mdt, median({_pe('close', 'ttm_eps')}) AS peer_s, median({_pe('close', 'ntm_eps')}) AS peer_f FROM zp JOIN zq USING (related_ticker, trade_date) GROUP BY 1, 2),
+zw AS (SELECT ticker, event_date AS day, {_DIR} * {_MAG} AS w FROM research_events UNION ALL
+  SELECT ticker, filed_at, CASE severity WHEN 'P0' THEN -1 WHEN 'P1' THEN -0.75 ELSE 0 END FROM (SELECT accession_number, ticker, filed_at, min({_RANK}) AS severity FROM (SELECT accession_number, ticker, filed_at, unnest(string_split(items, ',')) AS item FROM filings) GROUP BY 1, 2, 3)),
+zd AS (SELECT ticker, day, sum(CAST(w AS DECIMAL(20,4))) AS w, count(*) AS n FROM zw GROUP BY 1, 2),
+ze AS MATERIALIZED (SELECT p.ticker AS et, p.trade_date AS ed, CAST(least(greatest(sum(w), -1), 1) AS DOUBLE) AS event_score, sum(n) AS events_30d FROM pf p JOIN zd ON zd.ticker = p.ticker AND zd.day BETWEEN p.trade_date - 30 AND p.trade_date GROUP BY 1, 2),
+f0 AS (SELECT p.*, zx.industry FROM pf p LEFT JOIN zx ON zx.xk = p.ticker),
+f1 AS (SELECT f0.*, m.* EXCLUDE (md), i.* EXCLUDE (ik, id) FROM f0 ASOF LEFT JOIN mk m ON f0.trade_date >= m.md ASOF LEFT JOIN zi i ON i.ik = f0.industry AND f0.trade_date >= i.id),
+f2 AS (SELECT f1.*, t.ttm_eps, n.ntm_eps FROM f1 ASOF LEFT JOIN ttm t ON t.ticker = f1.ticker AND f1.trade_date > t.cp ASOF LEFT JOIN zn n ON n.nk = f1.ticker AND f1.trade_date >= n.na),
+f3 AS (SELECT f2.*, x.eps_revision, s.* EXCLUDE (sk) FROM f2 ASOF LEFT JOIN rv2 x ON x.tk = f2.ticker AND f2.trade_date >= x.as_of ASOF LEFT JOIN zs s ON s.sk = f2.ticker AND f2.trade_date > s.scp),
 f4 AS (SELECT f3.*, c.regime FROM f3 ASOF LEFT JOIN (SELECT trade_date AS cd, regime FROM ctx) c ON f3.trade_date >= c.cd),
-ft AS (SELECT f4.*, CASE WHEN fl.signal <> 'INSUFFICIENT' THEN {r('fl.score / 100', 4)} END AS flow_score, CASE WHEN ttm_eps > 0 THEN {r('f4.close / ttm_eps', 4)} END AS static_pe, CASE WHEN f4.sample_size >= 127 THEN 30 WHEN f4.sample_size >= 64 THEN 28 WHEN f4.sample_size >= 22 THEN 26 ELSE 0 END + CASE WHEN market_close IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN fl.signal <> 'INSUFFICIENT' THEN 9 ELSE 0 END
-  + CASE WHEN ttm_eps IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN eps_revision IS NOT NULL THEN 9 ELSE 0 END + CASE WHEN regime IS NOT NULL THEN 5 ELSE 0 END AS quality_score FROM f4 JOIN flow fl ON fl.ticker = f4.ticker AND fl.trade_date = f4.trade_date),
-fe AS (SELECT *, sample_size >= 22 AND quality_score >= 35 AS eligible FROM ft)"""
-FSRC = "bars eps_facts estimates macro_bars"
+f5 AS (SELECT f4.*, CASE WHEN st.signal <> 'INSUFFICIENT' THEN {r('st.score / 100', 4)} END AS flow_score, CASE WHEN st.stage <> 'INSUFFICIENT' THEN {r('st.score / 100', 4)} END AS behavior_score, {_pe('f4.close', 'ttm_eps')} AS static_pe, {_pe('f4.close', 'ntm_eps')} AS forward_pe, peer_s, peer_f, event_score, events_30d,
+  CASE WHEN market_volatility >= 0.025 THEN 'HIGH_VOLATILITY' WHEN market_21d >= 0.03 THEN 'RISK_ON' WHEN market_21d <= -0.03 THEN 'RISK_OFF' ELSE 'BALANCED' END AS risk_regime
+  FROM f4 JOIN st ON st.ticker = f4.ticker AND st.trade_date = f4.trade_date LEFT JOIN zm ON mt = f4.ticker AND mdt = f4.trade_date LEFT JOIN ze ON et = f4.ticker AND ed = f4.trade_date),
+ft AS (SELECT *, {r('peer_s', 4)} AS peer_static_pe, {r('peer_f', 4)} AS peer_forward_pe, CASE WHEN peer_s > 0 THEN {r('static_pe / peer_s - 1', 6)} END AS static_premium, CASE WHEN peer_f > 0 THEN {r('forward_pe / peer_f - 1', 6)} END AS forward_premium,
+  CASE WHEN sample_size >= 127 THEN 30 WHEN sample_size >= 64 THEN 28 WHEN sample_size >= 22 THEN 26 ELSE 0 END + CASE WHEN market_close IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN industry_close IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN flow_score IS NOT NULL THEN 9 ELSE 0 END
+  + CASE WHEN behavior_score IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN ttm_eps IS NOT NULL OR ntm_eps IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN peer_s IS NOT NULL OR peer_f IS NOT NULL THEN 6 ELSE 0 END + CASE WHEN ntm_eps IS NOT NULL THEN 9 ELSE 0 END
+  + CASE WHEN scp IS NOT NULL THEN 8 ELSE 0 END + CASE WHEN cash_flow_margin IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN regime IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN events_30d > 0 THEN 3 ELSE 0 END AS quality_score FROM f5),
+fe AS MATERIALIZED (SELECT *, sample_size >= 22 AND quality_score >= 35 AS eligible FROM ft)"""
+FSRC = "bars eps_facts estimates macro_bars annual_facts relationships research_events filings securities"
 
 
 def features(spark, d):
-    b = V.bars(spark, d)
-    f = O.benchmark_features(O.price_features(b), b.where("ticker = 'T00'"), "market")
-    fl = FL.flow_score(FL.flow_metrics(b)).select(*KEY, F.when(F.col("signal") != "INSUFFICIENT", rnd(F.col("score") / 100, 4)).alias("flow_score"))
-    f = f.join(fl, KEY)
-    f = asof_join(f, ttm(spark, d), ["ticker"], "trade_date", "cp", ["ttm_eps"], strict=True)
+    """The complete snapshot: prices, two benchmarks, flow, behaviour, valuation, peers, estimates, statements, macro, events.
+
+    What several parts read (one row per ticker and session, filing or estimate) is reduced from the raw tables once and written.
+    """
+    b = materialize(V.bars(spark, d), "bars")
+    prices = O.price_features(b)
+    f = O.benchmark_features(prices, b.where("ticker = 'T00'"), "market")
+    f = f.withColumn("risk_regime", SN.risk_regime(F.col("market_volatility"), F.col("market_21d")))
+    f = SN.industry_features(f, prices, V.industries(spark, d))
+    st = BH.stages(BH.composite(FL.flow_score(FL.flow_metrics(b))))
+    f = f.join(st.select(*KEY, F.when(F.col("signal") != "INSUFFICIENT", rnd(F.col("daily_score") / 100, 4)).alias("flow_score"),
+                         F.when(F.col("stage") != "INSUFFICIENT", rnd(F.col("score") / 100, 4)).alias("behavior_score")), KEY)
+    trailing, forward = materialize(ttm(spark, d), "ttm"), materialize(ntm(spark, d), "ntm")
+    f = materialize(f, "price-features")  # the rows that all further parts are joined to
     rev = VA.revisions(V.estimates(spark, d)).select("ticker", "as_of", O.row_mean([F.col("revision_7d"), F.col("revision_30d")]).alias("eps_revision"))
-    f = asof_join(f, rev, ["ticker"], "trade_date", "as_of", ["eps_revision"])
+    f = SN.company_features(f, trailing, forward, rev, V.annual_facts(spark, d))
+    f = SN.peer_features(f, V.relationships(spark, d), prices, trailing, forward)
     ctx = MC.market_context(V.macro_bars(spark, d)).select("trade_date", "regime")
     f = f.join(F.broadcast(ctx), "trade_date", "left")  # one row per date
-    null = F.lit(None).cast("double")
-    f = f.withColumns({"static_pe": rnd(F.when(F.col("ttm_eps") > 0, F.col("close") / F.col("ttm_eps")), 4), "forward_pe": null, "revenue_growth": null, "gross_margin": null, "event_score": null,
-                       "has_benchmark": F.col("market_close").isNotNull(), "has_flow": F.col("flow_score").isNotNull(), "has_valuation": F.col("ttm_eps").isNotNull(),
-                       "has_earnings": F.col("eps_revision").isNotNull(), "has_macro": F.col("regime").isNotNull()})
+    f = SN.event_score_features(f, V.filing_and_news_events(spark, d))
+    has = lambda *c: F.coalesce(*[F.col(x).cast("string") for x in c]).isNotNull()
+    f = f.withColumns({"has_benchmark": has("market_close"), "has_industry": has("industry_close"), "has_flow": has("flow_score"), "has_behavior": has("behavior_score"),
+                       "has_valuation": has("ttm_eps", "ntm_eps"), "has_peers": has("peer_static_pe", "peer_forward_pe"), "has_earnings": has("ntm_eps"), "has_fundamentals": has("fiscal_period_end"),
+                       "has_cash_flow": has("cash_flow_margin"), "has_macro": has("regime"), "has_events": F.coalesce(F.col("events_30d") > 0, F.lit(False))})
     return O.data_quality(f)
 
 
@@ -97,20 +137,29 @@ def quality(spark, d):
     return features(spark, d).select(*KEY, "quality_score", "eligible")
 
 
-@register("pred_09_feature_snapshot", S.sql(FSRC, f"SELECT ticker, trade_date, return_21d, market_21d, flow_score, {r('static_pe', 4)} AS static_pe, {r('eps_revision', 6)} AS eps_revision, regime FROM fe", FEAT))
+_SNAP = ["return_21d", "market_21d", "industry_21d", "flow_score", "behavior_score", "static_pe", "forward_pe", "peer_static_pe", "peer_forward_pe", "static_premium", "forward_premium",
+         "revenue_growth", "gross_margin", "cash_flow_margin", "regime", "risk_regime", "event_score"]
+
+
+@register("pred_09_feature_snapshot", S.sql(FSRC, f"SELECT ticker, trade_date, {', '.join(_SNAP)}, {r('eps_revision', 6)} AS eps_revision FROM fe", FEAT))
 def snapshot(spark, d):
-    return features(spark, d).select(*KEY, "return_21d", "market_21d", "flow_score", "static_pe", rnd("eps_revision", 6).alias("eps_revision"), "regime")
+    return features(spark, d).select(*KEY, *_SNAP, rnd("eps_revision", 6).alias("eps_revision"))
+
+
+def _mean(a, b):
+    return f"coalesce((({a}) + ({b})) / 2, {a}, {b})"
 
 
 def _horizon_sql(h, scale, ws):
     a, b = {21: (5, 21), 63: (21, 63), 126: (63, 126)}[h]
     s = {"momentum": clamp(f"coalesce((return_{a}d + return_{b}d) / 2, return_{a}d, return_{b}d) / {scale}e0", -1, 1), "relativeStrength": clamp(f"(return_{h}d - market_{h}d) / {scale}e0", -1, 1), "capitalFlow": "flow_score",
-         "valuation": clamp("CASE WHEN static_pe > 0 THEN (30 - static_pe) / 35 END", -1, 1), "earnings": clamp("eps_revision / 0.05e0", -1, 1), "macro": "CASE regime WHEN 'RATE_HEADWIND' THEN -0.6e0 WHEN 'RATE_TAILWIND' THEN 0.6e0 ELSE 0e0 END"}
+         "valuation": _mean(*(clamp(f"CASE WHEN {c} > 0 THEN (30 - {c}) / 35 END", -1, 1) for c in ("forward_pe", "static_pe"))), "earnings": clamp("eps_revision / 0.05e0", -1, 1), "macro": "CASE WHEN regime IS NULL THEN NULL WHEN regime = 'RATE_HEADWIND' THEN -0.6e0 WHEN regime = 'RATE_TAILWIND' THEN 0.6e0 ELSE 0e0 END",
+         "fundamentals": _mean(clamp("revenue_growth / 0.30e0", -1, 1), clamp("(gross_margin - 0.35e0) / 0.30e0", -1, 1)), "events": "event_score"}
     w = dict(zip(O.FACTORS, ws))
     return f"SELECT *, {h} AS horizon, {scale}e0 AS scale, " + ", ".join(f"{e} AS s_{k}, {w[k]}e0 AS w_{k}" for k, e in s.items()) + " FROM fe"
 
 
-_SF = ["momentum", "relativeStrength", "capitalFlow", "valuation", "earnings", "macro"]
+_SF = list(O.FACTORS)
 PRED = FEAT + ",\nh0 AS (" + " UNION ALL ".join(_horizon_sql(h, sc, ws) for h, (sc, ws) in O.HORIZONS.items()) + "),\nh1 AS (SELECT *, " + " + ".join(f"coalesce(s_{k} * w_{k}, 0)" for k in _SF) + " AS tot, " + " + ".join(f"CASE WHEN s_{k} IS NULL THEN 0 ELSE w_{k} END" for k in _SF) + f""" AS cov FROM h0),
 h2 AS (SELECT *, CASE WHEN cov > 0 THEN least(greatest(tot / cov, -1), 1) ELSE 0 END AS raw, greatest(0.35e0, quality_score / 100) AS shrink FROM h1),
 h3 AS (SELECT *, least(greatest(raw * scale * shrink, -0.8e0), 2) AS ex, greatest(scale * 0.55e0, coalesce(volatility_20d * sqrt(horizon), scale) * 1.28e0) AS half FROM h2),
@@ -177,17 +226,3 @@ def ledger(spark, d):
   {r('(close - p_c) * (1 + p_r)', 4)} AS market_price_effect, {r('coalesce(c_momentum, 0) - coalesce(p_m, 0)', 8)} AS d_momentum FROM (SELECT *, lag(return_p50) OVER w AS p_r, lag(predicted_direction) OVER w AS p_d, lag(probability_up) OVER w AS p_p, lag(close) OVER w AS p_c, lag(c_momentum) OVER w AS p_m FROM pd WINDOW w AS (PARTITION BY ticker, horizon ORDER BY trade_date)) WHERE p_d IS NOT NULL""", PRED))
 def change(spark, d):
     return O.prediction_changes(predictions(spark, d)).select(*KEY, "horizon", "return_change", "change_type", "market_price_effect", "d_momentum")
-
-
-@register("pred_13_ridge_walk_forward")
-def ridge(spark, d):
-    """Out-of-sample ridge predictions for the last year, trained only on labels matured before it."""
-    from marketloom.sources.shared import materialize
-    f = features(spark, d)
-    e = O.evaluate(O.predict(f)).where("horizon = 21").select(*KEY, "actual_return", "actual_date", "status")
-    rows = materialize(f.join(e, KEY), "ridge")  # read by the fit and by the prediction
-    cut = F.lit("2000-12-29").cast("date")
-    cols = ["return_5d", "return_21d", "return_63d", "return_126d", "volatility_20d", "ma_gap_20d", "flow_score", "eps_revision"]
-    model = O.ridge_model(rows.where((F.col("status") == "MATURED") & (F.col("actual_date") < cut)), cols, "actual_return")
-    dot = sum((F.coalesce(F.col(c), F.lit(0.0)) * float(b) for c, b in zip(cols, model.coefficients)), F.lit(float(model.intercept)))
-    return rows.where(F.col("trade_date") >= cut).select(*KEY, rnd(dot, 6).alias("expected_return"))

@@ -43,6 +43,10 @@ VIEWS: dict[str, str] = {
   FROM (SELECT ticker, period_start, period_end, period_end + CAST(30 + n % 20 AS INT) AS filed_at, 0 AS version, value, n FROM quarter_totals
         UNION ALL SELECT ticker, period_start, period_end, period_end + CAST(120 + n % 20 AS INT), 1, value * 1.01e0, n FROM quarter_totals WHERE n % 4 = 0) r
   CROSS JOIN (VALUES ('revenue', 1e0), ('grossProfit', 0.4e0), ('operatingIncome', 0.2e0), ('netIncome', 0.1e0), ('operatingCashFlow', 0.15e0), ('capitalExpenditure', 0.05e0)) m(metric_key, share)""",
+    "annual_facts": """SELECT ticker, metric_key, make_date(y, 1, 1) AS period_start, make_date(y, 12, 31) AS period_end, filed_at, value FROM (
+  SELECT ticker, metric_key, year(period_end) AS y, max(filed_at) AS filed_at, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) AS value FROM facts WHERE version = 0 GROUP BY 1, 2, 3 HAVING count(*) = 4
+  UNION ALL SELECT ticker, metric_key, year(period_end), max(filed_at) + 90, CAST(sum(CAST(value AS DECIMAL(28,4))) AS DOUBLE) FROM (SELECT * FROM facts QUALIFY row_number() OVER (PARTITION BY ticker, metric_key, period_end ORDER BY version DESC) = 1)
+  GROUP BY 1, 2, 3 HAVING count(*) = 4 AND max(version) = 1)""",
     "eps_base": """SELECT *, year(period_start) AS fy, quarter(period_start) AS qn, CAST(floor(value / 1e4) AS DOUBLE) / 100 AS eps,
   period_end + CAST(30 + n % 20 AS INT) AS filed_at FROM quarter_totals""",
     "eps_facts": """SELECT ticker, period_start, period_end, 'quarter' AS period_type, fy AS fiscal_year, 'Q' || qn AS fiscal_period, filed_at, eps AS value, 0 AS tag_priority FROM eps_base WHERE qn < 4
@@ -74,7 +78,7 @@ VIEWS: dict[str, str] = {
     "securities": f"""SELECT {tick_of('s_suppkey')} AS ticker, arg_min(s_name, s_suppkey) AS name, 'G' || CAST(min(s_suppkey) % 4 AS VARCHAR) AS sector FROM supplier GROUP BY 1""",
 }
 DEPENDS = {"provider_bars": ["bars"], "minute_bars": ["ticks"], "tick_day_bars": ["ticks"],
-           "facts": ["quarter_totals"], "eps_base": ["quarter_totals"], "eps_facts": ["eps_base"]}
+           "facts": ["quarter_totals"], "annual_facts": ["facts"], "eps_base": ["quarter_totals"], "eps_facts": ["eps_base"]}
 
 
 def sql(views: str, select: str, ctes: str = "") -> str:

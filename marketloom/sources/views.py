@@ -123,6 +123,35 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "filed_at", F.lit(0).alias("tag_priority"), "version", F.col("m.value").alias("value")))
 
 
+def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual statements: the sum of four quarters as first filed, and again 90 days after the last restatement."""
+    f = facts(spark, sf_dir).withColumn("y", F.year("period_end"))
+    key = ["ticker", "metric_key", "y"]
+
+    def year(rows: DataFrame, version: int, days: int) -> DataFrame:
+        g = rows.groupBy(*key).agg(F.sum(F.col("value").cast("decimal(28,4)")).cast("double").alias("value"), F.max("filed_at").alias("f"), F.count("*").alias("n"), F.max("version").alias("v"))
+        g = g.where((F.col("n") == 4) & (F.col("v") == version))
+        return g.select("ticker", "metric_key", F.make_date("y", F.lit(1), F.lit(1)).alias("period_start"), F.make_date("y", F.lit(12), F.lit(31)).alias("period_end"),
+                        F.date_add("f", days).alias("filed_at"), "value")
+
+    last = f.groupBy(*key, "period_end").agg(F.max_by(F.struct("value", "filed_at", "version"), "version").alias("r")).select(*key, "r.*")
+    return year(f.where("version = 0"), 0, 0).unionByName(year(last, 1, 90))
+
+
+def filing_and_news_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research events and classified filings in one table, as the event index keeps them."""
+    from marketloom.operators.events import classify_filings
+    e = research_events(spark, sf_dir).select("ticker", "event_date", "source_type", "severity", "direction", "relation_type")
+    return e.unionByName(classify_filings(filings(spark, sf_dir)).select(
+        "ticker", F.col("filed_at").alias("event_date"), F.lit("SEC_8K").alias("source_type"), "severity", F.lit("MIXED").alias("direction"), F.lit("DIRECT").alias("relation_type")))
+
+
+def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbol that stands for each ticker's industry: the first ticker of its sector."""
+    s = securities(spark, sf_dir)
+    return s.join(s.groupBy("sector").agg(F.min("ticker").alias("industry")), "sector").select("ticker", "industry")
+
+
 def eps_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diluted-EPS facts as issuers file them: Q1-Q3 quarters, cumulative YTD at Q2/Q3, the full year."""
     e = (quarter_totals(spark, sf_dir)

@@ -249,17 +249,6 @@ def test_ttm_methods(spark, facts, method, value):
     assert r.ttm_method == method and r.ttm_eps == value
 
 
-def test_ridge_matches_closed_form(spark):
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(80, 3)) * [1, 5, 0.1]
-    y = x @ [0.3, -0.1, 2] + rng.normal(size=80) * 0.2 + 1
-    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y}))
-    m = PR.ridge_model(df, ["a", "b", "c"], "y")
-    z = (x - x.mean(0)) / x.std(0, ddof=1)
-    w = np.linalg.solve(z.T @ z + 2 * np.eye(3), z.T @ (y - y.mean())) / x.std(0, ddof=1)
-    assert np.allclose(m.coefficients.toArray(), w, atol=1e-6)
-
-
 # ---- calendar and text ----------------------------------------------------------------------------
 
 def test_known_market_holidays(spark):
