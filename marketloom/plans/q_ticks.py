@@ -6,6 +6,7 @@ from marketloom.operators import ticks as O
 from marketloom.plans import sqlviews as S
 from marketloom.plans.registry import register
 from marketloom.sources import views as V
+from marketloom.sources.shared import shared_dir
 from marketloom.streaming import ticks as ST
 
 r = S.rnd
@@ -98,22 +99,29 @@ def tick_stream(spark, d):
     return ST.read_tick_stream(spark, d, "events*.parquet", EVENTS, _ticks_of)
 
 
+def late_tick_stream(spark, d):
+    """The events out of order in several files, one file a batch: most ticks come days after later ones."""
+    folder = shared_dir(spark, "event-files")
+    V.table(spark, d, "events").repartition(4, F.xxhash64("event_id")).write.parquet(folder)
+    return ST.read_tick_stream(spark, folder, "*.parquet", EVENTS, _ticks_of, files_per_batch=1)
+
+
 @register("stm_04_minute_stream", S.sql("ticks", f"SELECT * EXCLUDE (trade_date) FROM ({MIN})"))
 def minute_stream(spark, d):
-    out = ST.run_to_table(ST.minute_flow_stream(tick_stream(spark, d)), "update", ["ticker", "session", "minute"], "minute-flow")
+    out = ST.minute_flow_table(late_tick_stream(spark, d))
     return out.select("ticker", F.col("minute").cast("timestamp_ntz").alias("minute"), *MIN_COLS[3:])
 
 
 @register("stm_09_day_stream", S.sql("ticks minute_bars", f"SELECT ticker, trade_date, buy_turnover, sell_turnover, neutral_turnover, {r('active_ratio', 6)} AS active_ratio FROM j", DAY))
 def day_stream(spark, d):
-    out = ST.run_to_table(ST.day_flow_stream(tick_stream(spark, d)), "update", KEY, "day-flow")
+    out = ST.day_flow_table(late_tick_stream(spark, d))
     return out.select(*KEY, "buy_turnover", "sell_turnover", "neutral_turnover", rnd("active_ratio", 6).alias("active_ratio"))
 
 
 @register("stm_03_exactly_once", S.sql("ticks", "SELECT ticker, trade_date, sequence, price FROM ticks"))
 def once(spark, d):
-    s = tick_stream(spark, d)
-    return ST.run_to_table(ST.exactly_once(s.unionByName(s)), "append", None, "dedupe").select(*KEY, "sequence", "price")
+    s = late_tick_stream(spark, d)
+    return ST.run_to_table(ST.exactly_once(s.unionByName(tick_stream(spark, d))), "append", None, "dedupe").select(*KEY, "sequence", "price")
 
 
 @register("stm_01_event_lines", S.sql("ticks", "SELECT ticker, sequence, trade_date, price, volume, upper(direction) AS direction FROM ticks"))
@@ -133,9 +141,9 @@ def normalize(spark, d):
 
 @register("stm_10_alert_once", S.sql("ticks", "SELECT DISTINCT 'FLOW:' || ticker || ':' || trade_date AS event_key FROM ticks WHERE direction = 'SELL'"))
 def alert_once(spark, d):
-    s = tick_stream(spark, d).where("direction = 'Sell'")
+    s = late_tick_stream(spark, d).where("direction = 'Sell'")
     a = s.select(F.concat_ws(":", F.lit("FLOW"), "ticker", F.col("trade_date").cast("string")).alias("event_key"), "trade_time")
-    return ST.run_to_table(ST.alerts_once(a, "trade_time", "2 days"), "append", None, "alerts").select("event_key")
+    return ST.run_to_table(ST.alerts_once(a), "append", None, "alerts").select("event_key")
 
 
 @register("stm_11_first_sync_silent", S.sql("ticks", "SELECT ticker, sequence FROM ticks t WHERE trade_time > (SELECT min(trade_time) + INTERVAL 10 DAY FROM ticks u WHERE u.ticker = t.ticker)"))
@@ -145,10 +153,13 @@ def first_sync(spark, d):
     return ST.run_to_table(ST.news_only_after_first_sync(s, f, "ticker", "trade_time"), "append", None, "first-sync").select("ticker", "sequence")
 
 
-@register("stm_12_sliding_day", S.sql("ticks", """SELECT ticker, window_end, count(*) AS n FROM (SELECT ticker, date_trunc('hour', trade_time) + to_hours(CAST(k AS INT)) AS window_end FROM ticks, (SELECT unnest(range(1, 25)) AS k)) GROUP BY 1, 2"""))
+@register("stm_12_sliding_day", S.sql("ticks", f"""SELECT ticker, window_end, c AS current_24h, p AS previous_24h, t AS total_168h, CASE WHEN p > 0 THEN {r('(c - p) / p', 4)} END AS buzz_change FROM (
+  SELECT g.ticker, g.e AS window_end, coalesce(sum(h.n) FILTER (WHERE h.hr >= g.e - INTERVAL 24 HOUR), 0) AS c, coalesce(sum(h.n) FILTER (WHERE h.hr < g.e - INTERVAL 24 HOUR AND h.hr >= g.e - INTERVAL 48 HOUR), 0) AS p, coalesce(sum(h.n), 0) AS t
+  FROM (SELECT ticker, unnest(generate_series(min(date_trunc('hour', trade_time)) + INTERVAL 1 HOUR, max(date_trunc('hour', trade_time)) + INTERVAL 168 HOUR, INTERVAL 1 HOUR)) AS e FROM ticks GROUP BY 1) g
+  LEFT JOIN (SELECT ticker, date_trunc('hour', trade_time) AS hr, count(*) AS n FROM ticks GROUP BY 1, 2) h ON h.ticker = g.ticker AND h.hr < g.e AND h.hr >= g.e - INTERVAL 168 HOUR GROUP BY 1, 2)"""))
 def sliding(spark, d):
-    out = ST.run_to_table(ST.sliding_counts(tick_stream(spark, d), "ticker", "trade_time"), "update", ["ticker", "window_end"], "sliding")
-    return out.select("ticker", F.col("window_end").cast("timestamp_ntz").alias("window_end"), "n")
+    panes = ST.run_to_table(late_tick_stream(spark, d), "append", None, "panes", ST.hourly_panes("ticker", "trade_time"))
+    return ST.sliding_totals(panes, "ticker").withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
 
 
 @register("stm_08_bar_upsert", S.sql("ticks minute_bars", "SELECT ticker, bar_time, close * 1.001e0 AS close, minute(bar_time) % 2 = 0 AS is_final FROM minute_bars"))
