@@ -127,6 +127,15 @@ def valid_at(rel: DataFrame, points: DataFrame, on: list[str], at: str, from_col
     return keyed.select(*points.columns, *[F.col(f"_r_{c}").alias(c) for c in rel.columns if c not in on])
 
 
+def first_above(rows: DataFrame, steps: DataFrame, on: list[str], level: Column, value: str, at: str, name: str) -> DataFrame:
+    """Adds ``name``: the first ``at`` of ``steps`` from which the date ``value`` is above ``level``; null if it never is.
+
+    ``value`` never decreases along ``at``, so the least value above the level decides: an as-of join on negated days.
+    """
+    s = steps.where(F.col(value).isNotNull()).groupBy(*on, (-F.unix_date(value)).alias("_down")).agg(F.min(at).alias(name))
+    return asof_join(rows.withColumn("_level", -F.unix_date(level)), s, on, "_level", "_down", [name], strict=True).drop("_level")
+
+
 def nearest_by_day(anchors: DataFrame, candidates: DataFrame, on: list[str], anchor_date: str,
                    candidate_date: str, window_days: int, recency: str, keep: list[str],
                    not_after: str | None = None) -> DataFrame:

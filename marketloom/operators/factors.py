@@ -172,11 +172,19 @@ def phase_performance(curve: DataFrame, split: Column) -> DataFrame:
     return d.groupBy("phase").agg((F.max_by("equity", "trade_date") / F.min_by("equity", "trade_date")).alias("growth"), F.min("_dd").alias("max_drawdown"), F.count("*").alias("days"))
 
 
-def leave_one_out(scored: DataFrame, universe: DataFrame, partition: list[str], k: int, per_group: int, group: str = "sector") -> DataFrame:
-    """The selection repeated with each name excluded, as one plan over (excluded, date)."""
-    ex = universe.select(F.col("ticker").alias("excluded")).distinct()
-    d = scored.join(F.broadcast(ex), F.col("ticker") != F.col("excluded"))
-    return capped_top(d, ["excluded", *partition], group, "score", "ticker", k, per_group)
+def leave_one_out(scored: DataFrame, partition: list[str], k: int, per_group: int, group: str = "sector") -> DataFrame:
+    """The selection of each signal with one name excluded: ``excluded, <partition>, ticker, pick``.
+
+    Only the exclusion of a held name changes a selection, so ``excluded`` is each held name, and null for any other.
+    The names that can move up are among the best ``per_group`` + 1 of each group: per signal the k exclusions
+    meet that short list, by equality of the signal.
+    """
+    w = Window.partitionBy(*partition, group).orderBy(F.col("score").desc(), "ticker")
+    short = scored.withColumn("_g", F.row_number().over(w)).where(F.col("_g") <= per_group + 1).drop("_g")
+    base = capped_top(short, partition, group, "score", "ticker", k, per_group)
+    held = base.select(*partition, F.col("ticker").alias("excluded"))
+    changed = capped_top(short.join(held, partition).where(F.col("ticker") != F.col("excluded")), ["excluded", *partition], group, "score", "ticker", k, per_group)
+    return changed.select("excluded", *partition, "ticker", "pick").unionByName(base.select(F.lit(None).cast("string").alias("excluded"), *partition, "ticker", "pick"))
 
 
 def breadth_exposure(bars: DataFrame, market: str, sessions: int = 200) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketloom.functions.dates import disclosure_day
 from marketloom.functions.scalar import change, ratio
-from marketloom.operators.asof import asof_join
+from marketloom.operators.asof import asof_join, first_above, valid_at
 from marketloom.operators.series import latest_per_key
 
 QUARTER_DAYS, ALLOWED_FORMS = (70, 110), ("10-K", "10-Q", "10-K/A", "10-Q/A")
@@ -113,10 +113,11 @@ def change_points(q: DataFrame, lead_metric: str, metrics: list[str], reach: int
     stays = F.when((F.col("metric_key") == lead_metric) & F.col("valid_to").isNull(), F.col("period_end"))
     cps = q.groupBy("ticker", F.col("valid_from").alias("cp")).agg(F.max(stays).alias("_newest"))
     cps = cps.withColumn("_newest", F.max("_newest").over(Window.partitionBy("ticker").orderBy("cp")))  # one row per change point
-    vis = cps.alias("x").join(q.alias("q"), (F.col("x.ticker") == F.col("q.ticker")) & (F.col("valid_from") <= F.col("cp"))
-                              & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("cp")))
-                              & (F.col("_newest").isNull() | (F.col("period_end") >= F.date_sub("_newest", reach))))
-    per = vis.groupBy("x.ticker", "cp", "period_end").agg(
+    # a quarter is asked for from its first day in force to the day before it is replaced or falls out of reach
+    q = first_above(q, cps, ["ticker"], F.date_add("period_end", reach), "_newest", "cp", "_gone")
+    q = q.withColumn("_until", F.least(F.date_sub("valid_to", 1), F.date_sub("_gone", 1)))
+    vis = valid_at(q, cps.select("ticker", "cp"), ["ticker"], "cp", "valid_from", "_until")
+    per = vis.groupBy("ticker", "cp", "period_end").agg(
         F.max(F.when(F.col("metric_key") == lead_metric, F.col("period_start"))).alias("start"),
         *[F.max(F.when(F.col("metric_key") == m, F.struct(F.col("period_start").alias("s"), F.col("value").alias("v")))).alias(m) for m in metrics])
     per = per.where(F.col("start").isNotNull())

@@ -23,18 +23,19 @@ def validate_bars(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     return d.where("reject_reason IS NULL").drop("reject_reason"), d.where("reject_reason IS NOT NULL")
 
 
-def validate_import(rows: DataFrame) -> DataFrame:
-    """Typed trade rows with every error per row; exact repeats after the first are flagged."""
+def validate_import(rows: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
+    """Typed trade rows with every error per row; exact repeats after the first are flagged, within ``scope`` (a file)."""
     d = rows.withColumns({"trade_date": D.strict_date("date"), "ticker_n": T.normalize_ticker("ticker"), "side_n": T.trade_side("side"), "quantity": T.import_number("shares"),
                           "price_n": T.import_number("price"), "fee_n": F.coalesce(T.import_number("fee"), F.lit(0.0))})
-    key = F.concat_ws("\u0001", F.col("trade_date").cast("string"), "ticker_n", "side_n", F.col("quantity").cast("string"), F.col("price_n").cast("string"), F.col("fee_n").cast("string"))
-    d = d.withColumn("row_key", F.sha2(key, 256))
-    first = d.groupBy("row_key").agg(F.min("row_no").alias("_first"))  # one row per distinct key, combinable
-    d = d.join(first, "row_key")
     e = lambda c, t: F.when(c, F.lit(t))
-    return d.withColumn("errors", F.array_compact(F.array(
+    d = d.withColumn("_wrong", F.array_compact(F.array(
         e(F.col("trade_date").isNull(), "DATE"), e(F.col("ticker_n").isNull(), "TICKER"), e(F.col("side_n").isNull(), "SIDE"), e(F.coalesce(F.col("quantity") <= 0, F.lit(True)), "QUANTITY"),
-        e(F.coalesce(F.col("price_n") <= 0, F.lit(True)), "PRICE"), e(F.col("fee_n") < 0, "FEE"), e(F.col("row_no") > F.col("_first"), "DUPLICATE")))).drop("_first")
+        e(F.coalesce(F.col("price_n") <= 0, F.lit(True)), "PRICE"), e(F.col("fee_n") < 0, "FEE"))))
+    key = F.concat_ws("\u0001", *scope, F.col("trade_date").cast("string"), "ticker_n", "side_n", F.col("quantity").cast("string"), F.col("price_n").cast("string"), F.col("fee_n").cast("string"), *[c for c in ("note",) if c in rows.columns])
+    d = d.withColumn("row_key", F.sha2(key, 256))
+    first = d.where(F.size("_wrong") == 0).groupBy("row_key").agg(F.min("row_no").alias("_first"))  # one row per distinct key, combinable
+    repeated = (F.size("_wrong") == 0) & (F.col("row_no") > F.col("_first"))
+    return d.join(first, "row_key", "left").withColumn("errors", F.when(repeated, F.array(F.lit("DUPLICATE"))).otherwise(F.col("_wrong"))).drop("_first", "_wrong")
 
 
 def price_check(bars: DataFrame, scope: DataFrame, expected: Column) -> DataFrame:

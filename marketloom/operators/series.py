@@ -9,8 +9,10 @@ one exchange for the whole chain.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from marketloom.functions.scalar import col
 
@@ -144,18 +146,28 @@ def average_tie_rank(value: str | Column, partition: list[str | Column]) -> Colu
 def non_overlapping(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """Greedy selection: keep a row only if it starts after the end of the last kept one.
 
-    Order-dependent, so each key's (start, end) pairs are folded as one sorted array of
-    two dates per session; the wide rows are joined back by key and start.
+    A chain in the order of starts: the narrow (start, end) pairs of a key stream through a task sorted, one value of
+    state each, however many there are; the wide rows are joined back by key and start. Rows without a start are
+    left out; after a kept row without an end the next one is kept.
     """
-    pairs = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e")))).alias("a"))
-    zero = F.struct(F.lit(None).cast("date").alias("last"), F.array().cast("array<date>").alias("keep"))
-    fold = F.aggregate(
-        "a", zero,
-        lambda acc, r: F.when(acc["last"].isNull() | (r["s"] > acc["last"]),
-                              F.struct(r["e"].alias("last"), F.array_append(acc["keep"], r["s"]).alias("keep"))).otherwise(acc),
-        lambda acc: acc["keep"])
-    kept = pairs.select(*keys, F.explode(fold).alias(start))
-    return df.join(kept, [*keys, start], "left_semi")
+    narrow = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col(start).alias("_s"), F.col(end).alias("_e")).where(F.col("_s").isNotNull())
+    names = [f"_k{i}" for i in range(len(keys))]
+    kept_schema = T.StructType([f for f in narrow.schema.fields if f.name != "_e"])
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, None
+        for b in batches:
+            keep = []
+            for at, (*now, s, e) in enumerate(zip(*(b[n].to_pylist() for n in [*names, "_s", "_e"]), strict=True)):
+                if key != now or last is None or s > last:
+                    key, last = now, e
+                    keep.append(at)
+            yield b.select([*names, "_s"]).take(pa.array(keep, pa.int64()))
+
+    kept = narrow.repartition(*names).sortWithinPartitions(*names, "_s", "_e").mapInArrow(chain, kept_schema).distinct()
+    kept = kept.select(*[F.col(n).alias(f"_j{n}") for n in [*names, "_s"]])
+    on = [F.col(k).eqNullSafe(F.col(f"_j{n}")) for k, n in zip([*keys, start], [*names, "_s"], strict=True)]
+    return df.join(kept, on, "left_semi")
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[str], values: dict[str, Column]) -> DataFrame:

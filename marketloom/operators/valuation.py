@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from marketloom.functions.scalar import change, clamp, premium, ratio, rnd
 from marketloom.operators.aggregates import percentile_rank_of
-from marketloom.operators.asof import asof_join
+from marketloom.operators.asof import asof_join, first_above, valid_at
 from marketloom.operators.series import latest_per_key
 
 
@@ -22,10 +22,15 @@ def ttm_eps(facts: DataFrame) -> DataFrame:
     so_far = Window.partitionBy("ticker").orderBy("cp")  # one row per filing date
     cps = facts.groupBy("ticker", F.col("filed_at").alias("cp")).agg(*[F.max(F.when(is_kind, F.col("period_end"))).alias(k) for k, is_kind in kinds.items()])
     cps = cps.withColumns({k: F.max(k).over(so_far) for k in kinds})
-    # the newest year, the interims up to the same one a year before, four quarters with gaps of at most 130 days
-    needed = ((kinds["_annual"] & (F.col("period_end") == F.col("_annual"))) | (kinds["_interim"] & (F.col("period_end") >= F.date_sub("_interim", 430)))
-              | (kinds["_quarter"] & (F.col("period_end") >= F.date_sub("_quarter", 390))))
-    seen = cps.join(facts.drop("fiscal_year"), "ticker").where((F.col("filed_at") <= F.col("cp")) & needed)
+    # asked for are the newest year, interims up to the same one a year before, and four quarters with gaps of at most 130 days:
+    # a fact is in use from its filing to the day before a newer period of its kind puts it out of reach
+    f = facts.drop("fiscal_year")
+    for kind, days in {"_annual": 0, "_interim": 430, "_quarter": 390}.items():
+        f = first_above(f, cps, ["ticker"], F.date_add("period_end", days), kind, "cp", f"_end{kind}")
+    never, always = F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date")
+    ends = F.greatest(*[F.when(is_kind, F.coalesce(F.date_sub(f"_end{k}", 1), always)).otherwise(never) for k, is_kind in kinds.items()])
+    f = f.withColumn("_until", ends).drop(*[f"_end{k}" for k in kinds])
+    seen = valid_at(f, cps.select("ticker", "cp"), ["ticker"], "cp", "filed_at", "_until")
     best = seen.groupBy("cp", *key).agg(F.max_by("value", F.struct("filed_at", -F.col("tag_priority"))).alias("value"))
     e = F.struct(F.col("period_end").alias("end"), F.col("period_type").alias("type"), F.col("fiscal_period").alias("fp"), F.col("value").alias("v"))
     d = best.groupBy("ticker", "cp").agg(F.sort_array(F.collect_list(e), asc=False).alias("f"))

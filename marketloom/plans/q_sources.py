@@ -2,6 +2,7 @@
 from pyspark.sql import functions as F
 
 from marketloom.functions.scalar import rnd
+from marketloom.operators import quality as Q
 from marketloom.plans import sqlviews as S
 from marketloom.plans.registry import register
 from marketloom.sources import readers as R, sinks as K, views as V
@@ -188,3 +189,32 @@ def csv(spark, d):
     path = shared_dir(spark, "csv")
     K.export(V.bars(spark, d).where("ticker = 'T01'").select(F.col("trade_date").alias("Date"), "open", "high", "low", "close", "volume"), path, "csv")
     return R.read_bars_csv(spark, path).select("trade_date", rnd("close", 6).alias("close"))
+
+
+def trade_files(spark, d):
+    """Orders as import files: three lines before the header, columns in two orders, faulty rows; some files lack a column or the header."""
+    o = V.table(spark, d, "orders")
+    k, f = F.col("o_orderkey"), F.floor(F.col("o_orderkey") / 800)
+    q = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    cell = {"交易日期": F.when(k % 5 == 0, "2024-02-30").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")), "股票代码": F.concat(F.lit("t"), (k % 10).cast("string")), "股票名称": q(F.concat(F.lit("Name, "), k.cast("string"))),
+            "交易方向": F.when(k % 7 == 0, "hold").otherwise("买入"), "股数": q(F.lit("1,000")), "成交价": F.when(k % 11 == 0, "n/a").otherwise(q(F.format_number("o_totalprice", 2))), "交易费用": F.lit(""), "备注": F.lit("")}
+    orders_ = [list(R.IMPORT_HEADERS), list(R.IMPORT_HEADERS)[::-1], [h for h in R.IMPORT_HEADERS if h != "成交价"]]
+    kind = F.when(f % 5 == 3, 2).otherwise(f % 2)
+    pick = lambda make: F.when(kind == 2, make(orders_[2])).when(kind == 1, make(orders_[1])).otherwise(make(orders_[0]))
+    body = o.select(f.alias("f"), (k + 10).alias("n"), pick(lambda hs: F.concat_ws(",", *[cell[h] for h in hs])).alias("line"))
+    head = F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("Trades").alias("line")), F.struct(F.lit(2).cast("long").alias("n"), F.lit("").alias("line")), F.struct(F.lit(3).cast("long").alias("n"), F.lit("a,b").alias("line")),
+                   F.struct(F.lit(4).cast("long").alias("n"), F.when(F.col("f") % 7 == 6, "no header").otherwise(F.col("h")).alias("line")))
+    heads = o.select(f.alias("f"), pick(lambda hs: F.lit(",".join(hs))).alias("h")).distinct().select("f", F.explode(head).alias("x")).select("f", "x.*")
+    folder = shared_dir(spark, "trade-files")
+    heads.unionByName(body).repartition("f").sortWithinPartitions("f", "n").select("f", "line").write.partitionBy("f").text(folder)
+    return folder + "/f=*"
+
+
+@register("src_03_trade_files", """WITH o AS (SELECT *, o_orderkey // 800 AS f, row_number() OVER (PARTITION BY o_orderkey // 800 ORDER BY o_orderkey) + 4 AS row_no FROM orders)
+  SELECT f AS file_no, row_no, concat_ws(',', CASE WHEN o_orderkey % 5 = 0 THEN 'DATE' END, CASE WHEN o_orderkey % 7 = 0 THEN 'SIDE' END, CASE WHEN o_orderkey % 11 = 0 THEN 'PRICE' END) AS errors, 'Name, ' || o_orderkey AS name, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price FROM o WHERE f % 5 <> 3 AND f % 7 <> 6
+  UNION ALL SELECT f, 0, CASE WHEN f % 7 = 6 THEN 'NO_HEADER' ELSE 'MISSING:成交价' END, NULL, NULL FROM o WHERE f % 5 = 3 OR f % 7 = 6 GROUP BY f""")
+def import_files(spark, d):
+    rows, faults = R.read_trade_import(spark, trade_files(spark, d))
+    number = F.regexp_extract("file", "f=([0-9]+)", 1).cast("long").alias("file_no")
+    checked = Q.validate_import(rows, ("file",)).select(number, "row_no", F.array_join("errors", ",").alias("errors"), "name", F.col("price_n").alias("price"))
+    return checked.unionByName(faults.select(number, F.lit(0).alias("row_no"), F.col("error").alias("errors"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("price")))

@@ -27,10 +27,38 @@ def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumnRenamed("Date", "trade_date")
 
 
-def read_trade_import(spark: SparkSession, path: str) -> DataFrame:
-    """Trade-import CSV as strings plus the corrupt-record column; rows are validated later."""
-    schema = "date string, ticker string, name string, side string, shares string, price string, fee string, note string, _corrupt string"
-    return spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+# The headers of the trade template, in its order, and the names that rows get here; limits of a file.
+IMPORT_HEADERS = {"交易日期": "date", "股票代码": "ticker", "股票名称": "name", "交易方向": "side", "股数": "shares", "成交价": "price", "交易费用": "fee", "备注": "note"}
+IMPORT_BYTES, IMPORT_ROWS, IMPORT_HEADER_ROWS, IMPORT_COLUMNS = 5 * 1024 * 1024, 1000, 10, 64
+
+
+def read_trade_import(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Trade-import CSV files: rows (``file, row_no`` and the template's columns as text) and faults of whole files (``file, error``).
+
+    The header is the first of a file's first ten lines that has the date and the ticker column; columns may stand in any
+    order, others are ignored. Blank rows are skipped, all others kept, whatever is in them. A file over 5 MB, without
+    header, with missing columns, without rows or with over 1000 gives no rows but a fault. A file is read as one value, which
+    its limit bounds; larger ones are told by their length alone, without reading them. Files without a byte are passed over.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= IMPORT_BYTES).select(F.col("path").alias("file"), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("body"))
+    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(IMPORT_COLUMNS)), {"mode": "PERMISSIVE", "escape": "\""})
+    lines = small.select("file", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("row_no"), cells.alias("c"))
+    lines = lines.select("file", "row_no", F.array(*[F.trim(F.coalesce(f"c.c{i}", F.lit(""))) for i in range(IMPORT_COLUMNS)]).alias("cells"))
+    names = list(IMPORT_HEADERS)
+    is_header = (F.col("row_no") <= IMPORT_HEADER_ROWS) & F.array_contains("cells", names[0]) & F.array_contains("cells", names[1])
+    headers = lines.where(is_header).groupBy("file").agg(F.min("row_no").alias("header_no"), F.min_by("cells", "row_no").alias("header"))
+    missing = F.array_except(F.array(*map(F.lit, names)), F.col("header"))
+    headers = small.select("file").join(headers, "file", "left").withColumn("missing", F.array_join(missing, ","))
+    sound = headers.where("missing = ''").drop("missing")
+    value = lambda name: F.element_at("cells", F.array_position("header", name).cast("int"))
+    rows = lines.join(sound, "file").where(F.col("row_no") > F.col("header_no")).select("file", "row_no", *[value(h).alias(c) for h, c in IMPORT_HEADERS.items()])
+    rows = rows.where(F.concat(*IMPORT_HEADERS.values()) != "")
+    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
+    faults = headers.join(counts, "file", "left").select("file", F.when(F.col("header").isNull(), "NO_HEADER").when(F.col("missing") != "", F.concat(F.lit("MISSING:"), "missing"))
+                                                         .when(F.col("n").isNull(), "NO_ROWS").when(F.col("n") > IMPORT_ROWS, "TOO_MANY_ROWS").alias("error")).where("error IS NOT NULL")
+    faults = faults.unionByName(files.where(F.col("length") > IMPORT_BYTES).select(F.col("path").alias("file"), F.lit("TOO_LARGE").alias("error")))
+    return rows.join(faults.where("error = 'TOO_MANY_ROWS'").select("file"), "file", "left_anti"), faults
 
 
 def chart_bars(payloads: DataFrame) -> DataFrame:

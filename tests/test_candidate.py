@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.operators import predict as PR, ridge as R, snapshot as SN
+from marketloom.operators import predict as PR, ridge as R, snapshot as SN, valuation as VA
 from marketloom.operators.asof import asof_join, asof_joins, valid_at
 
 
@@ -157,3 +157,20 @@ def test_peers_without_a_bar_and_without_earnings(spark):
     links = spark.createDataFrame([("A", "B", d(2019, 1, 1), None), ("A", "C", d(2019, 1, 1), d(2020, 1, 9)), ("A", "D", d(2019, 1, 1), d(2020, 1, 7))], "ticker string, related_ticker string, active_from date, active_to date")
     got = {r.trade_date: (r.peer_static_pe, r.peer_forward_pe, r.peer_samples, r.static_premium, r.forward_premium) for r in SN.peer_features(rows, links, prices, ttm, ntm).collect()}
     assert got == {d(2020, 1, 5): (10.0, 6.0, 1, 1.0, 0.666667), d(2020, 1, 9): (7.0, 6.0, 2, None, 0.666667)}
+
+
+def test_trailing_eps_of_ten_thousand_facts(spark):
+    """One issuer that restates 2 500 quarters four times: as pairs of filing dates and facts that were 10^8 rows."""
+    k = F.col("id")
+    start = F.date_add(F.lit("1000-01-01").cast("date"), (k * 91).cast("int"))
+    quarters = spark.range(2500).select(start.alias("period_start"), F.date_add(start, 90).alias("period_end"), k.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("v"))
+    facts = quarters.select(F.lit("A").alias("ticker"), "period_start", "period_end", F.lit("quarter").alias("period_type"), F.lit(0).alias("fiscal_year"), F.lit("Q2").alias("fiscal_period"),
+                            F.date_add("period_end", 10 + 20 * F.col("v")).alias("filed_at"), (F.col("q") + F.col("v") * 0.25).alias("value"), F.lit(0).alias("tag_priority"))
+    got = {r.cp: r.ttm_eps for r in VA.ttm_eps(facts).collect()}
+    rows = [(r.filed_at, r.q, r.value) for r in facts.withColumn("q", F.floor("value")).select("filed_at", "q", "value").collect()]
+    assert len(got) == 10000
+    for cp in sorted(got)[40:10000:997]:
+        latest = {}
+        for _, q, v in sorted(r for r in rows if r[0] <= cp):
+            latest[q] = v
+        assert got[cp] == sum(latest[q] for q in sorted(latest)[-4:])
