@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
+import re
 import sys
 import zlib
 from array import array
@@ -38,9 +40,30 @@ def encoding(ranks: bytes, pattern: str):
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
 
-def token_bytes(text: str, enc) -> bytes:
-    """The ids as little-endian unsigned 32-bit integers."""
-    ids = array("I", enc.encode_ordinary(text))
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer's .json file, which stand for themselves wherever a text contains them."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens", [])
+    if any(t.get(k) for t in found for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("an added token that depends on its surroundings")
+    return {t["content"]: t["id"] for t in found}
+
+
+@functools.lru_cache(maxsize=2)
+def splitter(contents: frozenset[str]) -> re.Pattern | None:
+    """Finds the added tokens, of those that begin at one place the longest."""
+    return re.compile("(" + "|".join(re.escape(c) for c in sorted(contents, key=lambda c: (-len(c), c))) + ")") if contents else None
+
+
+def token_bytes(text: str, enc, added: dict[str, int] | None = None) -> bytes:
+    """The ids as little-endian unsigned 32-bit integers; what lies between added tokens is encoded for itself."""
+    cut = splitter(frozenset(added)) if added else None
+    if cut is None or not cut.search(text):
+        ids = array("I", enc.encode_ordinary(text))
+    else:
+        ids = array("I")
+        for k, part in enumerate(cut.split(text)):
+            ids.extend([added[part]] if k % 2 else enc.encode_ordinary(part))
     if sys.byteorder == "big":
         ids.byteswap()
     return ids.tobytes()
@@ -55,7 +78,7 @@ def cuts(n: int) -> Iterator[tuple[int, int]]:
         at += size
 
 
-def pieces(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def pieces(docs: DataFrame, ranks: bytes, pattern: str, added: dict[str, int]) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, cls, part, rank``: whole sequences are class 0, shorter pieces count their grains.
 
     ``rank`` counts the pieces of a class within its partition ``part``.
@@ -69,7 +92,7 @@ def pieces(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         for b in batches:
             rows = []
             for k, t in enumerate(b.column(1).to_pylist()):
-                ids = token_bytes(t, enc) + end
+                ids = token_bytes(t, enc, added) + end
                 n = len(ids) // 4
                 for a, size in cuts(n):
                     c = 0 if size == LENGTH else -(-size // GRAIN)
@@ -199,13 +222,13 @@ def places(classes: np.ndarray, used: list[tuple[dict[int, int], int]], first: i
     return {c: tuple(np.array(r, np.int64).T) for c, r in rows.items()}
 
 
-def pack(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
+def pack(docs: DataFrame, ranks: bytes, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: every id of every document in one piece.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    cut = materialize(pieces(docs, ranks, pattern), "packing-pieces")
+    cut = materialize(pieces(docs, ranks, pattern, added or {}), "packing-pieces")
     counts = cut.groupBy("cls", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("cls", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -239,8 +262,9 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def pack_default(spark: SparkSession, docs: DataFrame, path: str | None = None) -> DataFrame:
-    """With the public 50k byte-level BPE; ``path`` is its file of ranks, the same vocabulary as the .json file."""
+def pack_default(spark: SparkSession, docs: DataFrame, path: str | None = None, tokenizer: str | None = None) -> DataFrame:
+    """With the public 50k byte-level BPE; ``path`` is its file of ranks, ``tokenizer`` the .json file of the same vocabulary with its added tokens."""
     import public_tokenizers
 
-    return pack(docs, vocabulary(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    added = added_tokens(tokenizer or public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, vocabulary(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, added)

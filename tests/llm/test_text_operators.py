@@ -316,6 +316,10 @@ def test_packing(spark, corpus):
     texts, ids = corpus
     rng = random.Random(6)
     texts, ids = texts + [prose(rng, rng.randint(1, 1500)) for _ in range(150)], ids + list(range(500, 650))
+    mark = "<|endoftext|>"
+    marked = [mark, mark * 2, mark + "begin", "end" + mark, "in the  " + mark + "  middle", "a\n" + mark + mark + " b" + mark[:-1], "<|" + mark + "|>"]
+    marked += ["".join(rng.choice(["a", " ", "  ", "\n", "é", "'s", "12", mark, "<|", "|>", "endoftext"]) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    texts, ids = texts + marked, ids + list(range(1000, 1000 + len(marked)))
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter((i, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids + [1])) for i, t in zip(ids, texts, strict=True))
     docs = frame(spark, texts, ids)
