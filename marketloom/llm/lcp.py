@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from marketloom.llm.common import mix, spread, texts
 from marketloom.sources.shared import materialize
@@ -118,8 +119,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((n[:SIZE] == 2).mean())
 
 
+def bytes_of(signature: np.ndarray) -> bytes:
+    return signature.astype(">u4").tobytes()
+
+
 def text_of(signature: np.ndarray) -> str:
-    return signature.astype(">u4").tobytes().hex()
+    return bytes_of(signature).hex()
 
 
 def edit(text: str, other: str) -> str:
@@ -128,7 +133,7 @@ def edit(text: str, other: str) -> str:
     return text[:len(text) - n] + other[:n]
 
 
-COLUMNS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+COLUMNS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 Pair = tuple[int | None, str, str]  # a document and the text of the next one
 
 
@@ -137,7 +142,7 @@ def rows(pairs: list[Pair]) -> list[tuple]:
     own, of_edited, of_next = signatures([t for _, t, _ in pairs]), signatures(edited), []
     for k, (_, _, n) in enumerate(pairs):  # most next texts are the following pair's own
         of_next.append(own[k + 1] if k + 1 < len(pairs) and pairs[k + 1][1] is n else signatures([n])[0])
-    return [(i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), text_of(a), text_of(b), likeness(a, b), likeness(a, c))
+    return [(i, len(t), hashlib.sha256(e.encode("utf-8", "surrogatepass")).digest(), bytes_of(a), bytes_of(b), likeness(a, b), likeness(a, c))
             for (i, t, _), e, a, b, c in zip(pairs, edited, own, of_edited, of_next, strict=True)]
 
 
@@ -145,7 +150,7 @@ def record_batch(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
 
-SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
                     ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
@@ -202,4 +207,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     found = materialize(dealt.mapInArrow(run, COLUMNS + ", part int, kind int, text string"), "fingerprints")
     edges = found.filter("kind > 0").select("doc_id", "part", "kind", "text").repartition(1).sortWithinPartitions("part", "kind").mapInArrow(close, COLUMNS)
-    return found.filter("kind = 0").drop("part", "kind", "text").unionByName(edges)
+    whole = found.filter("kind = 0").drop("part", "kind", "text").unionByName(edges)  # bytes are written, hex digits are not
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
