@@ -78,16 +78,23 @@ def vector() -> dict[str, Column]:
             P + "x2": F.sqrt(F.col(P + "n_dup_lines") / n) * 2, P + "x3": F.sqrt(F.col(P + "n_repeat_words") / n)}
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``__qr_group``: language and source, the language if the source has under LEAST_ROWS rows there, or all small languages together."""
+def source_key() -> tuple[Column, Column]:
     lang, source = F.coalesce(F.col(P + "lang"), F.lit("\x00")), F.coalesce(F.col(P + "source"), F.lit("\x00"))
-    own, wide = F.concat_ws("\x01", F.lit("source"), lang, source), F.concat_ws("\x01", F.lit("language"), lang)
+    return F.concat_ws("\x01", F.lit("source"), lang, source), F.concat_ws("\x01", F.lit("language"), lang)
+
+
+def groups(rows: DataFrame) -> DataFrame:
+    """``__qr_own, __qr_group`` of each language and source: itself, the language if it has under LEAST_ROWS rows there, or all small languages together."""
+    own, wide = source_key()
     fit = rows.filter(~F.col(P + "failed"))
     counts = fit.groupBy(own.alias(P + "own"), wide.alias(P + "wide")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.withColumn("large", F.col("n") >= LEAST_ROWS)
     rest = F.sum(F.when(~F.col("large"), F.col("n")).otherwise(0)).over(Window.partitionBy(P + "wide"))
-    chosen = counts.select(P + "own", F.when(F.col("large"), F.col(P + "own")).when(rest >= LEAST_ROWS, F.col(P + "wide")).otherwise("all").alias(P + "group"))
-    return rows.withColumn(P + "own", own).join(chosen, P + "own", "left").drop(P + "own")
+    return counts.select(P + "own", F.when(F.col("large"), F.col(P + "own")).when(rest >= LEAST_ROWS, F.col(P + "wide")).otherwise("all").alias(P + "group"))
+
+
+def grouped(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    return rows.withColumn(P + "own", source_key()[0]).join(chosen, P + "own", "left").drop(P + "own")
 
 
 PAIRS = [(a, b) for a in range(DIM) for b in range(a + 1)]
@@ -157,9 +164,8 @@ def starts(fit: DataFrame) -> DataFrame:
     return factored(first.unionByName(second).unionByName(third).withColumn("before", F.lit(0.0)), [GROUP, START], 1.0)
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """By group, the minimum-covariance-determinant mean and Cholesky factor of its rows that passed the base rules."""
-    fit = rows.filter(~F.col(P + "failed")).select(GROUP, *[f"{P}x{k}" for k in range(DIM)])
+def estimates(fit: DataFrame) -> DataFrame:
+    """By group, the minimum-covariance-determinant mean and Cholesky factor. ``fit``: the group and vector of rows that passed the base rules."""
     keys = [GROUP, START]
     each = fit.withColumn(START, F.explode(F.array(*[F.lit(k) for k in range(STARTS)])))
     now = materialize(starts(fit), "rules-estimate")
@@ -176,8 +182,11 @@ def judged(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``columns`` of ``docs`` and the ``__qr_`` columns with ``__qr_failed`` and ``__qr_kept``, from a written table."""
     extra = {P + c: (F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")) for c in ("lang", "source")}
     rows = base_columns(docs.withColumns(extra).select(*columns, P + "lang", P + "source", *([] if "text" in columns else ["text"])))
-    rows = materialize(groups(materialize((rows if "text" in columns else rows.drop("text")).withColumns(vector()).withColumn(P + "failed", base_failed()), "rules-statistics")), "rules-groups")
-    far = distances(rows, estimates(rows), [GROUP])
+    # texts are written once, with their statistics; the groups are a small table, and the estimate reads narrow rows
+    rows = materialize((rows if "text" in columns else rows.drop("text")).withColumns(vector()).withColumn(P + "failed", base_failed()), "rules-statistics")
+    rows = grouped(rows, materialize(groups(rows), "rules-groups"))
+    fit = materialize(rows.filter(~F.col(P + "failed")).select(GROUP, *[f"{P}x{k}" for k in range(DIM)]), "rules-fit")
+    far = distances(rows, estimates(fit), [GROUP])
     return far.withColumn(P + "kept", ~F.col(P + "failed") & F.coalesce(F.col(P + "d2") <= CUTOFF, F.lit(True)))
 
 
