@@ -7,7 +7,6 @@ network learns from a bounded sample; thresholds come from counts over all label
 """
 from __future__ import annotations
 
-import hashlib
 import io
 import zlib
 from collections.abc import Iterator
@@ -15,6 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -222,8 +223,8 @@ def teachers(labels: DataFrame) -> DataFrame:
     return labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y")).filter(~held_out(HELD_OUT, 5))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
-    """The packed model, or None if labels of both kinds are missing.
+def fit(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """A written table with one row ``languages, model`` (the packed network), or none if labels of both kinds are missing.
 
     The network's teachers are at most SAMPLE rows a label, not held out; they are chosen among all by a
     hash of their id, sent to one task and trained there. Languages are those of all labelled rows; the
@@ -257,32 +258,35 @@ def fit(docs: DataFrame, labels: DataFrame) -> bytes | None:
                     tokens.append(d)
                     y.append(label)
         if len(set(y)) == 2:
-            yield pa.RecordBatch.from_arrays([pa.array([train(tokens, np.array(y), guesser(counts)).pack()], pa.binary())], names=["model"])
+            model = train(tokens, np.array(y), guesser(counts))
+            yield pa.RecordBatch.from_arrays([pa.array([model.guess.shape[1]], pa.int32()), pa.array([model.pack()], pa.binary())], names=["languages", "model"])
 
-    found = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "model binary").first()
-    return bytes(found[0]) if found else None
+    return materialize(sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").mapInArrow(run, "languages int, model binary"), "toxicity-model")
 
 
 def calibration(logits: DataFrame, labels: DataFrame, languages: int) -> np.ndarray:
-    """Counts by guessed language, bin of the logit and label over all labelled rows that aren't held out."""
+    """Counts by guessed language, bin of the logit and label over all labelled rows that aren't held out.
+
+    The driver gets one row a language, of two numbers for each cell that has rows.
+    """
     bins = int(2 * LARGEST / BIN)
     at = F.least(F.greatest(F.floor((F.col("logit") + LARGEST) / BIN), F.lit(0)), F.lit(bins - 1)).cast("int")
+    cells = logits.join(teachers(labels), "doc_id").groupBy("language", (at * 2 + F.col("y")).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     out = np.zeros((languages, bins, 2), np.int64)
-    for r in logits.join(teachers(labels), "doc_id").groupBy("language", at.alias("bin"), "y").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
-        out[r["language"], r["bin"], r["y"]] = r["n"]
+    for r in cells.groupBy("language").agg(F.collect_list(F.struct("cell", "n")).alias("c")).select("language", "c.cell", "c.n").collect():
+        out[r["language"]].reshape(-1)[r["cell"]] = r["n"]
     return out
 
 
-MODELS: dict[bytes, Model] = {}
+MODELS: dict[str, Model] = {}
 
 
-def model_of(content: bytes) -> Model:
-    """One unpacked model a worker process, kept for its next tasks."""
-    key = hashlib.sha1(content).digest()
-    if key not in MODELS:
+def model_of(name: str) -> Model:
+    """One unpacked model a worker process, kept for its next tasks; ``name``: a file of the table that ``fit`` wrote."""
+    if name not in MODELS:
         MODELS.clear()
-        MODELS[key] = Model.unpack(content)
-    return MODELS[key]
+        MODELS[name] = Model.unpack(pq.read_table(SparkFiles.get(name), columns=["model"])["model"][0].as_buffer().to_pybytes())
+    return MODELS[name]
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -291,14 +295,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts are scored as one padding word. Without labels of both kinds every score is 0. A
     null doc_id isn't held out. Extra columns are ignored; an empty table gives an empty result.
     """
-    content = fit(docs, labels)
-    if content is None:
+    fitted = fit(docs, labels)
+    found = fitted.select("languages", F.col("_metadata.file_path").alias("path")).first()
+    if found is None:
         rows = texts(docs).select("doc_id", F.lit(0.0).alias("score"))
         return rows.select("doc_id", held_out(HELD_OUT, 5).alias("held_out"), "score", F.lit(0).alias("predicted"))
-    blob = docs.sparkSession.sparkContext.broadcast(content)  # the model's size doesn't depend on the input
+    docs.sparkSession.sparkContext.addFile(found["path"])  # each executor fetches the file, a replacement too; its size doesn't depend on the input
+    name = found["path"].rsplit("/", 1)[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = model_of(blob.value)
+        model = model_of(name)
         for b in batches:
             out, now, size = [], [], 0
             for t in as_bytes(b.column(1)):
@@ -314,7 +320,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     # each text is read once: its logit counts for the thresholds and is what they are held against
     logits = materialize(texts(docs).mapInArrow(run, "doc_id long, logit double, language int"), "toxicity-logits")
-    limits = thresholds(calibration(logits, labels, Model.unpack(content).guess.shape[1]))
+    limits = thresholds(calibration(logits, labels, found["languages"]))
     over = F.col("logit") - F.array(*[F.lit(float(x)) for x in limits])[F.col("language")]
     scored = logits.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(over, F.lit(-50.0)), F.lit(50.0)))))
     return scored.select("doc_id", held_out(HELD_OUT, 5).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -239,7 +239,7 @@ def test_toxicity_thresholds_from_all_labelled_rows(spark, monkeypatch):
     rare = F.col("doc_id") % 3 == 0  # 167 rows, most of them outside of the sample
     docs = docs.withColumn("lang", F.when(rare, "es").otherwise("en")).withColumn("text", F.when(rare, F.concat(F.lit("hola que tal "), "text")).otherwise(F.col("text")))
     monkeypatch.setattr(toxicity, "SAMPLE", {1: 30, 0: 60})
-    model = toxicity.Model.unpack(toxicity.fit(docs, labels))
+    model = toxicity.Model.unpack(bytes(toxicity.fit(docs, labels).first()["model"]))
     assert model.guess.shape[1] == 2
     logits = docs.select("doc_id", (F.col("doc_id") / 10).alias("logit"), F.when(rare, 1).otherwise(0).alias("language"))
     counts = toxicity.calibration(logits, labels, 2)
