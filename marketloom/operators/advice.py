@@ -68,6 +68,49 @@ def decide(score: Column, has_position: Column, official_critical: Column, tacti
             .when((score <= -20) | (return_p50 <= -0.03) | (probability_up <= 0.45), act("REDUCE_CANDIDATE", "AVOID", "PUBLISHED")).otherwise(act("HOLD", "WATCH", "PUBLISHED")))
 
 
+def advice_rows(rows: DataFrame, gate: float = 85.0) -> DataFrame:
+    """Action, stance, impact, confidence, prices and component scores of every (ticker, as_of, horizon) row.
+
+    ``rows`` holds what was known at ``as_of``: ``horizon_return, close``; ``flow_signal, flow_confidence, flow_score``; ``stage,
+    direction, behavior_confidence, behavior_score, behavior_status, behavior_reliability``; ``intraday_date, intraday_level, intraday_signal,
+    intraday_confidence, intraday_score, sell_imbalance``; ``event_score, evidence_quality, official_critical, unverified_high_risk``; ``regime``;
+    ``static_premium, forward_premium, static_percentile, forward_percentile``; ``revision_30d, revision_7d, breadth_30d, breadth_7d``;
+    ``revenue_growth, gross_margin, peer_gross_margin``; ``action_age, action_change``; ``quantity``; ``return_p10, return_p50,
+    probability_up, reliability_score, reliability_status``. A component without its inputs is null and leaves its weight to the others.
+    """
+    c = F.col
+    at = lambda f: F.coalesce(*[F.when(c("horizon") == h, f(h)) for h in WEIGHTS])
+    false = lambda x: F.coalesce(x, F.lit(False))
+    gated = false(flow_gate(c("stage"), c("behavior_confidence"), c("direction"), c("behavior_status"), c("behavior_reliability"), gate))
+    intraday = false((c("intraday_date") == c("as_of")) & (c("intraday_level") == "TICK_DIRECTION") & (c("intraday_confidence") >= 55))
+    d = rows.withColumns({
+        "_gated": gated, "_intraday": intraday,
+        "score_price": at(lambda h: price_score(c("horizon_return"), h)),
+        "score_capitalFlow": F.when((c("flow_signal") != "INSUFFICIENT") & (c("flow_confidence") >= 60), rnd(blended_flow(c("flow_score"), c("behavior_score"), gated), 2)),
+        "score_intradayFlow": F.when(intraday, c("intraday_score")), "score_events": rnd("event_score", 2), "score_macro": at(lambda h: macro_score(c("regime"), h)),
+        "score_valuation": valuation_score([c("forward_premium"), c("static_premium")], [c("forward_percentile"), c("static_percentile")]),
+        "score_earnings": earnings_score(c("revision_30d"), c("revision_7d"), c("breadth_30d"), c("breadth_7d")),
+        "score_fundamentals": fundamentals_score(c("revenue_growth"), c("gross_margin"), c("peer_gross_margin"))})
+    parts = {k: c(f"score_{k}") for k in COMPONENTS}
+    adjustment = corporate_action_adjustment(c("action_age"), c("action_change"))
+    d = d.withColumn("_i", at(lambda h: F.struct(*[x.alias(n) for x, n in zip(weighted_impact(parts, h, adjustment), ("score", "coverage"))])))
+    d = d.withColumns({"impact_score": c("_i.score"), "factor_coverage": c("_i.coverage")})
+    d = d.withColumn("impact_score", F.when(c("factor_coverage") > 0, c("impact_score")).otherwise(0.0))
+    confidence = rnd(clamp(c("factor_coverage") * 0.6 + F.coalesce(rnd("evidence_quality", 2), F.lit(50.0)) * 0.15 + F.coalesce("reliability_score", F.lit(0.0)) * 0.25, 0, 100), 2)
+    critical = false(c("official_critical") > 0)
+    tactical = c("_intraday") & false((c("intraday_signal") == "STRONG_OUTFLOW") & (c("intraday_confidence") >= 60) & c("sell_imbalance"))
+    outflow = c("_gated") & (c("direction") == "BEARISH") & (c("behavior_score") <= -20)
+    formal = false((c("reliability_status") == "PUBLISHED") & (c("reliability_score") >= gate) & c("return_p50").isNotNull() & c("probability_up").isNotNull())
+    d = d.withColumns({"confidence_score": confidence, "stance": F.when(c("impact_score") >= 20, "BULLISH").when(c("impact_score") <= -20, "BEARISH").otherwise("NEUTRAL"), "_formal": formal})
+    d = d.withColumn("_d", decide(c("impact_score"), false(c("quantity") > 0), critical, tactical, outflow, c("_formal"), c("unverified_high_risk") > 0, c("return_p50"), c("probability_up"), c("confidence_score")))
+    d = d.withColumn("formal_ready", c("_formal") & (critical | ~(tactical | outflow)))
+    low = c("close") * (1 + c("return_p10"))
+    return d.select(
+        "ticker", "as_of", "horizon", "_d.action", "stance", "impact_score", "confidence_score", "factor_coverage", "_d.publication_status", "formal_ready", c("close").alias("current_price"),
+        F.when(c("formal_ready"), rnd(c("close") * (1 + c("return_p50")), 4)).alias("target_price"), F.when(c("formal_ready") & (low < c("close")), rnd(low, 4)).alias("stop_price"),
+        *[f"score_{k}" for k in COMPONENTS])
+
+
 def publication_safe(df: DataFrame, status: str, values: list[str]) -> DataFrame:
     """Null the value columns of unpublished rows and list what was redacted."""
     ok = F.col(status) == "PUBLISHED"

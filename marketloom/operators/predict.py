@@ -153,6 +153,32 @@ def prediction_changes(pred: DataFrame) -> DataFrame:
                     rnd(F.col("_r") - explained, 8).alias("residual"), F.array_join(F.transform(top, lambda x: x["key"]), ",").alias("drivers"), *[f"d_{k}" for k in FACTORS])
 
 
+def provenance(features: DataFrame) -> DataFrame:
+    """For each snapshot one struct a feature group: dates, data levels, statuses and counts. Without events their counts are 0."""
+    counts = {"total": "events_30d", "direct": "direct_events_30d", "proxy": "proxy_events_30d", "official_high_risk": "official_risk_30d"}
+    return features.select(
+        "ticker", "trade_date", F.struct(F.col("trade_date").alias("price_date"), F.col("sample_size").alias("sessions")).alias("price"),
+        F.struct(F.when(F.col("behavior_score").isNotNull(), F.col("trade_date")).alias("as_of"), F.col("behavior_data_level").alias("data_level")).alias("capital"),
+        F.struct(F.col("estimate_as_of").alias("as_of"), F.col("estimate_quality").alias("quality_status")).alias("earnings"),
+        F.struct(F.col("fiscal_period_end").alias("period_end"), F.col("statement_filed_at").alias("filed_at")).alias("fundamentals"),
+        F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(n) for n, c in counts.items()]).alias("events"))
+
+
+def evidence_changes(pred: DataFrame, features: DataFrame) -> DataFrame:
+    """Each prediction against the previous one of its horizon: provenance of both snapshots, change of data quality and of factor coverage.
+
+    A snapshot's provenance is joined once and carried over by a lag, so there is one join on the key of both tables.
+    """
+    w = Window.partitionBy("ticker", "horizon").orderBy("trade_date")
+    groups = ["price", "capital", "earnings", "fundamentals", "events"]
+    d = pred.select("ticker", "trade_date", "horizon", "quality_score", "factor_coverage").join(
+        provenance(features).select("ticker", "trade_date", F.struct(*groups).alias("current_evidence")), ["ticker", "trade_date"])
+    prev = lambda c: F.lag(c).over(w)
+    d = d.withColumns({"previous_date": prev("trade_date"), "previous_evidence": prev("current_evidence"), "quality_delta": rnd(F.col("quality_score") - prev("quality_score"), 2),
+                       "coverage_delta": rnd(F.col("factor_coverage") - prev("factor_coverage"), 2)})
+    return d.where("previous_date IS NOT NULL")
+
+
 def fixed_target_comparisons(pred: DataFrame, target: str = "target_date", window_days: int = 7) -> DataFrame:
     """For each ticker and anchor horizon (21, 63): the predictions of the same and longer horizons whose
     target is nearest to the anchor's latest target, and how the median target moved."""

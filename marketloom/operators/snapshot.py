@@ -31,7 +31,7 @@ def statement_states(annual: DataFrame) -> DataFrame:
     d = change_points(versions, "revenue", STATEMENT_METRICS, ANNUAL_REACH)
     now, before = F.get("qs", F.lit(0)), F.get("qs", F.lit(1))
     return d.select(
-        "ticker", "cp", now["end"].alias("fiscal_period_end"), rnd(change(now["revenue"], before["revenue"]), 6).alias("revenue_growth"),
+        "ticker", "cp", now["end"].alias("fiscal_period_end"), F.col("cp").alias("statement_filed_at"), rnd(change(now["revenue"], before["revenue"]), 6).alias("revenue_growth"),
         rnd(ratio(now["grossProfit"], now["revenue"]), 6).alias("gross_margin"), rnd(ratio(now["netIncome"], now["revenue"]), 6).alias("net_margin"),
         rnd(ratio(now["operatingCashFlow"], now["revenue"]), 6).alias("cash_flow_margin"),
         rnd(F.when(now["netIncome"] != 0, now["operatingCashFlow"] / F.abs(now["netIncome"])), 6).alias("cash_conversion"),
@@ -44,8 +44,8 @@ def price_earnings(close: Column, eps: Column) -> Column:
 
 def known_earnings(ttm: DataFrame, ntm: DataFrame) -> list[tuple[DataFrame, str, list[str], bool]]:
     """For ``asof_joins``: trailing EPS is known strictly after its filing, the NTM consensus from its own date on."""
-    n = ntm.where(F.col("eps_value").isNotNull()).select("ticker", "as_of", rnd("eps_value", 4).alias("ntm_eps"))
-    return [(ttm, "cp", ["ttm_eps"], True), (n, "as_of", ["ntm_eps"], False)]
+    n = ntm.where(F.col("eps_value").isNotNull()).select("ticker", "as_of", rnd("eps_value", 4).alias("ntm_eps"), F.col("as_of").alias("estimate_as_of"), F.col("quality_status").alias("estimate_quality"))
+    return [(ttm, "cp", ["ttm_eps"], True), (n, "as_of", ["ntm_eps", "estimate_as_of", "estimate_quality"], False)]
 
 
 def with_price_earnings(rows: DataFrame) -> DataFrame:
@@ -76,11 +76,20 @@ def peer_features(rows: DataFrame, relations: DataFrame, prices: DataFrame, ttm:
                           "forward_premium": rnd(premium("forward_pe", "_mf"), 6)}).drop("_ms", "_mf")
 
 
+def peer_margins(rows: DataFrame, relations: DataFrame, statements: DataFrame) -> DataFrame:
+    """Adds the median gross margin of the peers that are active at each row's date, as filed before it. ``statements``: of ``statement_states``."""
+    key = ["ticker", "trade_date"]
+    pairs = valid_at(relations, rows.select(*key).distinct(), ["ticker"], "trade_date", "active_from", "active_to").select(*key, "related_ticker")
+    s = statements.select(F.col("ticker").alias("related_ticker"), "cp", F.col("gross_margin").alias("_margin"))
+    known = asof_join(pairs, s, ["related_ticker"], "trade_date", "cp", ["_margin"], strict=True)
+    return rows.join(known.groupBy(*key).agg(F.median("_margin").alias("peer_gross_margin")), key, "left")
+
+
 def event_score_features(rows: DataFrame, events: DataFrame, days: int = 30) -> DataFrame:
     """Signed severity of the trailing days' events; null without any."""
     e = trailing_event_features(events, rows.select("ticker", F.col("trade_date").alias("as_of")), days)
     e = e.select("ticker", F.col("as_of").alias("trade_date"), F.when(F.col("events") > 0, F.col("event_score")).alias("event_score"), F.col("events").alias("events_30d"),
-                 F.col("official_high_risk").alias("official_risk_30d"))
+                 (F.col("events") - F.col("proxy")).alias("direct_events_30d"), F.col("proxy").alias("proxy_events_30d"), F.col("official_high_risk").alias("official_risk_30d"))
     return rows.join(e, ["ticker", "trade_date"], "left")
 
 

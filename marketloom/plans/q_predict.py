@@ -94,7 +94,8 @@ def features(spark, d):
     f = SN.industry_features(f, prices, V.industries(spark, d))
     st = BH.stages(BH.composite(FL.flow_score(FL.flow_metrics(b))))
     f = f.join(st.select(*KEY, F.when(F.col("signal") != "INSUFFICIENT", rnd(F.col("daily_score") / 100, 4)).alias("flow_score"),
-                         F.when(F.col("stage") != "INSUFFICIENT", rnd(F.col("score") / 100, 4)).alias("behavior_score")), KEY)
+                         F.when(F.col("stage") != "INSUFFICIENT", rnd(F.col("score") / 100, 4)).alias("behavior_score"),
+                         F.when(F.col("stage") != "INSUFFICIENT", F.coalesce("data_level", F.lit("DAILY_BARS"))).alias("behavior_data_level")), KEY)
     trailing, forward = materialize(ttm(spark, d), "ttm"), materialize(ntm(spark, d), "ntm")
     f = materialize(f, "price-features")  # the rows that all further parts are joined to
     rev = VA.revisions(V.estimates(spark, d)).select("ticker", "as_of", O.row_mean([F.col("revision_7d"), F.col("revision_30d")]).alias("eps_revision"))

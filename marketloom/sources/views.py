@@ -141,9 +141,9 @@ def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filing_and_news_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research events and classified filings in one table, as the event index keeps them."""
     from marketloom.operators.events import classify_filings
-    e = research_events(spark, sf_dir).select("ticker", "event_date", "source_type", "severity", "direction", "relation_type")
+    e = research_events(spark, sf_dir).select("ticker", "event_date", "source_type", "severity", "direction", "relation_type", "source_tier")
     return e.unionByName(classify_filings(filings(spark, sf_dir)).select(
-        "ticker", F.col("filed_at").alias("event_date"), F.lit("SEC_8K").alias("source_type"), "severity", F.lit("MIXED").alias("direction"), F.lit("DIRECT").alias("relation_type")))
+        "ticker", F.col("filed_at").alias("event_date"), F.lit("SEC_8K").alias("source_type"), "severity", F.lit("MIXED").alias("direction"), F.lit("DIRECT").alias("relation_type"), F.lit("OFFICIAL").alias("source_tier")))
 
 
 def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
