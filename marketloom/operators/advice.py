@@ -39,7 +39,10 @@ def corporate_action_adjustment(age_days: Column, change_pct: Column) -> Column:
 
 def weighted_impact(components: dict[str, Column], horizon: int, adjustment: Column | None = None) -> tuple[Column, Column]:
     """(score, coverage): mean renormalised over the present components, plus the adjustment."""
-    parts = [(components[k], w) for k, w in zip(COMPONENTS, WEIGHTS[horizon])]
+    return _impact([(components[k], w) for k, w in zip(COMPONENTS, WEIGHTS[horizon])], adjustment)
+
+
+def _impact(parts: list[tuple[Column, Column | float]], adjustment: Column | None) -> tuple[Column, Column]:
     cover = available_weight(parts)
     adj = F.lit(0.0) if adjustment is None else F.coalesce(adjustment, F.lit(0.0))
     return F.coalesce(rnd(clamp(weighted_mean(parts) + adj, -100, 100), 2), F.lit(0.0)), rnd(cover * 100, 2)
@@ -85,16 +88,15 @@ def advice_rows(rows: DataFrame, gate: float = 85.0) -> DataFrame:
     intraday = false((c("intraday_date") == c("as_of")) & (c("intraday_level") == "TICK_DIRECTION") & (c("intraday_confidence") >= 55))
     d = rows.withColumns({
         "_gated": gated, "_intraday": intraday,
-        "score_price": at(lambda h: price_score(c("horizon_return"), h)),
+        "score_price": rnd(clamp(c("horizon_return") / at(lambda h: F.lit(SCALES[h])) * 100, -100, 100), 2),
         "score_capitalFlow": F.when((c("flow_signal") != "INSUFFICIENT") & (c("flow_confidence") >= 60), rnd(blended_flow(c("flow_score"), c("behavior_score"), gated), 2)),
-        "score_intradayFlow": F.when(intraday, c("intraday_score")), "score_events": rnd("event_score", 2), "score_macro": at(lambda h: macro_score(c("regime"), h)),
+        "score_intradayFlow": F.when(intraday, c("intraday_score")), "score_events": rnd("event_score", 2), "score_macro": rnd(macro_score(c("regime"), 21) * at(lambda h: F.lit(MACRO_MULTIPLIER[h])), 2),  # the multiplier of 21 sessions is 1
         "score_valuation": valuation_score([c("forward_premium"), c("static_premium")], [c("forward_percentile"), c("static_percentile")]),
         "score_earnings": earnings_score(c("revision_30d"), c("revision_7d"), c("breadth_30d"), c("breadth_7d")),
         "score_fundamentals": fundamentals_score(c("revenue_growth"), c("gross_margin"), c("peer_gross_margin"))})
-    parts = {k: c(f"score_{k}") for k in COMPONENTS}
-    adjustment = corporate_action_adjustment(c("action_age"), c("action_change"))
-    d = d.withColumn("_i", at(lambda h: F.struct(*[x.alias(n) for x, n in zip(weighted_impact(parts, h, adjustment), ("score", "coverage"))])))
-    d = d.withColumns({"impact_score": c("_i.score"), "factor_coverage": c("_i.coverage")})
+    parts = [(c(f"score_{k}"), at(lambda h, i=i: F.lit(WEIGHTS[h][i]))) for i, k in enumerate(COMPONENTS)]
+    impact, cover = _impact(parts, corporate_action_adjustment(c("action_age"), c("action_change")))
+    d = d.withColumns({"impact_score": impact, "factor_coverage": cover})
     d = d.withColumn("impact_score", F.when(c("factor_coverage") > 0, c("impact_score")).otherwise(0.0))
     confidence = rnd(clamp(c("factor_coverage") * 0.6 + F.coalesce(rnd("evidence_quality", 2), F.lit(50.0)) * 0.15 + F.coalesce("reliability_score", F.lit(0.0)) * 0.25, 0, 100), 2)
     critical = false(c("official_critical") > 0)

@@ -83,5 +83,49 @@ def advice_inputs(spark, d, as_of: str) -> DataFrame:
     return rows.withColumn("breadth_7d", F.lit(None).cast("double"))  # the estimates count revisions of 30 days only
 
 
+_AT = f"DATE '{AS_OF}'"
+_SEV = "CASE severity WHEN 'P0' THEN 100 WHEN 'P1' THEN 75 WHEN 'P2' THEN 45 ELSE 20 END"
+_BY = lambda values: "CASE horizon " + " ".join(f"WHEN {h} THEN {v}" for h, v in values.items()) + " END"
+_MEAN = lambda parts: f"list_avg(list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL))"
+_SIGNS = {"price": "sp", "capitalFlow": "sf", "intradayFlow": "si", "events": "se", "macro": "sm", "valuation": "sv", "earnings": "sn", "fundamentals": "su"}
+_WEIGHT = {k: "(" + _BY({h: f"{A.WEIGHTS[h][i]}e0" for h in A.WEIGHTS}) + ")" for i, k in enumerate(A.COMPONENTS)}
+#: Everything is cut at the as-of date first. Ticks begin in 2024, so no session up to it has an intraday score.
+ADVICE = (REL + ",\n" + BREL[len(STAGED) + 2:] + "," + PE[len(TTM) + 1:]).replace("FROM pd WHERE horizon", f"FROM pd WHERE trade_date <= {_AT} AND horizon").replace("FROM st WINDOW", f"FROM (SELECT * FROM st WHERE trade_date <= {_AT}) WINDOW") + f""",
+al AS MATERIALIZED (SELECT ticker, max(trade_date) AS as_of FROM bars WHERE trade_date <= {_AT} GROUP BY 1),
+ap AS (SELECT *, {_BY({h: f"close / lag(close, {h}) OVER w - 1" for h in A.WEIGHTS})} AS hr FROM pd WINDOW w AS (PARTITION BY ticker, horizon ORDER BY trade_date)),
+ar AS (SELECT ticker, horizon, {r('s', 2)} AS rel_score, CASE WHEN effective_samples < {_BY({21: 60, 63: 32, 126: 16})} THEN 'INSUFFICIENT' WHEN s >= 85 THEN 'PUBLISHED' ELSE 'OTHER' END AS rel_status
+  FROM (SELECT *, direction_accuracy * 0.3e0 + probability_calibration * 0.15e0 + interval_coverage * 0.15e0 + benchmark_skill * 0.15e0 + regime_stability * 0.15e0 + data_quality * 0.1e0 AS s FROM rc)),
+ax AS (SELECT ticker, event_date, source_type, severity, direction, CASE WHEN source_type = 'SEC_8K' THEN 1e0 WHEN source_tier = 'TIER_1' THEN 0.9e0 WHEN source_tier = 'SOCIAL' THEN 0.35e0 ELSE 0.65e0 END * CASE WHEN relation_type <> 'DIRECT' THEN 0.65e0 ELSE 1e0 END AS q FROM research_events
+  UNION ALL SELECT ticker, filed_at, 'SEC_8K', severity, 'MIXED', 1e0 FROM (SELECT accession_number, ticker, filed_at, min({_RANK}) AS severity FROM (SELECT accession_number, ticker, filed_at, unnest(string_split(items, ',')) AS item FROM filings) GROUP BY 1, 2, 3)),
+ec AS (SELECT al.ticker AS ct, horizon AS ch, least(greatest(sum({_DIR} * {_SEV} * q * greatest(0.25e0, 1 - (as_of - event_date) / (back + 1e0))), -100), 100) AS score, avg(q) * 100 AS quality, count(*) FILTER (WHERE source_type = 'SEC_8K' AND severity IN ('P0', 'P1')) AS critical, count(*) FILTER (WHERE source_type = 'NEWS_RISK' AND severity = 'P1') AS unverified
+  FROM al JOIN (VALUES (21, 14), (63, 32), (126, 63)) z(horizon, back) ON true JOIN ax ON ax.ticker = al.ticker AND event_date BETWEEN as_of - CAST(back AS INT) AND as_of GROUP BY 1, 2),
+ps AS (SELECT p.ticker, trade_date AS day, pe FROM pes p JOIN al USING (ticker) WHERE trade_date BETWEEN as_of - INTERVAL 5 YEAR AND as_of),
+pfw AS (SELECT ticker, day, pe FROM (SELECT n.ticker, n.as_of AS day, {r('b.close / n.eps_value', 6)} AS pe FROM nt n ASOF JOIN bars b ON b.ticker = n.ticker AND n.as_of >= b.trade_date WHERE n.eps_value > 0) JOIN al USING (ticker) WHERE day BETWEEN as_of - INTERVAL 5 YEAR AND as_of),
+""" + ",\n".join(f"""{name} AS (SELECT ticker AS {name}_t, CASE WHEN count(*) >= {least} THEN {r('(count(*) FILTER (WHERE pe < cur) + 0.5e0 * count(*) FILTER (WHERE pe = cur)) / count(*) * 100', 2)} END AS {name} FROM {src} JOIN (SELECT ticker, arg_max(pe, day) AS cur FROM {src} GROUP BY 1) USING (ticker) GROUP BY 1)"""
+                 for name, src, least in (("pcs", "ps", LEAST_STATIC), ("pcf", "pfw", LEAST_FORWARD))) + f""",
+pm AS (SELECT a.ticker AS pmt, median(s.gross_margin) AS peer_margin FROM (SELECT al.ticker, as_of, related_ticker FROM al JOIN relationships x ON x.ticker = al.ticker AND x.active_from <= as_of AND (x.active_to IS NULL OR x.active_to >= as_of)) a ASOF LEFT JOIN zs s ON s.sk = a.related_ticker AND a.as_of > s.scp GROUP BY 1),
+ra2 AS (SELECT al.ticker AS rt, {r('(v - p7) / abs(p7)', 6)} AS c7, {r('(v - p30) / abs(p30)', 6)} AS c30, CASE WHEN up + dn <> 0 THEN {r('(up - dn) / (up + dn)', 6)} END AS b30 FROM al ASOF JOIN rv ON rv.ticker = al.ticker AND al.as_of >= rv.as_of),
+ca AS (SELECT ticker AS cat, as_of - max(period_end) AS age, arg_max(ch, period_end) AS ch FROM (SELECT ticker, as_of, period_end, (value - lag(value) OVER w) / abs(lag(value) OVER w) AS ch FROM (SELECT f.*, as_of FROM facts f JOIN al USING (ticker) WHERE metric_key = 'capitalExpenditure' AND filed_at <= as_of
+  QUALIFY row_number() OVER (PARTITION BY f.ticker, period_end ORDER BY filed_at DESC) = 1) WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) GROUP BY ticker, as_of),
+oq AS (SELECT ticker AS ot, sum(CASE side WHEN 'BUY' THEN quantity ELSE -quantity END) > 0 AS pos FROM trades WHERE trade_date <= {_AT} GROUP BY 1),
+a0 AS (SELECT p.ticker, al.as_of, p.horizon, p.close, hr, p.return_p10, p.return_p50, p.probability_up, rel_score, rel_status, s.stage, s.direction, s.confidence AS bc, s.score AS bs, s.signal, s.daily_confidence AS dc, ec.score AS es, ec.quality AS eq, coalesce(critical, 0) > 0 AS crit, coalesce(unverified, 0) > 0 AS unv, f.regime, f.static_premium, f.forward_premium,
+  f.revenue_growth, f.gross_margin, peer_margin, pcs, pcf, c7, c30, b30, age, ca.ch, coalesce(oq.pos, false) AS pos, coalesce(s.stage <> 'INSUFFICIENT' AND s.confidence >= 60 AND s.direction <> 'NEUTRAL' AND coalesce(rl.effective, 0) >= rl.required AND rl.reliability_score >= 85, false) AS gated
+  FROM al JOIN ap p ON p.ticker = al.ticker AND p.trade_date = al.as_of JOIN st s ON s.ticker = al.ticker AND s.trade_date = al.as_of JOIN fe f ON f.ticker = al.ticker AND f.trade_date = al.as_of LEFT JOIN ar ON ar.ticker = p.ticker AND ar.horizon = p.horizon LEFT JOIN rl ON rl.ticker = al.ticker AND rl.horizon = 20
+  LEFT JOIN ec ON ct = al.ticker AND ch = p.horizon LEFT JOIN pcs ON pcs_t = al.ticker LEFT JOIN pcf ON pcf_t = al.ticker LEFT JOIN pm ON pmt = al.ticker LEFT JOIN ra2 ON rt = al.ticker LEFT JOIN ca ON cat = al.ticker LEFT JOIN oq ON ot = al.ticker),
+a1 AS (SELECT *, {r(S.clamp('hr / (' + _BY({h: f'{v}e0' for h, v in A.SCALES.items()}) + ') * 100', -100, 100), 2)} AS sp, CASE WHEN signal <> 'INSUFFICIENT' AND dc >= 60 THEN {r('CASE WHEN gated THEN bs * 0.55e0 + bs * 0.45e0 ELSE bs END', 2)} END AS sf, CAST(NULL AS DOUBLE) AS si, {r('es', 2)} AS se,
+  {r("CASE regime WHEN 'RATE_HEADWIND' THEN -50 WHEN 'RATE_TAILWIND' THEN 50 WHEN 'MIXED' THEN 0 WHEN 'NEUTRAL' THEN 0 END * (" + _BY({h: f'{v}e0' for h, v in A.MACRO_MULTIPLIER.items()}) + ")", 2)} AS sm,
+  {r(_MEAN([S.clamp('-forward_premium * 250', -70, 70), S.clamp('-static_premium * 250', -70, 70), S.clamp('(50 - pcf) * 1.4e0', -70, 70), S.clamp('(50 - pcs) * 1.4e0', -70, 70)]), 2)} AS sv,
+  {r(_MEAN([S.clamp('c30 * 1000', -80, 80), S.clamp('c7 * 1200', -80, 80), 'b30 * 60e0']), 2)} AS sn, {r(_MEAN([S.clamp('revenue_growth * 250', -75, 75), S.clamp('(gross_margin - peer_margin) * 250', -75, 75)]), 2)} AS su FROM a0),
+a2 AS (SELECT *, {' + '.join(f'coalesce({c} * {_WEIGHT[k]}, 0)' for k, c in _SIGNS.items())} AS tot, {' + '.join(f'CASE WHEN {c} IS NULL THEN 0e0 ELSE {_WEIGHT[k]} END' for k, c in _SIGNS.items())} AS wt,
+  CASE WHEN age BETWEEN 0 AND 370 THEN coalesce(CASE WHEN ch IS NOT NULL THEN least(greatest(15 + ch * 20, 0), 30) END, 10e0) ELSE 0e0 END AS adj, coalesce(rel_status = 'PUBLISHED' AND rel_score >= 85 AND return_p50 IS NOT NULL AND probability_up IS NOT NULL, false) AS formal, gated AND direction = 'BEARISH' AND bs <= -20 AS outflow FROM a1),
+a3 AS (SELECT *, CASE WHEN wt > 0 THEN {r('least(greatest(tot / wt + adj, -100), 100)', 2)} ELSE 0e0 END AS imp, {r('wt * 100', 2)} AS cover FROM a2),
+a4 AS (SELECT *, {r(f"least(greatest(cover * 0.6e0 + coalesce({r('eq', 2)}, 50) * 0.15e0 + coalesce(rel_score, 0) * 0.25e0, 0), 100)", 2)} AS conf, formal AND (crit OR NOT outflow) AS ready FROM a3)"""
+
+
+@register("adv_05_advice_rows", S.sql(FSRC + " trades facts", f"""SELECT ticker, as_of, horizon, CASE WHEN crit THEN CASE WHEN pos THEN 'EXIT_RISK_REVIEW' ELSE 'AVOID' END WHEN outflow THEN CASE WHEN pos THEN 'REDUCE_REVIEW' ELSE 'AVOID' END WHEN NOT formal AND (unv OR imp <= -35) THEN CASE WHEN pos THEN 'EXIT_RISK_REVIEW' ELSE 'AVOID' END
+  WHEN NOT formal AND imp <= -20 THEN CASE WHEN pos THEN 'REDUCE_REVIEW' ELSE 'AVOID' END WHEN NOT formal THEN CASE WHEN pos THEN 'HOLD_REVIEW' ELSE 'WATCH' END WHEN imp >= 20 AND return_p50 >= 0.03 AND probability_up >= 0.55 AND conf >= 60 THEN CASE WHEN pos THEN 'ADD_CANDIDATE' ELSE 'BUY_CANDIDATE' END
+  WHEN imp <= -20 OR return_p50 <= -0.03 OR probability_up <= 0.45 THEN CASE WHEN pos THEN 'REDUCE_CANDIDATE' ELSE 'AVOID' END ELSE CASE WHEN pos THEN 'HOLD' ELSE 'WATCH' END END AS action, CASE WHEN imp >= 20 THEN 'BULLISH' WHEN imp <= -20 THEN 'BEARISH' ELSE 'NEUTRAL' END AS stance, imp AS impact_score, conf AS confidence_score, cover AS factor_coverage,
+  CASE WHEN crit THEN 'RISK_OVERRIDE' WHEN outflow OR NOT formal THEN 'OBSERVE' ELSE 'PUBLISHED' END AS publication_status, ready AS formal_ready, close AS current_price, CASE WHEN ready THEN {r('close * (1 + return_p50)', 4)} END AS target_price, CASE WHEN ready AND return_p10 < 0 THEN {r('close * (1 + return_p10)', 4)} END AS stop_price,
+  {', '.join(f'{c} AS "score_{k}"' for k, c in _SIGNS.items())} FROM a4""", ADVICE))
 def advice(spark, d):
     return A.advice_rows(advice_inputs(spark, d, AS_OF))
