@@ -55,8 +55,10 @@ def advice_inputs(spark, d, as_of: str) -> DataFrame:
     latest = materialize(here(f).withColumn("as_of", F.col("trade_date")), "latest")  # one row a ticker
     w = O.Window.partitionBy("ticker", "horizon").orderBy("trade_date")
     moved = p.withColumn("horizon_return", F.coalesce(*[F.when(F.col("horizon") == h, F.col("close") / F.lag("close", h).over(w) - 1) for h in A.WEIGHTS]))
+    rel = materialize(rel, "reliability")
     rows = here(moved).select("ticker", F.col("trade_date").alias("as_of"), "horizon", "close", "horizon_return", "return_p10", "return_p50", "probability_up")
-    st = materialize(BH.stages(BH.composite(FL.flow_score(FL.flow_metrics(V.bars(spark, d).where(F.col("trade_date") <= at))))).select(
+    bars = materialize(V.bars(spark, d).where(F.col("trade_date") <= at), "bars")
+    st = materialize(BH.stages(BH.composite(FL.flow_score(FL.flow_metrics(bars)))).select(
         *KEY, "stage", "direction", "confidence", "score", "daily_score", "daily_confidence", "signal", "close", "high", "low"), "stages")
     shown = here(st).select("ticker", "stage", "direction", F.col("confidence").alias("behavior_confidence"), F.col("score").alias("behavior_score"),
                             F.col("signal").alias("flow_signal"), F.col("daily_confidence").alias("flow_confidence"), F.col("daily_score").alias("flow_score"))
@@ -64,9 +66,9 @@ def advice_inputs(spark, d, as_of: str) -> DataFrame:
     tick = here(TK.intraday_flow(V.ticks(spark, d), V.minute_bars(spark, d))).select(
         "ticker", F.col("trade_date").alias("intraday_date"), F.col("data_level").alias("intraday_level"), F.col("signal").alias("intraday_signal"), F.col("confidence").alias("intraday_confidence"),
         F.col("score").alias("intraday_score"), (F.col("available") & (F.col("active_ratio") <= -0.45)).alias("sell_imbalance"))
-    trailing, forward = ttm(spark, d), ntm(spark, d)
-    static = percentiles(VA.static_pe_series(V.bars(spark, d), trailing), "trade_date", last, LEAST_STATIC, "static_percentile")
-    ahead = percentiles(VA.forward_pe_series(V.bars(spark, d), forward).withColumnRenamed("as_of", "estimated"), "estimated", last, LEAST_FORWARD, "forward_percentile")
+    trailing, forward = materialize(ttm(spark, d), "ttm"), materialize(ntm(spark, d), "ntm")
+    static = percentiles(VA.static_pe_series(bars, trailing), "trade_date", last, LEAST_STATIC, "static_percentile")
+    ahead = percentiles(VA.forward_pe_series(bars, forward).withColumnRenamed("as_of", "estimated"), "estimated", last, LEAST_FORWARD, "forward_percentile")
     company = latest.select("ticker", "as_of", "trade_date", "regime", "static_premium", "forward_premium", "revenue_growth", "gross_margin")
     company = SN.peer_margins(company, V.relationships(spark, d), SN.statement_states(V.annual_facts(spark, d)))
     rev = VA.revisions(V.estimates(spark, d)).select("ticker", F.col("as_of").alias("revised"), "revision_7d", "revision_30d", "breadth_30d")
@@ -76,10 +78,12 @@ def advice_inputs(spark, d, as_of: str) -> DataFrame:
     actions = actions.select("ticker", F.datediff("as_of", "_p").alias("action_age"), "action_change")
     owned = PF.held(V.trades(spark, d), at).withColumnRenamed("position", "quantity")
     events = V.filing_and_news_events(spark, d)
+    last = materialize(last, "last")
     context = reduce(DataFrame.unionByName, [EV.weighted_event_context(events, last, h).withColumn("horizon", F.lit(h)) for h in A.WEIGHTS])
     rows = rows.join(context, ["ticker", "as_of", "horizon"], "left").join(rel, ["ticker", "horizon"], "left")
-    for part in (shown, trust, tick, static, ahead, company.drop("as_of", "trade_date"), actions, owned):  # one row a ticker each
-        rows = rows.join(part, "ticker", "left")
+    # one row a ticker each; written first, so that no plan holds them all and a lost executor repeats one part
+    for part in (shown, trust, tick, static, ahead, company.drop("as_of", "trade_date"), actions, owned):
+        rows = rows.join(materialize(part, "advice-part"), "ticker", "left")
     return rows.withColumn("breadth_7d", F.lit(None).cast("double"))  # the estimates count revisions of 30 days only
 
 
