@@ -161,6 +161,29 @@ def tree_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame
     return j.withColumn("change", F.when(F.col("old").isNull(), "ADDED").when(F.col("new").isNull(), "REMOVED").otherwise("CHANGED"))
 
 
+# What a report's paths begin with -> the category of a change there; other paths are REPORT_META.
+REPORT_CATEGORIES = {"report.analysisPrice": "PRICE", "report.priceDate": "PRICE", "operating": "OPERATING", "expectations": "EXPECTATION", "valuation": "VALUATION",
+                     "theses": "THESIS", "predictions": "PREDICTION", "events": "EVENT", "evidence": "EVIDENCE"}
+
+
+def report_diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """``tree_diff`` of two report versions with the category of each change, its type and whether it is material."""
+    p = F.regexp_replace("path", r"^\$\.", "")
+    category = F.coalesce(*[F.when(p.startswith(k), v) for k, v in REPORT_CATEGORIES.items()], F.lit("REPORT_META"))
+    kind = F.when(p == "report.asOf", "ROLLING_DATE").when(p.contains("Version"), "RULE_OR_MODEL_CHANGE").otherwise("NEW_INFORMATION_OR_CORRECTION")
+    d = tree_diff(before, after, keys).withColumns({"category": category, "change_type": kind})
+    return d.withColumn("material", F.col("category") != "REPORT_META")
+
+
+def diff_summary(diff: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes, material changes and changes by category of each pair of versions; warnings if the schema or the template changed."""
+    changed = lambda name: F.bool_or(F.col("path") == f"$.report.{name}")
+    return diff.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("changes"), F.count_if("material").alias("material_changes"),
+        *[F.count_if(F.col("category") == c).alias(c.lower()) for c in dict.fromkeys([*REPORT_CATEGORIES.values(), "REPORT_META"])],
+        F.array_compact(F.array(F.when(changed("schemaVersion"), "SCHEMA_CHANGED"), F.when(changed("templateVersion"), "TEMPLATE_CHANGED"))).alias("warnings"))
+
+
 def numbered_evidence(filings: DataFrame, events: DataFrame, per: str) -> DataFrame:
     """Filings and events of an entity merged by date and numbered."""
     cols = [per, "day", "kind", "ref"]

@@ -133,3 +133,40 @@ a4 AS (SELECT *, {r(f"least(greatest(cover * 0.6e0 + coalesce({r('eq', 2)}, 50)
   {', '.join(f'{c} AS "score_{k}"' for k, c in _SIGNS.items())} FROM a4""", ADVICE))
 def advice(spark, d):
     return A.advice_rows(advice_inputs(spark, d, AS_OF))
+
+
+#: One report a ticker and quarter; each is compared with the one before it.
+_REPORTS = """rq AS (SELECT ticker, period_end, CAST(floor(value) AS BIGINT) AS price, n, lag(period_end) OVER w AS p_end, lag(CAST(floor(value) AS BIGINT)) OVER w AS p_price, lag(n) OVER w AS p_n FROM quarter_totals WINDOW w AS (PARTITION BY ticker ORDER BY period_end)),
+rl0 AS (SELECT ticker, period_end, unnest(['$.report.asOf', '$.report.analysisPrice', '$.report.schemaVersion', '$.report.templateVersion', '$.operating.orders', '$.valuation.label', '$.events[0]', '$.predictions.note', '$.evidence[0].ref']) AS path,
+  unnest([CAST(p_end AS VARCHAR), CAST(p_price AS VARCHAR), 's1', 't' || year(p_end), CAST(p_n AS VARCHAR), CASE WHEN p_n % 2 = 0 THEN 'HIGH' ELSE 'LOW' END, 'E' || p_n % 5, CASE WHEN p_n % 3 = 0 THEN 'x' END, 'F' || month(p_end)]) AS old,
+  unnest([CAST(period_end AS VARCHAR), CAST(price AS VARCHAR), 's1', 't' || year(period_end), CAST(n AS VARCHAR), CASE WHEN n % 2 = 0 THEN 'HIGH' ELSE 'LOW' END, 'E' || n % 5, CASE WHEN n % 3 = 0 THEN 'x' END, 'F' || month(period_end)]) AS new,
+  unnest(['REPORT_META', 'PRICE', 'REPORT_META', 'REPORT_META', 'OPERATING', 'VALUATION', 'EVENT', 'PREDICTION', 'EVIDENCE']) AS category FROM rq WHERE p_end IS NOT NULL),
+rd AS (SELECT * FROM rl0 WHERE old IS DISTINCT FROM new)"""
+
+
+def report_changes(spark, d) -> DataFrame:
+    from marketloom.functions.json import flatten_tree
+    q, w = V.quarter_totals(spark, d), O.Window.partitionBy("ticker").orderBy("period_end")
+    n, end = F.col("n"), F.col("period_end")
+    report = F.to_json(F.struct(
+        F.struct(end.cast("string").alias("asOf"), F.floor("value").cast("long").alias("analysisPrice"), F.lit("s1").alias("schemaVersion"), F.concat(F.lit("t"), F.year(end)).alias("templateVersion")).alias("report"),
+        F.struct(n.alias("orders")).alias("operating"), F.struct(F.when(n % 2 == 0, "HIGH").otherwise("LOW").alias("label")).alias("valuation"), F.array(F.concat(F.lit("E"), n % 5)).alias("events"),
+        F.when(n % 3 == 0, F.struct(F.lit("x").alias("note"))).alias("predictions"), F.array(F.struct(F.concat(F.lit("F"), F.month(end)).alias("ref"))).alias("evidence")))
+    leaves = materialize(flatten_tree(q.select("ticker", "period_end", report.alias("doc")), ["ticker", "period_end"], "doc", 4), "report-leaves")  # read as the new and as the old version
+    following = q.select("ticker", "period_end", F.lead("period_end").over(w).alias("next"))
+    old = leaves.join(following.where("next IS NOT NULL"), ["ticker", "period_end"]).select("ticker", F.col("next").alias("period_end"), "path", "leaf")
+    new = leaves.join(following.where("next IS NOT NULL").select("ticker", F.col("next").alias("period_end")), ["ticker", "period_end"], "left_semi")
+    return A.report_diff(old, new, ["ticker", "period_end"])
+
+
+@register("rep_03_report_diff", S.sql("quarter_totals", """SELECT ticker, period_end, path, old, new, category, CASE WHEN path = '$.report.asOf' THEN 'ROLLING_DATE' WHEN path LIKE '%Version%' THEN 'RULE_OR_MODEL_CHANGE' ELSE 'NEW_INFORMATION_OR_CORRECTION' END AS change_type, category <> 'REPORT_META' AS material,
+  CASE WHEN old IS NULL THEN 'ADDED' WHEN new IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change FROM rd""", _REPORTS))
+def report_diff(spark, d):
+    return report_changes(spark, d).select("ticker", "period_end", "path", "old", "new", "category", "change_type", "material", "change")
+
+
+@register("rep_03_diff_summary", S.sql("quarter_totals", """SELECT ticker, period_end, count(*) AS changes, count(*) FILTER (WHERE category <> 'REPORT_META') AS material_changes, count(*) FILTER (WHERE category = 'PRICE') AS price, count(*) FILTER (WHERE category = 'PREDICTION') AS prediction,
+  CASE WHEN bool_or(path = '$.report.templateVersion') THEN 'TEMPLATE_CHANGED' ELSE '' END AS warnings FROM rd GROUP BY 1, 2""", _REPORTS))
+def diff_summary(spark, d):
+    s = A.diff_summary(report_changes(spark, d), ["ticker", "period_end"])
+    return s.select("ticker", "period_end", "changes", "material_changes", "price", "prediction", F.array_join("warnings", ",").alias("warnings"))
