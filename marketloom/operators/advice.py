@@ -230,10 +230,16 @@ def expectation_fields(valuations: DataFrame) -> DataFrame:
     return valuations.withColumns({"ntm_eps_status": known("eps_value"), "actual_vs_consensus": F.lit("UNAVAILABLE"), "company_guidance": F.lit("UNAVAILABLE"), "revenue_consensus": F.lit("UNAVAILABLE")})
 
 
-def driver_view(concepts: DataFrame, actions: DataFrame, events: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """External drivers per ticker: concepts, latest corporate action and the window's driver events."""
+def driver_view(concepts: DataFrame, actions: DataFrame, events: DataFrame, macro: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
+    """External drivers per ticker: concepts, latest corporate action, the window's driver events and the last macro row.
+
+    ``macro``: ``trade_date, regime, severity``, one row a date; its last row up to ``as_of`` is the same for every ticker.
+    """
     e = events.where(F.col("event_date").between(F.date_sub(as_of, days), as_of)).groupBy("ticker").agg(
         F.count("*").alias("driver_events"), F.count_if(F.col("severity").isin("P0", "P1")).alias("severe_events"))
     c = concepts.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_set("concept")), ",").alias("concepts"))
     a = actions.groupBy("ticker").agg(F.max("period_end").alias("action_period"), F.max_by("change_pct", "period_end").alias("action_change"))
-    return c.join(a, "ticker", "full_outer").join(e, "ticker", "full_outer").fillna(0, ["driver_events", "severe_events"])
+    m = macro.where(F.col("trade_date") <= as_of).agg(F.max_by(F.struct(F.col("trade_date").alias("macro_date"), F.col("regime").alias("macro_regime"), F.col("severity").alias("macro_severity")), "trade_date").alias("_m"))
+    d = c.join(a, "ticker", "full_outer").join(e, "ticker", "full_outer").fillna(0, ["driver_events", "severe_events"])
+    # an aggregate without keys is one row, null if there is no macro row yet
+    return d.withColumn("_k", F.lit(1)).join(F.broadcast(m.select(F.lit(1).alias("_k"), "_m.*")), "_k", "left").drop("_k")

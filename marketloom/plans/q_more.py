@@ -3,13 +3,13 @@ from pyspark.sql import Window, functions as F
 
 from marketloom.functions.json import material_hash
 from marketloom.functions.scalar import rnd
-from marketloom.operators import advice as A, behavior as BH, factors as FA, fundamentals as FU, portfolio as PF, predict as PR, quality as Q, signals as SG
+from marketloom.operators import advice as A, behavior as BH, factors as FA, fundamentals as FU, macro as MC, portfolio as PF, predict as PR, quality as Q, signals as SG
 from marketloom.operators.series import over
 from marketloom.plans import sqlviews as S
 from marketloom.plans.q_behavior import REL as BREL, STAGED, staged
 from marketloom.plans.q_fundamentals import _DAILY, states
 from marketloom.plans.q_portfolio import CAL, DAILY, M, calendar
-from marketloom.plans.q_predict import EVAL, FEAT, FSRC, features, predictions
+from marketloom.plans.q_predict import EVAL, FEAT, FSRC, MAC, features, predictions
 from marketloom.plans.q_signals import CUR, IND, curve, ind
 from marketloom.plans.registry import register
 from marketloom.sources import views as V
@@ -156,16 +156,18 @@ def sections(spark, d):
     return A.report_sections(V.securities(spark, d).select("ticker").join(p, "ticker", "left").join(f, "ticker", "left"), ["ticker"], ["price", "filings"])
 
 
-@register("evt_04_driver_view", S.sql("securities filings facts", """SELECT s.ticker, 'c-' || s.sector AS concepts, a.pe AS action_period, """ + r("a.ch", 6) + """ AS action_change, (SELECT count(*) FROM filings f WHERE f.ticker = s.ticker AND filed_at BETWEEN DATE '2000-06-30' - 30 AND DATE '2000-06-30') AS driver_events FROM securities s LEFT JOIN
-  (SELECT ticker, max(period_end) AS pe, arg_max(ch, period_end) AS ch FROM (SELECT ticker, period_end, (value - lag(value) OVER w) / abs(lag(value) OVER w) AS ch FROM (SELECT * FROM facts WHERE metric_key = 'capitalExpenditure' QUALIFY row_number() OVER (PARTITION BY ticker, period_end ORDER BY filed_at DESC) = 1) WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) GROUP BY 1) a USING (ticker)"""))
+@register("evt_04_driver_view", S.sql("securities filings facts macro_bars", """SELECT s.ticker, 'c-' || s.sector AS concepts, a.pe AS action_period, """ + r("a.ch", 6) + """ AS action_change, (SELECT count(*) FROM filings f WHERE f.ticker = s.ticker AND filed_at BETWEEN DATE '2000-06-30' - 30 AND DATE '2000-06-30') AS driver_events, mx.trade_date AS macro_date, mx.regime AS macro_regime, mx.severity AS macro_severity FROM securities s LEFT JOIN (SELECT * FROM ctx WHERE trade_date <= DATE '2000-06-30' ORDER BY trade_date DESC LIMIT 1) mx ON true LEFT JOIN
+  (SELECT ticker, max(period_end) AS pe, arg_max(ch, period_end) AS ch FROM (SELECT ticker, period_end, (value - lag(value) OVER w) / abs(lag(value) OVER w) AS ch FROM (SELECT * FROM facts WHERE metric_key = 'capitalExpenditure' QUALIFY row_number() OVER (PARTITION BY ticker, period_end ORDER BY filed_at DESC) = 1) WINDOW w AS (PARTITION BY ticker ORDER BY period_end)) GROUP BY 1) a ON a.ticker = s.ticker""", MAC))
 def drivers(spark, d):
     c = V.securities(spark, d).select("ticker", F.concat(F.lit("c-"), "sector").alias("concept"))
     a = FU.comparable_series(V.facts(spark, d).where("metric_key = 'capitalExpenditure'").withColumn("period_type", F.lit("quarter")))
     e = V.filings(spark, d).select("ticker", F.col("filed_at").alias("event_date"), F.lit("P3").alias("severity"))
-    return A.driver_view(c, a, e, F.lit("2000-06-30").cast("date")).select("ticker", "concepts", "action_period", rnd("action_change", 6).alias("action_change"), "driver_events")
+    m = MC.market_context(V.macro_bars(spark, d))
+    x = A.driver_view(c, a, e, m, F.lit("2000-06-30").cast("date"))
+    return x.select("ticker", "concepts", "action_period", rnd("action_change", 6).alias("action_change"), "driver_events", "macro_date", "macro_regime", "macro_severity")
 
 
-@register("rep_06_expectation_fields", S.sql("estimates securities", "SELECT ticker, CASE WHEN ticker = 'T09' THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS ntm_eps_status, 'UNAVAILABLE' AS company_guidance FROM securities"))
+@register("rep_06_expectation_fields", S.sql("estimates securities", "SELECT ticker, CASE WHEN ticker IN (SELECT ticker FROM estimates WHERE analyst_count >= 3) THEN 'AVAILABLE' ELSE 'UNAVAILABLE' END AS ntm_eps_status, 'UNAVAILABLE' AS company_guidance, 'UNAVAILABLE' AS revenue_consensus FROM securities"))
 def expectations(spark, d):
-    e = V.estimates(spark, d).where("ticker <> 'T09'").groupBy("ticker").agg(F.max_by("eps_average", F.struct("as_of", "period_end")).alias("eps_value"))
-    return A.expectation_fields(V.securities(spark, d).select("ticker").join(e, "ticker", "left")).select("ticker", "ntm_eps_status", "company_guidance")
+    e = V.estimates(spark, d).where("analyst_count >= 3").groupBy("ticker").agg(F.max_by("eps_average", F.struct("as_of", "period_end")).alias("eps_value"))
+    return A.expectation_fields(V.securities(spark, d).select("ticker").join(e, "ticker", "left")).select("ticker", "ntm_eps_status", "company_guidance", "revenue_consensus")
