@@ -43,8 +43,12 @@ def price_earnings(close: Column, eps: Column) -> Column:
 
 
 def known_earnings(ttm: DataFrame, ntm: DataFrame) -> list[tuple[DataFrame, str, list[str], bool]]:
-    """For ``asof_joins``: trailing EPS is known strictly after its filing, the NTM consensus from its own date on."""
-    n = ntm.where(F.col("eps_value").isNotNull()).select("ticker", "as_of", rnd("eps_value", 4).alias("ntm_eps"), F.col("as_of").alias("estimate_as_of"), F.col("quality_status").alias("estimate_quality"))
+    """For ``asof_joins``: trailing EPS is known strictly after its filing, the NTM consensus from its own date on.
+
+    The consensus brings its date and, if ``ntm`` has one, its ``quality_status``.
+    """
+    status = F.col("quality_status") if "quality_status" in ntm.columns else F.lit(None).cast("string")
+    n = ntm.where(F.col("eps_value").isNotNull()).select("ticker", "as_of", rnd("eps_value", 4).alias("ntm_eps"), F.col("as_of").alias("estimate_as_of"), status.alias("estimate_quality"))
     return [(ttm, "cp", ["ttm_eps"], True), (n, "as_of", ["ntm_eps", "estimate_as_of", "estimate_quality"], False)]
 
 
