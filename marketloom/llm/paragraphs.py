@@ -3,7 +3,9 @@
 A passage can sit anywhere in a line, so line breaks can't bound the unit that is compared. A paragraph
 here begins at a word whose bigram hash is the least among ``REACH`` neighbours on either side. That
 depends on nearby words only, so a passage that repeats is cut the same way in every text, but for its
-first and last ``REACH`` words.
+ends and the surroundings of a changed word. Runs of repeated paragraphs are therefore extended word by
+word on both sides against the first occurrence, across changed, missing and added words as long as the
+whole keeps a Jaccard similarity of ``SIMILARITY``.
 """
 from __future__ import annotations
 
@@ -20,11 +22,16 @@ from marketloom.llm.common import WORD, as_bytes, bucket_links, components, mix,
 from marketloom.sources.shared import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
-REACH = 5
+REACH = 4
 #: One row a band: two paragraphs of similarity 0.8 collide in a band with probability 0.8, in one of three with 0.992.
 BANDS = 3
-#: Runs of repeated paragraphs shorter than this many words stay: a shared phrase is no shared passage.
-MIN_WORDS = 16
+#: Extended runs shorter than this many words stay: a shared phrase is no shared passage.
+MIN_WORDS = 25
+#: Words beside a run that are compared: this many, or the next paragraph and MARGIN more if that is longer. Equal words
+#: past that margin would have been cut into an equal paragraph, so no exact repeat ends at this bound.
+BESIDE, MARGIN = 64, REACH + SHINGLE
+#: Changes of at most this many adjacent words are crossed, if SHINGLE equal words follow; this many on a side.
+CHANGED, CROSSINGS = 2, 4
 #: Candidates up to this number are broadcast (16 MB of ids), more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 REMEMBERED = 300_000
@@ -52,24 +59,36 @@ def least_before(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+def hashed(w: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(DIGESTS.__getitem__, w)), np.uint64)
+
+
+def begins(h: np.ndarray) -> np.ndarray:
+    """The first words of a text's paragraphs, from the hashes of its words; never empty."""
+    if len(h) < 2:
+        return np.zeros(1, np.int64)
+    with np.errstate(over="ignore"):
+        pair = mix(h[:-1] * MULTIPLIERS[0] + h[1:] * MULTIPLIERS[1])
+    cut = np.flatnonzero((pair < least_before(pair)) & (pair <= least_before(pair[::-1])[::-1]))
+    return np.concatenate([[0], cut[cut > 0]])
+
+
+def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bounds (first word, end) of each paragraph with a shingle, hashes of the text's shingles, and paragraph hashes."""
     w = words(text)
     n = len(w)
     if n < SHINGLE:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), []
-    h = np.frombuffer(b"".join(map(DIGESTS.__getitem__, w)), np.uint64)
-    m = MULTIPLIERS
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    h = hashed(w)
+    starts = begins(h)
+    ends = np.append(starts[1:], n)
+    inside = np.arange(n) - np.repeat(starts, ends - starts)
     with np.errstate(over="ignore"):
-        pair = mix(h[:-1] * m[0] + h[1:] * m[1])
-        shingles = mix(sum(h[k:n - SHINGLE + 1 + k] * m[k] for k in range(SHINGLE)))
-    cut = np.flatnonzero((pair < least_before(pair)) & (pair <= least_before(pair[::-1])[::-1]))
-    starts = np.concatenate([[0], cut[cut > 0]])
-    ends = np.concatenate([starts[1:], [n]])
+        shingles = mix(sum(h[k:n - SHINGLE + 1 + k] * MULTIPLIERS[k] for k in range(SHINGLE)))
+        # a sum over words mixed with their places: order counts, and no step runs per paragraph
+        names = mix(np.add.reduceat(mix(h + inside.astype(np.uint64) * MULTIPLIERS[2]), starts) + (ends - starts).astype(np.uint64))
     whole = ends - starts >= SHINGLE
-    starts, ends = starts[whole], ends[whole]
-    names = [xxhash.xxh64_intdigest(h[a:b].tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    return starts, ends, shingles, names
+    return starts[whole], ends[whole], shingles, names[whole]
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -98,14 +117,22 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """``id, shingles``: each paragraph's shingle hashes, 32 bits each."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[int, bytes] = {}
+            ids, sizes, sets = [], [], []
             for t in as_bytes(b.column(0)):
                 starts, ends, shingles, names = paragraphs(t)
-                short = (shingles >> np.uint64(32)).astype(np.uint32)
-                for a, e, name in zip(starts.tolist(), ends.tolist(), names, strict=True):
-                    if name not in found:
-                        found[name] = short[a:e - SHINGLE + 1].tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(found, np.uint64, len(found)).view(np.int64)), pa.array(list(found.values()), pa.binary())], names=["id", "shingles"])
+                if not len(names):
+                    continue
+                size = ends - starts - SHINGLE + 1
+                ids.append(names)
+                sizes.append(size)
+                at = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
+                sets.append((shingles[at] >> np.uint64(32)).astype(np.uint32))
+            if not ids:
+                continue
+            name, first = np.unique(np.concatenate(ids), return_index=True)
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * 4
+            data = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.concatenate(sets))])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), data.take(pa.array(first)).cast(pa.binary())], names=["id", "shingles"])
 
     return texts(docs).select("text").mapInArrow(run, "id long, shingles binary")
 
@@ -157,12 +184,12 @@ def occurrences(docs: DataFrame) -> DataFrame:
             at, starts, lengths, ids, keys = [], [], [], [], []
             for k, t in enumerate(as_bytes(b.column(2))):
                 s, e, shingles, names = paragraphs(t)
-                if not names:
+                if not len(names):
                     continue
                 at.append(np.full(len(s), k))
                 starts.append(s)
                 lengths.append(e - s)
-                ids.append(np.array(names, np.uint64))
+                ids.append(names)
                 spans = np.stack([s, e - SHINGLE + 1], axis=1).ravel()
                 least = [np.minimum.reduceat(np.append(mix(shingles ^ seed), np.uint64(0)), spans)[::2] for seed in seeds]
                 keys.append(np.stack([(x & ~np.uint64(3)) | np.uint64(k) for k, x in enumerate(least)], axis=1))
@@ -190,39 +217,136 @@ def near_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, start, n, class, first_id, first_key, first_start``: paragraphs whose class occurs twice or more."""
+    """``doc`` (doc_id, text_key), ``start, n, class, first`` (doc, start, end): paragraphs whose class occurs twice or more."""
     found = materialize(occurrences(docs), "paragraph-occurrences")
     roots = near_classes(docs, found).withColumnRenamed("node", "id")
     found = found.drop("keys")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start", "n")
     each = found.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
     labelled = each.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).filter("copies > 1 or root is not null")
     labelled = materialize(labelled.select("id", "class", "copies", "first"), "paragraph-classes")
     whole = labelled.groupBy("class").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).filter("copies > 1")
-    dup = labelled.select("id", "class").join(whole, "class")
-    return found.join(dup, "id").select("doc_id", "text_key", "start", "n", "class", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key"), F.col("first.start").alias("first_start"))
+    first = F.struct(F.struct("first.doc_id", "first.text_key").alias("doc"), F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.n")).alias("end"))
+    dup = labelled.select("id", "class").join(whole.select("class", first.alias("first")), "class")
+    return found.join(dup, "id").select(F.struct("doc_id", "text_key").alias("doc"), "start", "n", "class", "first")
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """``doc, start, end, kept, class``, and ``head, tail``: the first occurrences of its outer paragraphs. One row per run of adjacent repeated paragraphs."""
+    rows = repeated_paragraphs(docs).withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))
+    text = Window.partitionBy("doc").orderBy("start")
+    before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), "kept")).over(text)
+    run = F.sum(F.when((F.col("before.end") == F.col("start")) & (F.col("before.kept") == F.col("kept")), 0).otherwise(1)).over(text)
+    # identical rows of one document repeat every paragraph at the same place: one of each is enough here
+    return (rows.dropDuplicates(["doc", "start"]).withColumn("before", before).withColumn("run", run).groupBy("doc", "run", "kept")
+            .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("class").alias("class"), F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "first")).alias("tail"))
+            .select("doc", "start", "end", "kept", "class", F.col("head.first").alias("head"), F.col("tail.first").alias("tail")))
+
+
+def beside(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """``doc, at, after, words``: hashes of the words from each place outwards, 32 bits each. ``places``: distinct ``doc, at, after``."""
+    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("at", "after")).alias("places"))
+    rows = texts(docs).select(F.struct("doc_id", text_key().alias("text_key")).alias("doc"), "text").join(wanted, "doc")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, (t, wanted) in enumerate(zip(as_bytes(b.column(2)), b.column(3), strict=True)):
+                h = hashed(words(t))
+                starts, short, n = begins(h), (h >> np.uint64(32)).astype(np.uint32), len(h)
+                found, flat = [], wanted.values
+                at, after = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
+                # the paragraph that begins at or ends before each place
+                ends = np.append(starts[1:], n)[np.maximum(np.searchsorted(starts, at, "right") - 1, 0)]
+                heads = starts[np.maximum(np.searchsorted(starts, at, "left") - 1, 0)]
+                for p, up, e, s in zip(at.tolist(), after.tolist(), ends.tolist(), heads.tolist(), strict=True):
+                    found.append((short[p:max(p + BESIDE, e + MARGIN)] if up else short[max(0, min(p - BESIDE, s - MARGIN)):p][::-1]).tobytes())
+                rows = pa.array(np.full(len(found), k))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(after), pa.array(found, pa.binary())], names=["doc_id", "text_key", "at", "after", "words"])
+
+    rows = rows.select("doc.doc_id", "doc.text_key", "text", "places").mapInArrow(run, "doc_id long, text_key long, at int, after boolean, words binary")
+    return rows.select(F.struct("doc_id", "text_key").alias("doc"), "at", "after", "words").dropDuplicates(["doc", "at", "after"])
+
+
+def equal(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of equal words at the beginning."""
+    n = min(len(a), len(b))
+    other = a[:n] != b[:n]
+    return int(other.argmax()) if other.any() else n
+
+
+def extents(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """How far two texts go alike: words of either, and the shingles lost to the changes on the way, for none, one, ... changes."""
+    i = j = equal(a, b)
+    lost, out = 0, [(i, i, 0)]
+    for _ in range(CROSSINGS):
+        ways = [(equal(a[i + x:], b[j + y:]), -max(x, y), x, y) for x in range(CHANGED + 1) for y in range(CHANGED + 1) if x or y]
+        more, _, x, y = max(ways)
+        if more < SHINGLE:
+            break
+        i, j, lost = i + x + more, j + y + more, lost + SHINGLE - 1 + max(x, y)
+        out.append((i, j, lost))
+    return out
+
+
+def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found``, written runs, with ``left, right``: how far each that isn't kept goes on like its first occurrence (words, words there)."""
+    gone = found.filter("not kept").select("doc", "start", "end", F.explode(F.array(
+        F.struct(F.lit(False).alias("after"), F.col("start").alias("at"), F.col("head.doc").alias("there"), F.col("head.start").alias("there_at")),
+        F.struct(F.lit(True).alias("after"), F.col("end").alias("at"), F.col("tail.doc").alias("there"), F.col("tail.end").alias("there_at")))).alias("side"))
+    sides = gone.select("doc", "start", "end", "side.*")
+    places = sides.select("doc", "at", "after").unionByName(sides.select(F.col("there").alias("doc"), F.col("there_at").alias("at"), "after")).distinct()
+    near = materialize(beside(docs, places), "paragraph-beside")
+    pairs = (sides.join(near.withColumnRenamed("words", "own"), ["doc", "at", "after"])
+             .join(near.select(F.col("doc").alias("there"), F.col("at").alias("there_at"), "after", F.col("words").alias("other")), ["there", "there_at", "after"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[{"words": i, "there": j, "lost": lost} for i, j, lost in extents(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))]
+                   for x, y in zip(as_bytes(b.column(4)), as_bytes(b.column(5)), strict=True)]
+            options = pa.array(out, pa.list_(pa.struct([("words", pa.int32()), ("there", pa.int32()), ("lost", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], options], names=["doc_id", "text_key", "start", "after", "options"])
+
+    sized = pairs.select("doc.doc_id", "doc.text_key", "start", "after", "own", "other").mapInArrow(run, "doc_id long, text_key long, start int, after boolean, options array<struct<words:int,there:int,lost:int>>")
+    both = sized.groupBy(F.struct("doc_id", "text_key").alias("doc"), "start").agg(F.max(F.when(~F.col("after"), F.col("options"))).alias("lefts"), F.max(F.when(F.col("after"), F.col("options"))).alias("rights"))
+    out = found.join(both, ["doc", "start"], "left")
+
+    def taken(x, y):
+        shingles = F.col("end") - F.col("start") + x["words"] + y["words"] - (SHINGLE - 1)
+        lost = x["lost"] + y["lost"]
+        # s - lost of the shingles are in both texts, s + lost in either
+        alike = shingles - lost >= SIMILARITY * (shingles + lost)
+        return F.when((lost == 0) | alike, F.struct((x["words"] + y["words"]).alias("words"), x.alias("left"), y.alias("right")))
+
+    best = F.array_max(F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: taken(x, y)))))
+    return out.withColumn("best", best).select("doc", "start", "end", "kept", "class", "head", "tail", F.col("best.left").alias("left"), F.col("best.right").alias("right"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """Passages that repeat: runs of adjacent repeated paragraphs, one row per run.
+    """Passages that repeat: extended runs of adjacent repeated paragraphs, overlapping ones joined, one row each.
 
-    ``doc_id, text_key, start, n_words`` (words of the text, counted from 0), ``component_id`` (the run's
+    ``doc_id, text_key, start, n_words`` (words of the text, counted from 0), ``component_id`` (the passage's
     least paragraph class), ``kept`` (it holds the first occurrence, by doc_id with nulls last, text key
-    and place) and ``first_doc_id``. Every occurrence has a row, the kept ones too. Null and empty texts,
-    and texts under five words, have none. Repeated rows are occurrences like any other and get equal rows;
+    and place, of what others repeat) and ``first_doc_id``. Every occurrence has a row, the kept ones too;
+    what is repeated from one text and the first of another has a row of either kind. Each word of a passage that
+    is not kept has an equal or similar one earlier in that order, so one occurrence always stays. Null and empty
+    texts, and texts under five words, have none. Repeated rows are occurrences like any other and get equal rows;
     extra columns are ignored; an empty table gives an empty result.
     """
-    rows = repeated_paragraphs(docs)
-    own = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")) & (F.col("start") == F.col("first_start"))
-    rows = rows.withColumn("kept", own)
-    text = Window.partitionBy("doc_id", "text_key").orderBy("start")
-    before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), "kept")).over(text)
-    run = F.sum(F.when((F.col("before.end") == F.col("start")) & (F.col("before.kept") == F.col("kept")), 0).otherwise(1)).over(text)
-    # identical rows of one document repeat every paragraph at the same place: one of each is enough here
-    runs = (rows.dropDuplicates(["doc_id", "text_key", "start"]).withColumn("before", before).withColumn("run", run)
-            .groupBy("doc_id", "text_key", "run", "kept")
-            .agg(F.min("start").cast("long").alias("start"), F.sum("n").cast("long").alias("n_words"), F.min("class").alias("component_id"), F.min("first_id").alias("first_doc_id")))
-    return runs.filter(F.col("n_words") >= MIN_WORDS).select("doc_id", "text_key", "start", "n_words", "component_id", "kept", "first_doc_id")
+    rows = materialize(extended(docs, materialize(runs(docs), "paragraph-runs")), "paragraph-extended")
+    gone = ~F.col("kept")
+    left, right = F.coalesce("left.words", F.lit(0)), F.coalesce("right.words", F.lit(0))
+    own = rows.select("doc", (F.col("start") - left).alias("start"), (F.col("end") + right).alias("end"), "kept", "class", F.col("head.doc.doc_id").alias("first_id"))
+    # what a run was extended by, at its first occurrence
+    ends = F.array(F.struct(F.col("head.doc").alias("doc"), (F.col("head.start") - F.coalesce("left.there", F.lit(0))).alias("start"), F.col("head.end").alias("end")),
+                   F.struct(F.col("tail.doc").alias("doc"), F.col("tail.start").alias("start"), (F.col("tail.end") + F.coalesce("right.there", F.lit(0))).alias("end")))
+    there = rows.filter(gone).select(F.explode(ends).alias("e"), "class").groupBy("e.doc", "e.start", "e.end").agg(F.min("class").alias("class"))
+    spans = own.unionByName(there.select("doc", "start", "end", F.lit(True).alias("kept"), "class", F.col("doc.doc_id").alias("first_id")))
+    text = Window.partitionBy("doc", "kept").orderBy("start", F.desc("end"))
+    reached = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    joined = (spans.withColumn("reached", reached).withColumn("passage", F.sum(F.when(F.col("start") <= F.col("reached"), 0).otherwise(1)).over(text.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy("doc", "kept", "passage").agg(F.min("start").cast("long").alias("start"), F.max("end").alias("end"), F.min("class").alias("component_id"), F.min("first_id").alias("first_doc_id")))
+    joined = joined.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= MIN_WORDS)
+    return joined.select("doc.doc_id", "doc.text_key", "start", "n_words", "component_id", "kept", "first_doc_id")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:

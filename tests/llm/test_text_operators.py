@@ -148,6 +148,61 @@ def test_near_paragraphs_share_a_class(spark):
     assert {r["doc_id"] for r in found} == {0, 1}
 
 
+def planted(rng, n, changes, copies=2):
+    """Texts around copies of one passage of ``n`` words; each copy but the first has ``changes`` words replaced, evenly spread."""
+    p = [f"p{rng.randrange(10**6)}" for _ in range(n)]
+    out = []
+    for k in range(copies):
+        q = list(p)
+        for c in range(changes if k else 0):
+            q[(c + 1) * n // (changes + 1)] = f"z{rng.randrange(10**6)}"
+        around = [f"a{rng.randrange(10**6)}" for _ in range(120)]
+        out.append((" ".join(around[:60] + q + around[60:]), 60, n))
+    return out
+
+
+def test_passages_with_changes_are_found(spark):
+    """Passages of similarity 0.8 or more inside other text: found, and to their ends. Words around them stay, but a few that a similar outer paragraph brings."""
+    cases = [(51, 0, 1, 0.99), (51, 1, 0.9, 0.85), (60, 1, 0.95, 0.9), (100, 2, 0.97, 0.95), (150, 3, 0.97, 0.95)]
+    rng, each = random.Random(3), 150
+    texts = [x for n, changes, *_ in cases for _ in range(each) for x in planted(rng, n, changes)]
+    rows = paragraphs.repeated_passages(frame(spark, [t for t, _, _ in texts])).collect()
+    assert all(r["start"] >= 56 and r["start"] + r["n_words"] <= 64 + texts[r["doc_id"]][2] for r in rows)
+    gone = [r for r in rows if not r["kept"]]
+    assert all(r["doc_id"] % 2 == 1 and r["first_doc_id"] == r["doc_id"] - 1 for r in gone)
+    assert {r["doc_id"] + 1 for r in rows if r["kept"]} == {r["doc_id"] for r in gone}
+    for k, (n, _, found, marked) in enumerate(cases):
+        mine = [r for r in gone if r["doc_id"] // (2 * each) == k]
+        print(cases[k], len({r["doc_id"] for r in mine}) / each, sum(r["n_words"] for r in mine) / (each * n))
+        assert len({r["doc_id"] for r in mine}) >= found * each and sum(r["n_words"] for r in mine) >= marked * each * n
+
+
+def test_extents_cross_changes():
+    a = np.arange(40, dtype=np.uint32)
+    assert paragraphs.extents(a, a) == [(40, 40, 0)]
+    b = a.copy()
+    b[20] = 99
+    assert paragraphs.extents(a, b) == [(20, 20, 0), (40, 40, 5)]
+    assert paragraphs.extents(a, np.delete(b, 20)) == [(20, 20, 0), (40, 39, 5)]
+    assert paragraphs.extents(a, np.concatenate([a[:20], [77, 78], a[20:]])) == [(20, 20, 0), (40, 42, 6)]
+    b[22:] = 98
+    assert paragraphs.extents(a, b) == [(20, 20, 0)] and paragraphs.extents(a, a[:0]) == [(0, 0, 0)]
+
+
+def test_one_occurrence_of_every_passage_stays(spark):
+    """Chains of overlapping passages, a text that repeats itself, long equal words, and copies: each 30-word window still occurs."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base[k:k + 120]) for k in range(0, 280, 40)] + [" ".join(base[:150])] * 3 + [" ".join(base[200:260] * 4), "same " * 500, "same " * 300, None, ""]
+    docs = frame(spark, texts)
+    cut = [r["text"] for r in paragraphs.without_repeats(docs).collect()]
+    left = {tuple(w[k:k + 8]) for w in (words(t or "") for t in cut) for k in range(len(w) - 7)}
+    once = {tuple(base[k:k + 8]) for k in range(352)}
+    assert len(once - left) <= 8 * 14  # only windows across a cut
+    assert sum(len(words(t or "")) for t in cut) < 0.5 * sum(len(words(t or "")) for t in texts)
+    assert {x for t in cut for x in words(t or "")} >= set(base[:352])
+
+
 def test_quality_rules(spark, corpus):
     texts, ids = corpus
     docs = frame(spark, texts, ids)
