@@ -29,7 +29,7 @@ BANDS = 3
 MIN_WORDS = 25
 #: Words beside a run that are compared: this many, or the next paragraph and MARGIN more if that is longer. Equal words
 #: past that margin would have been cut into an equal paragraph, so no exact repeat ends at this bound.
-BESIDE, MARGIN = 64, REACH + SHINGLE
+BESIDE, MARGIN = 48, REACH + SHINGLE
 #: Changes of at most this many adjacent words are crossed, if SHINGLE equal words follow; this many on a side.
 CHANGED, CROSSINGS = 2, 4
 #: Candidates up to this number are broadcast (16 MB of ids), more are joined by a shuffle.
@@ -73,6 +73,11 @@ def begins(h: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], cut[cut > 0]])
 
 
+def shingle_bounds(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """First shingle and end of the shingles of each paragraph, for ``reduceat``."""
+    return np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
+
+
 def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bounds (first word, end) of each paragraph with a shingle, hashes of the text's shingles, and paragraph hashes."""
     w = words(text)
@@ -82,13 +87,15 @@ def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     h = hashed(w)
     starts = begins(h)
     ends = np.append(starts[1:], n)
-    inside = np.arange(n) - np.repeat(starts, ends - starts)
+    whole = ends - starts >= SHINGLE
+    starts, ends = starts[whole], ends[whole]
+    if not len(starts):
+        return starts, ends, np.empty(0, np.uint64), np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
         shingles = mix(sum(h[k:n - SHINGLE + 1 + k] * MULTIPLIERS[k] for k in range(SHINGLE)))
-        # a sum over words mixed with their places: order counts, and no step runs per paragraph
-        names = mix(np.add.reduceat(mix(h + inside.astype(np.uint64) * MULTIPLIERS[2]), starts) + (ends - starts).astype(np.uint64))
-    whole = ends - starts >= SHINGLE
-    return starts[whole], ends[whole], shingles, names[whole]
+        # paragraphs with equal bags of shingles have one name: their similarity is 1
+        names = mix(np.add.reduceat(np.append(shingles, np.uint64(0)), shingle_bounds(starts, ends))[::2])
+    return starts, ends, shingles, names
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -173,7 +180,7 @@ def similar(unit: pa.Table, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, start, n, id, keys``: every paragraph of every row, with its hash and its bands' least shingle hashes.
+    """``doc_id, text_key, start, n, last, id, keys``: every paragraph of every row, whether the text ends with it, its hash and its bands' least shingle hashes.
 
     Of equal paragraphs in a batch only the first has keys, so a passage in a third of all rows sends few.
     """
@@ -181,7 +188,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, starts, lengths, ids, keys = [], [], [], [], []
+            at, starts, lengths, last, ids, keys = [], [], [], [], [], []
             for k, t in enumerate(as_bytes(b.column(2))):
                 s, e, shingles, names = paragraphs(t)
                 if not len(names):
@@ -190,8 +197,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 starts.append(s)
                 lengths.append(e - s)
                 ids.append(names)
-                spans = np.stack([s, e - SHINGLE + 1], axis=1).ravel()
-                least = [np.minimum.reduceat(np.append(mix(shingles ^ seed), np.uint64(0)), spans)[::2] for seed in seeds]
+                last.append(e == len(shingles) + SHINGLE - 1)
+                bounds, padded = shingle_bounds(s, e), np.append(shingles, np.uint64(0))
+                # shingle hashes are mixed, so the one nearest to a seed in bits is a random choice
+                least = [np.minimum.reduceat(padded ^ seed, bounds)[::2] for seed in seeds]
                 keys.append(np.stack([(x & ~np.uint64(3)) | np.uint64(k) for k, x in enumerate(least)], axis=1))
             if not at:
                 continue
@@ -200,9 +209,9 @@ def occurrences(docs: DataFrame) -> DataFrame:
             first[np.unique(name, return_index=True)[1]] = True
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first * BANDS)]).astype(np.int32)), pa.array(np.concatenate(keys)[first].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(lengths).astype(np.int32)),
-                                              pa.array(name.view(np.int64)), bands], names=["doc_id", "text_key", "start", "n", "id", "keys"])
+                                              pa.array(np.concatenate(last)), pa.array(name.view(np.int64)), bands], names=["doc_id", "text_key", "start", "n", "last", "id", "keys"])
 
-    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, start int, n int, id long, keys array<long>")
+    return texts(docs).select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, start int, n int, last boolean, id long, keys array<long>")
 
 
 def near_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -217,51 +226,61 @@ def near_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame) -> DataFrame:
-    """``doc`` (doc_id, text_key), ``start, n, class, first`` (doc, start, end): paragraphs whose class occurs twice or more."""
+    """``doc`` (doc_id, text_key), ``start, n, last, class, first`` (doc, start, end, last): paragraphs whose class occurs twice or more."""
     found = materialize(occurrences(docs), "paragraph-occurrences")
     roots = near_classes(docs, found).withColumnRenamed("node", "id")
     found = found.drop("keys")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start", "n")
+    # most paragraphs occur once: ids alone are counted first, places are shuffled only of those that repeat
+    ids = found.groupBy("id").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1").select("id").unionByName(roots.select("id")).distinct()
+    ids = materialize(ids, "paragraph-ids")
+    found = materialize(found.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi"), "paragraph-repeated")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "start", "n", "last")
     each = found.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.min(order).alias("first"))
     labelled = each.join(roots, "id", "left").withColumn("class", F.coalesce("root", "id")).filter("copies > 1 or root is not null")
     labelled = materialize(labelled.select("id", "class", "copies", "first"), "paragraph-classes")
     whole = labelled.groupBy("class").agg(F.sum("copies").alias("copies"), F.min("first").alias("first")).filter("copies > 1")
-    first = F.struct(F.struct("first.doc_id", "first.text_key").alias("doc"), F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.n")).alias("end"))
+    first = F.struct(F.struct("first.doc_id", "first.text_key").alias("doc"), F.col("first.start").alias("start"), (F.col("first.start") + F.col("first.n")).alias("end"), "first.last")
     dup = labelled.select("id", "class").join(whole.select("class", first.alias("first")), "class")
-    return found.join(dup, "id").select(F.struct("doc_id", "text_key").alias("doc"), "start", "n", "class", "first")
+    return found.join(dup, "id").select(F.struct("doc_id", "text_key").alias("doc"), "start", "n", "last", "class", "first")
 
 
 def runs(docs: DataFrame) -> DataFrame:
-    """``doc, start, end, kept, class``, and ``head, tail``: the first occurrences of its outer paragraphs. One row per run of adjacent repeated paragraphs."""
+    """``doc, start, end, last, kept, class``, and ``head, tail``: the first occurrences of its outer paragraphs. One row per run of adjacent repeated paragraphs."""
     rows = repeated_paragraphs(docs).withColumn("kept", (F.col("doc") == F.col("first.doc")) & (F.col("start") == F.col("first.start")))
     text = Window.partitionBy("doc").orderBy("start")
     before = F.lag(F.struct((F.col("start") + F.col("n")).alias("end"), "kept")).over(text)
     run = F.sum(F.when((F.col("before.end") == F.col("start")) & (F.col("before.kept") == F.col("kept")), 0).otherwise(1)).over(text)
     # identical rows of one document repeat every paragraph at the same place: one of each is enough here
     return (rows.dropDuplicates(["doc", "start"]).withColumn("before", before).withColumn("run", run).groupBy("doc", "run", "kept")
-            .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.min("class").alias("class"), F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "first")).alias("tail"))
-            .select("doc", "start", "end", "kept", "class", F.col("head.first").alias("head"), F.col("tail.first").alias("tail")))
+            .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.max("last").alias("last"), F.min("class").alias("class"), F.min(F.struct("start", "first")).alias("head"), F.max(F.struct("start", "first")).alias("tail"))
+            .select("doc", "start", "end", "last", "kept", "class", F.col("head.first").alias("head"), F.col("tail.first").alias("tail")))
 
 
 def beside(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``doc, at, after, words``: hashes of the words from each place outwards, 32 bits each. ``places``: distinct ``doc, at, after``."""
-    wanted = places.groupBy("doc").agg(F.collect_list(F.struct("at", "after")).alias("places"))
-    rows = texts(docs).select(F.struct("doc_id", text_key().alias("text_key")).alias("doc"), "text").join(wanted, "doc")
+    wanted = materialize(places.groupBy("doc").agg(F.collect_list(F.struct("at", "after")).alias("places")), "paragraph-places")
+    rows = texts(docs).select(F.struct("doc_id", text_key().alias("text_key")).alias("doc"), "text")
+    if wanted.count() <= BROADCAST_ROWS // 2:  # 16 MB of ids; texts without a place aren't shuffled
+        rows = rows.join(F.broadcast(wanted.select("doc")), "doc", "left_semi")
+    rows = rows.join(wanted, "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, (t, wanted) in enumerate(zip(as_bytes(b.column(2)), b.column(3), strict=True)):
+            lists = b.column(3)
+            each, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
+            at, after = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
+            found, k = [], 0
+            for t, n in zip(as_bytes(b.column(2)), each.tolist(), strict=True):
                 h = hashed(words(t))
-                starts, short, n = begins(h), (h >> np.uint64(32)).astype(np.uint32), len(h)
-                found, flat = [], wanted.values
-                at, after = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
-                # the paragraph that begins at or ends before each place
-                ends = np.append(starts[1:], n)[np.maximum(np.searchsorted(starts, at, "right") - 1, 0)]
-                heads = starts[np.maximum(np.searchsorted(starts, at, "left") - 1, 0)]
-                for p, up, e, s in zip(at.tolist(), after.tolist(), ends.tolist(), heads.tolist(), strict=True):
-                    found.append((short[p:max(p + BESIDE, e + MARGIN)] if up else short[max(0, min(p - BESIDE, s - MARGIN)):p][::-1]).tobytes())
-                rows = pa.array(np.full(len(found), k))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(at.astype(np.int32)), pa.array(after), pa.array(found, pa.binary())], names=["doc_id", "text_key", "at", "after", "words"])
+                starts, short, p = begins(h), (h >> np.uint64(32)).astype(np.uint32), at[k:k + n]
+                # the end of the paragraph that begins at each place, and the beginning of the one that ends there
+                ends = np.append(starts[1:], len(h))[np.maximum(np.searchsorted(starts, p, "right") - 1, 0)]
+                heads = starts[np.maximum(np.searchsorted(starts, p, "left") - 1, 0)]
+                high, low = np.maximum(p + BESIDE, ends + MARGIN).tolist(), np.maximum(np.minimum(p - BESIDE, heads - MARGIN), 0).tolist()
+                found += [(short[x:y] if up else short[z:x][::-1]).tobytes() for x, y, z, up in zip(p.tolist(), high, low, after[k:k + n].tolist(), strict=True)]
+                k += n
+            rows = pa.array(np.repeat(np.arange(len(each)), each))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), flat.field(0), flat.field(1), pa.array(found, pa.binary())], names=["doc_id", "text_key", "at", "after", "words"])
 
     rows = rows.select("doc.doc_id", "doc.text_key", "text", "places").mapInArrow(run, "doc_id long, text_key long, at int, after boolean, words binary")
     return rows.select(F.struct("doc_id", "text_key").alias("doc"), "at", "after", "words").dropDuplicates(["doc", "at", "after"])
@@ -292,8 +311,9 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found``, written runs, with ``left, right``: how far each that isn't kept goes on like its first occurrence (words, words there)."""
     gone = found.filter("not kept").select("doc", "start", "end", F.explode(F.array(
         F.struct(F.lit(False).alias("after"), F.col("start").alias("at"), F.col("head.doc").alias("there"), F.col("head.start").alias("there_at")),
-        F.struct(F.lit(True).alias("after"), F.col("end").alias("at"), F.col("tail.doc").alias("there"), F.col("tail.end").alias("there_at")))).alias("side"))
-    sides = gone.select("doc", "start", "end", "side.*")
+        F.struct(F.lit(True).alias("after"), F.col("end").alias("at"), F.col("tail.doc").alias("there"), F.col("tail.end").alias("there_at")))).alias("side"), "last", F.col("tail.last").alias("there_last"))
+    # where either text begins or ends nothing goes on
+    sides = gone.select("doc", "start", "side.*", "last", "there_last").filter(F.when(F.col("after"), ~F.col("last") & ~F.col("there_last")).otherwise((F.col("at") > 0) & (F.col("there_at") > 0))).drop("last", "there_last")
     places = sides.select("doc", "at", "after").unionByName(sides.select(F.col("there").alias("doc"), F.col("there_at").alias("at"), "after")).distinct()
     near = materialize(beside(docs, places), "paragraph-beside")
     pairs = (sides.join(near.withColumnRenamed("words", "own"), ["doc", "at", "after"])
@@ -317,7 +337,9 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
         alike = shingles - lost >= SIMILARITY * (shingles + lost)
         return F.when((lost == 0) | alike, F.struct((x["words"] + y["words"]).alias("words"), x.alias("left"), y.alias("right")))
 
-    best = F.array_max(F.flatten(F.transform("lefts", lambda x: F.transform("rights", lambda y: taken(x, y)))))
+    none = F.array(F.struct(F.lit(0).alias("words"), F.lit(0).alias("there"), F.lit(0).alias("lost")))
+    lefts, rights = F.coalesce("lefts", none), F.coalesce("rights", none)
+    best = F.array_max(F.flatten(F.transform(lefts, lambda x: F.transform(rights, lambda y: taken(x, y)))))
     return out.withColumn("best", best).select("doc", "start", "end", "kept", "class", "head", "tail", F.col("best.left").alias("left"), F.col("best.right").alias("right"))
 
 
