@@ -172,19 +172,26 @@ def phase_performance(curve: DataFrame, split: Column) -> DataFrame:
     return d.groupBy("phase").agg((F.max_by("equity", "trade_date") / F.min_by("equity", "trade_date")).alias("growth"), F.min("_dd").alias("max_drawdown"), F.count("*").alias("days"))
 
 
-def leave_one_out(scored: DataFrame, partition: list[str], k: int, per_group: int, group: str = "sector") -> DataFrame:
+def leave_one_out(scored: DataFrame, partition: list[str], k: int, per_group: int, group: str = "sector", universe: DataFrame | None = None) -> DataFrame:
     """The selection of each signal with one name excluded: ``excluded, <partition>, ticker, pick``.
 
-    Only the exclusion of a held name changes a selection, so ``excluded`` is each held name, and null for any other.
+    With a ``universe`` (``ticker``) every one of its names is excluded from every signal. Without one, ``excluded`` is each
+    held name, and null for any other: only the exclusion of a held name changes a selection.
     The names that can move up are among the best ``per_group`` + 1 of each group: per signal the k exclusions
-    meet that short list, by equality of the signal.
+    meet that short list, by equality of the signal. All other exclusions repeat the signal's k picks, one array a signal.
     """
     w = Window.partitionBy(*partition, group).orderBy(F.col("score").desc(), "ticker")
     short = scored.withColumn("_g", F.row_number().over(w)).where(F.col("_g") <= per_group + 1).drop("_g")
     base = capped_top(short, partition, group, "score", "ticker", k, per_group)
     held = base.select(*partition, F.col("ticker").alias("excluded"))
     changed = capped_top(short.join(held, partition).where(F.col("ticker") != F.col("excluded")), ["excluded", *partition], group, "score", "ticker", k, per_group)
-    return changed.select("excluded", *partition, "ticker", "pick").unionByName(base.select(F.lit(None).cast("string").alias("excluded"), *partition, "ticker", "pick"))
+    changed = changed.select("excluded", *partition, "ticker", "pick")
+    if universe is None:
+        return changed.unionByName(base.select(F.lit(None).cast("string").alias("excluded"), *partition, "ticker", "pick"))
+    names = universe.select(F.col("ticker").alias("excluded")).where("excluded IS NOT NULL").distinct()
+    same = base.groupBy(*partition).agg(F.collect_list(F.struct("ticker", "pick")).alias("_p"))
+    same = names.join(F.broadcast(same)).where(~F.array_contains("_p.ticker", F.col("excluded")))  # one row per signal date
+    return changed.join(names, "excluded", "left_semi").unionByName(same.select("excluded", *partition, F.explode("_p").alias("p")).select("excluded", *partition, "p.*"))
 
 
 def breadth_exposure(bars: DataFrame, market: str, sessions: int = 200) -> DataFrame:

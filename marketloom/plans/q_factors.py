@@ -137,11 +137,9 @@ def overlap(spark, d):
     return O.holdings_overlap(p.where("variant = 'quality'"), p.where("variant = 'momentum'"), ["month"], "ticker", 5).select("month", rnd("overlap", 4).alias("overlap"))
 
 
-@register("fac_16_leave_one_out", S.sql(SRC, """SELECT CASE WHEN held THEN excluded END AS excluded, month, ticker, pick FROM (SELECT *, row_number() OVER (PARTITION BY excluded, month ORDER BY score DESC, ticker) AS pick
-  FROM (SELECT sc.*, e.excluded, e.held, row_number() OVER (PARTITION BY e.excluded, sc.month, sc.sector ORDER BY sc.score DESC, sc.ticker) AS g FROM sc JOIN (SELECT month AS em, ticker AS excluded, true AS held FROM sel WHERE variant = 'balanced' UNION ALL SELECT DISTINCT month, '-', false FROM sel WHERE variant = 'balanced') e
-  ON e.em = sc.month AND sc.ticker <> e.excluded WHERE sc.variant = 'balanced') WHERE g <= 2) WHERE pick <= 5""", PANEL))
+@register("fac_16_leave_one_out", S.sql(SRC, "SELECT excluded, month, ticker, row_number() OVER (PARTITION BY excluded, month ORDER BY score DESC, ticker) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY excluded, month, sector ORDER BY score DESC, ticker) AS g FROM sc JOIN (SELECT ticker AS excluded FROM securities) ON ticker <> excluded WHERE variant = 'balanced') WHERE g <= 2 QUALIFY pick <= 5", PANEL))
 def loo(spark, d):
-    return O.leave_one_out(scored(spark, d).where("variant = 'balanced'"), ["month"], 5, 2)
+    return O.leave_one_out(scored(spark, d).where("variant = 'balanced'"), ["month"], 5, 2, universe=V.securities(spark, d))
 
 
 @register("fac_17_breadth_exposure", S.sql("bars", f"""SELECT trade_date, {r('breadth', 6)} AS breadth, CAST(CASE WHEN coalesce(NOT mu, false) THEN 0.5 ELSE 1 END AS DOUBLE) AS market_rule, CAST(CASE WHEN coalesce(NOT au, false) THEN 0 ELSE 1 END AS DOUBLE) AS all_down_rule, CAST(CASE WHEN breadth < 0.25 THEN 0.25 WHEN breadth < 0.5 THEN 0.5 ELSE 1 END AS DOUBLE) AS breadth_rule,

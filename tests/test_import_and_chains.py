@@ -90,3 +90,15 @@ def test_leave_one_out_equals_selecting_without_each_name(spark):
             want = select([r for r in names if r[1] != t])
             mine = got.get((d, t), {} if t in base else got[d, None])
             assert [mine[k + 1] for k in range(len(mine))] == want
+
+
+def test_every_name_of_the_universe_is_left_out_of_every_signal(spark):
+    rng = random.Random(5)
+    rows = [(d, f"T{k:02d}", "XYZ"[k % 3], rng.randrange(6) / 2) for d in range(6) for k in range(rng.randint(1, 14))]
+    df = spark.createDataFrame(rows, "month int, ticker string, sector string, score double")
+    universe = spark.createDataFrame([(f"T{k:02d}",) for k in range(1, 20)], "ticker string")
+    want = FA.capped_top(df.join(universe.select(F.col("ticker").alias("excluded"))).where("ticker <> excluded"), ["excluded", "month"], "sector", "score", "ticker", 5, 2)
+    got = FA.leave_one_out(df, ["month"], 5, 2, universe=universe)
+    key = ["excluded", "month", "ticker", "pick"]
+    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, want.select(*key).collect()))
+    assert {r.excluded for r in got.select("excluded").collect()} == {f"T{k:02d}" for k in range(1, 20)}
