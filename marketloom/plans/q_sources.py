@@ -166,8 +166,8 @@ def versioned(spark, d):
 def children(spark, d):
     o = V.table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
     li = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.col("l_quantity").alias("quantity"))
-    li = li.join(V.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", "left_semi")
-    return K.replace_children(o, li.join(o, "o_orderkey", "left_semi").withColumn("quantity", F.col("quantity") * 2), li, "o_orderkey")
+    li = li.join(K.hashed_keys(V.table(spark, d, "orders"), "o_orderkey"), "o_orderkey", "left_semi")
+    return K.replace_children(o, li.join(K.hashed_keys(o, "o_orderkey"), "o_orderkey", "left_semi").withColumn("quantity", F.col("quantity") * 2), li, "o_orderkey")
 
 
 @register("snk_08_definition_versions", S.sql("bars", "SELECT ticker, trade_date, sum(CASE WHEN pos IS DISTINCT FROM prev THEN 1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY trade_date) AS definition_version FROM (SELECT *, lag(pos) OVER (PARTITION BY ticker ORDER BY trade_date) AS prev FROM (SELECT ticker, trade_date, volume > 60 AS pos FROM bars))"))

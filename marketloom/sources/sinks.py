@@ -72,8 +72,16 @@ def freeze(df: DataFrame, date: str, end: Column, path: str, capture_id: str) ->
 
 
 def replace_children(parents: DataFrame, children: DataFrame, stored_children: DataFrame, key: str) -> DataFrame:
-    """Children of the incoming parents replace the stored ones; other parents keep theirs."""
-    return stored_children.join(parents.select(key), key, "left_anti").unionByName(children)
+    """Children of the incoming parents replace the stored ones; other parents keep theirs.
+
+    The parents' keys are hashed, each once, and the children stream past them unsorted.
+    """
+    return stored_children.join(hashed_keys(parents, key), key, "left_anti").unionByName(children)
+
+
+def hashed_keys(df: DataFrame, key: str) -> DataFrame:
+    """Keys for a semi or anti join against a larger table: a task holds its share of the distinct keys, not the sorted rows."""
+    return df.select(key).hint("shuffle_hash")
 
 
 def definition_versions(obs: DataFrame, key: str, at: str, definition: list[str]) -> DataFrame:

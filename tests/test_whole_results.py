@@ -67,3 +67,19 @@ def test_large_trades_of_a_long_day(spark):
     limit = np.quantile(t, 0.95)
     assert r["large_sample"] == n and r["large_threshold"] == pytest.approx(limit)
     assert r["large_buy_turnover"] == pytest.approx(sum(v for v, x in zip(t, rows, strict=True) if v >= limit and x[6] == "BUY"))
+
+
+def test_replaced_children_are_not_sorted(spark):
+    stored = spark.range(3000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("v"))
+    parents = spark.range(0, 1200, 2).select(F.col("id").alias("k"))
+    new = spark.createDataFrame([(0, -1), (2, -2), (2, -3)], "k long, v long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables of any size
+    try:
+        df = sinks.replace_children(parents, new, stored, "k")
+        got = {tuple(r) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {(v % 1000, v) for v in range(3000) if v % 1000 % 2} | {(0, -1), (2, -2), (2, -3)}
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
