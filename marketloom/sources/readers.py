@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from marketloom.functions import dates as D, text as T
+from marketloom.sources.shared import materialize
 
 # Forms and the tag priority of each metric.
 FILING_FORMS = ("10-K", "10-K/A", "10-Q", "10-Q/A", "8-K", "8-K/A")
@@ -39,26 +40,34 @@ def read_trade_import(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     order, others are ignored. Blank rows are skipped, all others kept, whatever is in them. A file over 5 MB, without
     header, with missing columns, without rows or with over 1000 gives no rows but a fault. A file is read as one value, which
     its limit bounds; larger ones are told by their length alone, without reading them. Files without a byte are passed over.
+    All files are read and parsed once, into a written table.
     """
     files = spark.read.format("binaryFile").load(path)
     small = files.where(F.col("length") <= IMPORT_BYTES).select(F.col("path").alias("file"), F.regexp_replace(F.col("content").cast("string"), "^\ufeff", "").alias("body"))
-    cells = F.from_csv("line", ", ".join(f"c{i} string" for i in range(IMPORT_COLUMNS)), {"mode": "PERMISSIVE", "escape": "\""})
-    lines = small.select("file", F.posexplode(F.split("body", "\r?\n")).alias("pos", "line")).select("file", (F.col("pos") + 1).alias("row_no"), cells.alias("c"))
-    lines = lines.select("file", "row_no", F.array(*[F.trim(F.coalesce(f"c.c{i}", F.lit(""))) for i in range(IMPORT_COLUMNS)]).alias("cells"))
     names = list(IMPORT_HEADERS)
-    is_header = (F.col("row_no") <= IMPORT_HEADER_ROWS) & F.array_contains("cells", names[0]) & F.array_contains("cells", names[1])
-    headers = lines.where(is_header).groupBy("file").agg(F.min("row_no").alias("header_no"), F.min_by("cells", "row_no").alias("header"))
-    missing = F.array_except(F.array(*map(F.lit, names)), F.col("header"))
-    headers = small.select("file").join(headers, "file", "left").withColumn("missing", F.array_join(missing, ","))
-    sound = headers.where("missing = ''").drop("missing")
-    value = lambda name: F.element_at("cells", F.array_position("header", name).cast("int"))
-    rows = lines.join(sound, "file").where(F.col("row_no") > F.col("header_no")).select("file", "row_no", *[value(h).alias(c) for h, c in IMPORT_HEADERS.items()])
-    rows = rows.where(F.concat(*IMPORT_HEADERS.values()) != "")
-    counts = rows.groupBy("file").agg(F.count("*").alias("n"))
-    faults = headers.join(counts, "file", "left").select("file", F.when(F.col("header").isNull(), "NO_HEADER").when(F.col("missing") != "", F.concat(F.lit("MISSING:"), "missing"))
-                                                         .when(F.col("n").isNull(), "NO_ROWS").when(F.col("n") > IMPORT_ROWS, "TOO_MANY_ROWS").alias("error")).where("error IS NOT NULL")
+    parsed = lambda line: F.from_csv(line, ", ".join(f"c{i} string" for i in range(IMPORT_COLUMNS)), {"mode": "PERMISSIVE", "escape": "\""})
+    cells = lambda c: F.array(*[c[f"c{i}"] for i in range(IMPORT_COLUMNS)])
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    # a file's first lines show its header; the lines after it are then parsed once, one at a time
+    first = F.transform(F.transform(F.slice("lines", 1, IMPORT_HEADER_ROWS), parsed), lambda c, i: F.struct((i + 1).alias("no"), F.transform(cells(c), trimmed).alias("cells")))
+    header = F.get(F.filter(first, lambda x: F.array_contains(x["cells"], names[0]) & F.array_contains(x["cells"], names[1])), F.lit(0))
+    d = small.select("file", F.split("body", "\r?\n").alias("lines")).select("file", "lines", F.explode(F.array(header)).alias("h"))
+    missing = F.array_join(F.array_except(F.array(*map(F.lit, names)), F.col("h.cells")), ",")
+    fault = F.when(F.col("h.no").isNull(), "NO_HEADER").when(missing != "", F.concat(F.lit("MISSING:"), missing))
+    d = d.select("file", F.col("h.no").alias("no"), F.array(*[F.array_position("h.cells", n).cast("int") for n in names]).alias("at"), fault.alias("fault"), (F.size("lines") - F.col("h.no") > IMPORT_ROWS).alias("long"), F.posexplode("lines").alias("pos", "line"))
+    mark = F.col("pos") + 1 == F.coalesce("no", F.lit(1))  # one line of every file stands for the file itself
+    d = d.withColumn("mark", mark).where(F.col("mark") | (F.col("fault").isNull() & (F.col("pos") >= F.col("no"))))
+    d = d.select("file", "at", "fault", "long", "pos", "mark", parsed(F.col("line")).alias("c")).select("file", "at", "fault", "long", "pos", "mark", cells(F.col("c")).alias("cells"))
+    value = lambda i: trimmed(F.element_at("cells", F.get("at", F.lit(i))))
+    d = d.select("file", (F.col("pos") + 1).alias("row_no"), "fault", F.coalesce("long", F.lit(False)).alias("long"), "mark", F.explode(F.array(F.struct(*[F.when(F.col("fault").isNull(), value(i)).alias(c) for i, c in enumerate(IMPORT_HEADERS.values())]))).alias("v"))
+    d = d.where(F.col("mark") | (F.concat(*[f"v.{c}" for c in IMPORT_HEADERS.values()]) != "")).select("file", "row_no", "fault", "long", "mark", "v.*")
+    read = materialize(d, "trade-import")
+    per_file = read.groupBy("file").agg(F.max("fault").alias("fault"), F.count_if(~F.col("mark")).alias("n"))
+    faults = per_file.select("file", F.when(F.col("fault").isNotNull(), F.col("fault")).when(F.col("n") == 0, "NO_ROWS").when(F.col("n") > IMPORT_ROWS, "TOO_MANY_ROWS").alias("error")).where("error IS NOT NULL")
     faults = faults.unionByName(files.where(F.col("length") > IMPORT_BYTES).select(F.col("path").alias("file"), F.lit("TOO_LARGE").alias("error")))
-    return rows.join(faults.where("error = 'TOO_MANY_ROWS'").select("file"), "file", "left_anti"), faults
+    rows = read.where(~F.col("mark")).select("file", "row_no", "long", *IMPORT_HEADERS.values())
+    full = rows.where("long").join(faults.where("error = 'TOO_MANY_ROWS'").select("file"), "file", "left_anti")
+    return rows.where(~F.col("long")).unionByName(full).drop("long"), faults
 
 
 def chart_bars(payloads: DataFrame) -> DataFrame:

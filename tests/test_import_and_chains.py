@@ -38,6 +38,17 @@ def test_import_files(spark, tmp_path):
     assert got["bom.csv", 4].errors == "DUPLICATE" and checked.where("f = 'full.csv' AND errors = ''").count() == 1000
 
 
+def test_import_files_are_parsed_once(spark, tmp_path):
+    for name, n in (("a.csv", 3), ("b.csv", 1001), ("c.csv", 0)):
+        (tmp_path / name).write_text("\n".join([",".join(HEADER)] + [LINE] * n + [""] * 1200))
+    rows, faults = R.read_trade_import(spark, str(tmp_path))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (rows, faults)]
+    assert not any("from_csv" in p for p in plans)
+    base = F.element_at(F.split("file", "/"), -1)
+    assert sorted(r[0] for r in rows.select(base).collect()) == ["a.csv"] * 3
+    assert sorted(map(tuple, faults.select(base, "error").collect())) == [("b.csv", "TOO_MANY_ROWS"), ("c.csv", "NO_ROWS")]
+
+
 def greedy(pairs):
     kept, last = [], None
     for s, e in sorted(pairs):
