@@ -48,8 +48,9 @@ def corroboration(articles: DataFrame, key: str, days: int = 2) -> DataFrame:
     """Distinct publishers of a story within +-days of each publication day, and the corroborated flag."""
     seen = articles.select(key, "published_on", "publisher", "source_tier").distinct()
     near = seen.withColumn("_o", F.explode(F.sequence(F.lit(-days), F.lit(days)))).withColumn("_day", F.date_add("published_on", F.col("_o")))
-    around = near.groupBy(key, F.col("_day").alias("published_on")).agg(F.countDistinct("publisher").alias("publishers"), F.max((F.col("source_tier") == "TIER_1").cast("int")).alias("_t"))
-    j = seen.select(key, "published_on").distinct().join(around, [key, "published_on"])
+    around = near.groupBy(key, F.col("_day").alias("published_on")).agg(F.countDistinct("publisher").alias("publishers"), F.max((F.col("source_tier") == "TIER_1").cast("int")).alias("_t"),
+                                                                      F.bool_or(F.col("_o") == 0).alias("_own"))
+    j = around.where(F.col("_own") & F.col(key).isNotNull() & F.col("published_on").isNotNull())  # days of the story itself
     return j.select(key, "published_on", "publishers", ((F.col("publishers") >= 2) | (F.col("_t") == 1)).alias("corroborated"))
 
 

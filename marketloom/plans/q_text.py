@@ -152,8 +152,9 @@ st AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (P
 def story_articles(spark, d):
     p = pages(spark, d).select(F.col("page_id").alias("doc_id"), T.canonical_url("url").alias("cu"))
     i = F.col("doc_id")
-    return docs(spark, d).join(p, "doc_id", "left").select(
-        i.alias("article_id"), F.coalesce("cu", F.concat(F.lit("doc:"), i.cast("string"))).alias("canonical_url"), T.story_fingerprint("text").alias("fingerprint"),
+    a = docs(spark, d).select("doc_id", T.story_fingerprint("text").alias("fingerprint"), "n_chars", "source")  # texts stay where they are read
+    return a.join(p, "doc_id", "left").select(
+        i.alias("article_id"), F.coalesce("cu", F.concat(F.lit("doc:"), i.cast("string"))).alias("canonical_url"), "fingerprint",
         F.when(i % 3 == 0, "TIER_1").otherwise("TIER_2").alias("source_tier"), F.when(i % 4 == 0, "DISCUSSION").otherwise("NEWS").alias("content_kind"),
         F.col("n_chars").alias("engagement"), F.col("source").alias("publisher"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 30).cast("int")).alias("published_on"))
 

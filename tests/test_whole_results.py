@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.json import flatten_tree, material_hash
 from marketloom.functions.text import decode_entities
 from marketloom.operators.events import classify_filings
+from marketloom.operators.news import corroboration
 from marketloom.operators.ticks import large_trades
 from marketloom.sources import sinks
 
@@ -83,3 +84,12 @@ def test_replaced_children_are_not_sorted(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert got == {(v % 1000, v) for v in range(3000) if v % 1000 % 2} | {(0, -1), (2, -2), (2, -3)}
     assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_corroboration_reads_its_articles_once(spark, tmp_path):
+    day = lambda k: dt.date(2024, 1, k)
+    rows = [("a", day(1), "x", "TIER_2"), ("a", day(3), "y", "TIER_2"), ("a", day(6), "y", "TIER_2"), ("a", day(6), "y", "TIER_2"), ("b", day(1), "x", "TIER_1"), ("c", day(1), None, "TIER_2"), (None, day(1), "x", "TIER_1"), ("d", None, "x", "TIER_1")]
+    spark.createDataFrame(rows, "k string, published_on date, publisher string, source_tier string").write.parquet(str(tmp_path / "t"))
+    df = corroboration(spark.read.parquet(str(tmp_path / "t")), "k")
+    assert {tuple(r) for r in df.collect()} == {("a", day(1), 2, True), ("a", day(3), 2, True), ("a", day(6), 1, False), ("b", day(1), 1, True), ("c", day(1), 0, False)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
