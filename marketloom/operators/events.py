@@ -28,13 +28,10 @@ def item_codes(text: Column | str) -> Column:
 
 def classify_filings(filings: DataFrame) -> DataFrame:
     """Event type and severity of a filing, one row per accession number: the worst item decides, the first listed wins ties."""
-    spark = filings.sparkSession
-    x = filings.dropDuplicates(["accession_number"]).select("*", F.posexplode_outer(item_codes("items")).alias("_pos", "item"))
-    j = x.join(F.broadcast(item_rules(spark)), "item", "left")
-    sev = F.coalesce("severity", F.lit("P3"))
-    first = F.min_by(F.struct("item", sev.alias("severity"), "label"), F.struct(sev, "_pos"))
-    g = j.groupBy(*filings.columns).agg(first.alias("p"), F.count("item").alias("item_count"))
-    return g.select(*filings.columns, "item_count", F.col("p.severity").alias("severity"), F.col("p.item").alias("primary_item"),
+    rank = F.create_map(*[F.lit(v) for code, _, severity in ITEM_RULES for v in (code, severity)])
+    worst = F.array_min(F.transform("_codes", lambda x, i: F.struct(F.coalesce(F.try_element_at(rank, x), F.lit("P3")).alias("severity"), i.alias("pos"), x.alias("item"))))
+    d = filings.dropDuplicates(["accession_number"]).withColumn("_codes", F.coalesce(item_codes("items"), F.array().cast("array<string>"))).withColumn("p", worst)
+    return d.select(*filings.columns, F.size("_codes").cast("long").alias("item_count"), F.coalesce("p.severity", F.lit("P3")).alias("severity"), F.col("p.item").alias("primary_item"),
                     F.coalesce(F.concat(F.lit("SEC_8K_ITEM_"), F.replace("p.item", F.lit("."), F.lit("_"))), F.lit("SEC_8K_UNSPECIFIED")).alias("event_type"))
 
 

@@ -96,10 +96,11 @@ def features(spark, d):
     f = f.join(st.select(*KEY, F.when(F.col("signal") != "INSUFFICIENT", rnd(F.col("daily_score") / 100, 4)).alias("flow_score"),
                          F.when(F.col("stage") != "INSUFFICIENT", rnd(F.col("score") / 100, 4)).alias("behavior_score"),
                          F.when(F.col("stage") != "INSUFFICIENT", F.coalesce("data_level", F.lit("DAILY_BARS"))).alias("behavior_data_level")), KEY)
-    trailing, forward = materialize(ttm(spark, d), "ttm"), materialize(ntm(spark, d), "ntm")
+    quarters, est = materialize(V.quarter_totals(spark, d), "quarters"), materialize(V.estimates(spark, d), "estimates")
+    trailing, forward = materialize(ttm(spark, d, quarters), "ttm"), materialize(ntm(spark, d, est), "ntm")
     f = materialize(f, "price-features")  # the rows that all further parts are joined to
-    rev = VA.revisions(V.estimates(spark, d)).select("ticker", "as_of", O.row_mean([F.col("revision_7d"), F.col("revision_30d")]).alias("eps_revision"))
-    f = SN.company_features(f, trailing, forward, rev, V.annual_facts(spark, d))
+    rev = VA.revisions(est).select("ticker", "as_of", O.row_mean([F.col("revision_7d"), F.col("revision_30d")]).alias("eps_revision"))
+    f = SN.company_features(f, trailing, forward, rev, V.annual_facts(spark, d, quarters))
     f = SN.peer_features(f, V.relationships(spark, d), prices, trailing, forward)
     ctx = MC.market_context(V.macro_bars(spark, d)).select("trade_date", "regime")
     f = f.join(F.broadcast(ctx), "trade_date", "left")  # one row per date

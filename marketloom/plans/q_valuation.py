@@ -23,8 +23,8 @@ ttm AS (SELECT cp.ticker, cp.cp, CASE WHEN av IS NOT NULL AND cv IS NULL THEN av
   FROM cp LEFT JOIN aa USING (ticker, cp) LEFT JOIN ci USING (ticker, cp) LEFT JOIN pi USING (ticker, cp) LEFT JOIN fq USING (ticker, cp))"""
 
 
-def ttm(spark, d):
-    return O.ttm_eps(V.eps_facts(spark, d))
+def ttm(spark, d, quarters=None):
+    return O.ttm_eps(V.eps_facts(spark, d, quarters))
 
 
 @register("val_01_ttm_eps", S.sql("eps_facts", f"SELECT ticker, cp, {r('ttm_eps', 4)} AS ttm_eps, ttm_method FROM ttm", TTM))
@@ -56,9 +56,9 @@ ntm AS (SELECT ticker, as_of, method, CASE method WHEN 'FOUR_QUARTER_CONSENSUS'
 nt AS (SELECT *, CASE WHEN method = 'INSUFFICIENT' THEN 'error' WHEN method = 'NEXT_FISCAL_YEAR_PROXY' THEN 'proxy' WHEN analyst_count < 3 THEN 'limited_coverage' ELSE 'complete' END AS quality_status FROM ntm)"""
 
 
-def estimate_rows(spark, d):
+def estimate_rows(spark, d, estimates=None):
     from pyspark.sql import Window
-    e = V.estimates(spark, d)
+    e = estimates if estimates is not None else V.estimates(spark, d)
     w = Window.partitionBy("ticker", "as_of").orderBy("period_end")
     q = e.withColumn("k", F.row_number().over(w)).where(~((F.month("as_of") % 3 == 0) & (F.col("k") == 2))).drop("k")
     y = e.groupBy("ticker", "as_of").agg(F.min("eps_average").alias("e"), F.min("analyst_count").alias("c")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
@@ -69,8 +69,8 @@ def estimate_rows(spark, d):
     return q.unionByName(y)
 
 
-def ntm(spark, d):
-    return O.ntm_consensus(estimate_rows(spark, d))
+def ntm(spark, d, estimates=None):
+    return O.ntm_consensus(estimate_rows(spark, d, estimates))
 
 
 @register("est_01_ntm_consensus", S.sql("estimates", f"SELECT ticker, as_of, method, {r('eps_value', 4)} AS eps_value, {r('eps_high', 4)} AS eps_high FROM nt", EST_ROWS))

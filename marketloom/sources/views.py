@@ -103,9 +103,9 @@ def quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("period_end", F.date_sub(F.add_months("period_start", 3), 1))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quarterly flow facts with a restatement for every fourth order count."""
-    e = quarter_totals(spark, sf_dir)
+def facts(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
+    """Quarterly flow facts with a restatement for every fourth order count. ``quarters``: of ``quarter_totals``, if already reduced."""
+    e = quarters if quarters is not None else quarter_totals(spark, sf_dir)
     n = (F.col("n") % 20).cast("int")
     base = e.select("ticker", "period_start", "period_end",
                     F.date_add("period_end", n + 30).alias("filed_at"), F.lit(0).alias("version"), "value", "n")
@@ -123,9 +123,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "filed_at", F.lit(0).alias("tag_priority"), "version", F.col("m.value").alias("value")))
 
 
-def annual_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def annual_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
     """Annual statements: the sum of four quarters as first filed, and again 90 days after the last restatement."""
-    f = facts(spark, sf_dir).withColumn("y", F.year("period_end"))
+    f = facts(spark, sf_dir, quarters).withColumn("y", F.year("period_end"))
     key = ["ticker", "metric_key", "y"]
 
     def year(rows: DataFrame, version: int, days: int) -> DataFrame:
@@ -152,9 +152,9 @@ def industries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(s.groupBy("sector").agg(F.min("ticker").alias("industry")), "sector").select("ticker", "industry")
 
 
-def eps_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eps_facts(spark: SparkSession, sf_dir: str, quarters: DataFrame | None = None) -> DataFrame:
     """Diluted-EPS facts as issuers file them: Q1-Q3 quarters, cumulative YTD at Q2/Q3, the full year."""
-    e = (quarter_totals(spark, sf_dir)
+    e = ((quarters if quarters is not None else quarter_totals(spark, sf_dir))
          .withColumns({"fy": F.year("period_start"), "qn": F.quarter("period_start"),
                        "eps": F.floor(F.col("value") / 1e4).cast("double") / 100}))
     filed = F.date_add("period_end", (F.col("n") % 20).cast("int") + 30)

@@ -93,3 +93,13 @@ def test_corroboration_reads_its_articles_once(spark, tmp_path):
     df = corroboration(spark.read.parquet(str(tmp_path / "t")), "k")
     assert {tuple(r) for r in df.collect()} == {("a", day(1), 2, True), ("a", day(3), 2, True), ("a", day(6), 1, False), ("b", day(1), 1, True), ("c", day(1), 0, False)}
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+
+
+def test_filings_are_classified_row_by_row(spark):
+    rows = [("a", "Items: 9.01 and 4.02"), ("b", "2.02, 5.02"), ("c", "none"), ("d", None), ("e", "8.8 and 1.03 and 8.8")]
+    df = classify_filings(spark.createDataFrame(rows, "accession_number string, items string"))
+    got = {r.accession_number: (r.item_count, r.severity, r.primary_item, r.event_type) for r in df.collect()}
+    assert got == {"a": (2, "P1", "4.02", "SEC_8K_ITEM_4_02"), "b": (2, "P2", "2.02", "SEC_8K_ITEM_2_02"), "c": (0, "P3", None, "SEC_8K_UNSPECIFIED"),
+                   "d": (0, "P3", None, "SEC_8K_UNSPECIFIED"), "e": (2, "P0", "1.03", "SEC_8K_ITEM_1_03")}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Generate" not in plan  # repeated filings are the only groups
