@@ -10,7 +10,7 @@ from marketloom.functions.text import decode_entities
 from marketloom.operators.events import classify_filings
 from marketloom.operators.news import corroboration
 from marketloom.operators.ticks import large_trades
-from marketloom.sources import sinks
+from marketloom.sources import sinks, views
 
 
 def test_documents_of_any_depth(spark):
@@ -103,3 +103,13 @@ def test_filings_are_classified_row_by_row(spark):
                    "d": (0, "P3", None, "SEC_8K_UNSPECIFIED"), "e": (2, "P0", "1.03", "SEC_8K_ITEM_1_03")}
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and "Generate" not in plan  # repeated filings are the only groups
+
+
+def test_facts_of_reduced_quarters_do_not_read_orders(spark, tmp_path):
+    d = "/root/testdata/sf0.001"
+    views.quarter_totals(spark, d).write.parquet(str(tmp_path / "q"))
+    q = spark.read.parquet(str(tmp_path / "q"))
+    for view in (views.annual_facts, views.eps_facts):
+        df = view(spark, d, q)
+        assert sorted(map(str, df.collect())) == sorted(map(str, view(spark, d).collect()))
+        assert "o_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
