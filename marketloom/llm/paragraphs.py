@@ -11,14 +11,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.llm.common import WORD, as_bytes, bucket_links, components, mix, spread, text_key, texts, words
+from marketloom.llm.common import WORD, as_bytes, bucket_links, components, mix, spread, text_key, texts
 from marketloom.sources.shared import materialize
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -34,43 +36,100 @@ BESIDE, MARGIN = 48, REACH + SHINGLE
 CHANGED, CROSSINGS = 2, 4
 #: Candidates up to this number are broadcast (16 MB of ids), more are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
-REMEMBERED = 300_000
-
+#: Texts are cut this many bytes at a time, and pairs compared this many words at a time: numpy's calls are shared by many texts, memory is bounded.
+PIECE, MATRIX = 1_000_000, 250_000
+#: Places between two texts in a piece, so that no word sees the text before or after its own.
+GAP = REACH - 1
+MULTIPLIERS = spread(SHINGLE)
+#: Of XXH64.
+PRIMES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
 
-class Digests(dict):
-    """Hashes of words, as eight bytes; the newest REMEMBERED ones of a worker process are kept."""
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh64_digest(word)
-        return out
+class Cut(NamedTuple):
+    """Texts laid one after the other, GAP places apart: hashes of their words, where each begins and ends, and bounds and text of each paragraph."""
 
+    hashes: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    text: np.ndarray
 
-DIGESTS = Digests()
-MULTIPLIERS = spread(SHINGLE)
 
-
-def least_before(x: np.ndarray) -> np.ndarray:
-    """For each place the least of the REACH values before it; the largest number where there are none."""
-    out = np.full(len(x), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(1, min(REACH, len(x) - 1) + 1):
-        np.minimum(out[k:], x[:-k], out=out[k:])
-    return out
+def pieces(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a column of texts with about PIECE bytes, and the row each begins at."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not len(size):
+        return
+    at = (np.cumsum(size) - size) // PIECE
+    bounds = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(size)]
+    for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+        yield x, column.slice(x, y - x)
 
 
-def hashed(w: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(DIGESTS.__getitem__, w)), np.uint64)
+def rolled(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
 
 
-def begins(h: np.ndarray) -> np.ndarray:
-    """The first words of a text's paragraphs, from the hashes of its words; never empty."""
-    if len(h) < 2:
-        return np.zeros(1, np.int64)
+def digests(known: pa.Array) -> np.ndarray:
+    """``xxhash.xxh64_digest`` of each string, as eight bytes. Words under 32 bytes, nearly all, are hashed by columns."""
+    _, offsets, data = known.buffers()
+    offsets = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(known.type) else np.int32)[known.offset:known.offset + len(known) + 1].astype(np.int64)
+    data = np.append(np.frombuffer(data or b"", np.uint8)[:offsets[-1]], np.zeros(8, np.uint8))
+    lanes = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))  # the eight bytes from each place on
+    at, n = offsets[:-1], np.diff(offsets)
+    p1, p2, p3, p4, p5 = PRIMES
     with np.errstate(over="ignore"):
-        pair = mix(h[:-1] * MULTIPLIERS[0] + h[1:] * MULTIPLIERS[1])
-    cut = np.flatnonzero((pair < least_before(pair)) & (pair <= least_before(pair[::-1])[::-1]))
-    return np.concatenate([[0], cut[cut > 0]])
+        h = p5 + n.astype(np.uint64)
+        for k in range(0, 24, 8):
+            own = np.flatnonzero(n >= k + 8)
+            h[own] = rolled(h[own] ^ (rolled(lanes[at[own] + k] * p2, 31) * p1), 27) * p1 + p4
+        own = np.flatnonzero(n & 4)
+        h[own] = rolled(h[own] ^ ((lanes[at[own] + (n[own] & -8)] & np.uint64(0xFFFFFFFF)) * p1), 23) * p2 + p3
+        for k in range(3):
+            own = np.flatnonzero((n & 3) > k)
+            h[own] = rolled(h[own] ^ (data[at[own] + (n[own] & -4) + k] * p5), 11) * p1
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+        h = (h ^ (h >> np.uint64(32))).byteswap()
+    for k in np.flatnonzero(n >= 32).tolist():
+        h[k:k + 1] = np.frombuffer(xxhash.xxh64_digest(data[at[k]:at[k] + n[k]].tobytes()), np.uint64)
+    return h
+
+
+def hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (as in ``common.words``) of all texts in a row, and the number of words of each; a word is hashed once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    flat, bounds = lists.flatten(), lists.offsets.to_numpy()
+    bounds = bounds - bounds[0]
+    there = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end of a text leaves an empty word there
+    before = np.concatenate([[0], np.cumsum(there)])
+    coded = flat.dictionary_encode()
+    return digests(coded.dictionary)[coded.indices.to_numpy()[there]], before[bounds[1:]] - before[bounds[:-1]]
+
+
+def cut_texts(column: pa.Array) -> Cut:
+    """Paragraphs of any length; the first of a text begins at its first word."""
+    words, n = hashed(column)
+    begin = np.cumsum(n + GAP) - n - GAP
+    end = begin + n
+    h = np.zeros(int(n.sum()) + GAP * len(n) + SHINGLE, np.uint64)
+    h[np.arange(len(words)) + np.repeat(begin - np.cumsum(n) + n, n)] = words
+    none = np.iinfo(np.uint64).max
+    pair = np.full(len(h) + 2 * REACH, none, np.uint64)  # REACH places on either side
+    here = pair[REACH:-REACH]
+    with np.errstate(over="ignore"):
+        here[:-1] = mix(h[:-1] * MULTIPLIERS[0] + h[1:] * MULTIPLIERS[1])
+    here[(end[:, None] + np.arange(-1, GAP)).ravel()] = none  # no pair begins at a text's last word or between texts
+    here[len(h) - SHINGLE:] = none
+    least = pair[:len(pair) - REACH + 1].copy()  # of REACH places from here on
+    for k in range(1, REACH):
+        np.minimum(least, pair[k:len(pair) - REACH + 1 + k], out=least)
+    first = (here < least[:len(h)]) & (here <= least[REACH + 1:])
+    first[begin[n > 0]] = True
+    starts = np.flatnonzero(first)
+    text = np.searchsorted(begin, starts, "right") - 1
+    return Cut(h, begin, end, starts, np.minimum(np.append(starts[1:], len(h)), end[text]) if len(starts) else starts, text)
 
 
 def shingle_bounds(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,24 +137,31 @@ def shingle_bounds(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
 
 
-def paragraphs(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bounds (first word, end) of each paragraph with a shingle, hashes of the text's shingles, and paragraph hashes."""
-    w = words(text)
-    n = len(w)
-    if n < SHINGLE:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
-    h = hashed(w)
-    starts = begins(h)
-    ends = np.append(starts[1:], n)
-    whole = ends - starts >= SHINGLE
-    starts, ends = starts[whole], ends[whole]
-    if not len(starts):
-        return starts, ends, np.empty(0, np.uint64), np.empty(0, np.uint64)
+def paragraphs(column: pa.Array) -> tuple[Cut, np.ndarray, np.ndarray]:
+    """The paragraphs of all texts that have a shingle, the hash of the shingle at each place, and the paragraphs' hashes."""
+    c = cut_texts(column)
+    whole = c.ends - c.starts >= SHINGLE
+    c = c._replace(starts=c.starts[whole], ends=c.ends[whole], text=c.text[whole])
+    n = len(c.hashes) - SHINGLE + 1
     with np.errstate(over="ignore"):
-        shingles = mix(sum(h[k:n - SHINGLE + 1 + k] * MULTIPLIERS[k] for k in range(SHINGLE)))
+        shingles = c.hashes[:n] * MULTIPLIERS[0]
+        for k in range(1, SHINGLE):
+            shingles += c.hashes[k:n + k] * MULTIPLIERS[k]
+        shingles = mix(shingles)
         # paragraphs with equal bags of shingles have one name: their similarity is 1
-        names = mix(np.add.reduceat(np.append(shingles, np.uint64(0)), shingle_bounds(starts, ends))[::2])
-    return starts, ends, shingles, names
+        names = mix(np.add.reduceat(shingles, shingle_bounds(c.starts, c.ends))[::2]) if len(c.starts) else np.empty(0, np.uint64)
+    return c, shingles, names
+
+
+def stretches(first: np.ndarray, n: np.ndarray, step: np.ndarray | int = 1) -> np.ndarray:
+    """``n`` places from each ``first`` on, ``step`` apart, one stretch after the other."""
+    return np.repeat(first, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) * (step if isinstance(step, int) else np.repeat(step, n))
+
+
+def binaries(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """``values``, 32 bits each, as one binary for every ``n``."""
+    bounds = np.concatenate([[0], np.cumsum(n)]).astype(np.int64) * 4
+    return pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(bounds), pa.py_buffer(values)])
 
 
 def collisions(rows: DataFrame) -> DataFrame:
@@ -125,20 +191,16 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, sizes, sets = [], [], []
-            for t in as_bytes(b.column(0)):
-                starts, ends, shingles, names = paragraphs(t)
-                if not len(names):
-                    continue
-                size = ends - starts - SHINGLE + 1
+            for _, column in pieces(b.column(0)):
+                c, shingles, names = paragraphs(column)
+                size = c.ends - c.starts - SHINGLE + 1
                 ids.append(names)
                 sizes.append(size)
-                at = np.arange(size.sum()) + np.repeat(starts - np.cumsum(size) + size, size)
-                sets.append((shingles[at] >> np.uint64(32)).astype(np.uint32))
+                sets.append((shingles[stretches(c.starts, size)] >> np.uint64(32)).astype(np.uint32))
             if not ids:
                 continue
             name, first = np.unique(np.concatenate(ids), return_index=True)
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) * 4
-            data = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.concatenate(sets))])
+            data = binaries(np.concatenate(sets), np.concatenate(sizes))
             yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), data.take(pa.array(first)).cast(pa.binary())], names=["id", "shingles"])
 
     return texts(docs).select("text").mapInArrow(run, "id long, shingles binary")
@@ -189,18 +251,18 @@ def occurrences(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, starts, lengths, last, ids, keys = [], [], [], [], [], []
-            for k, t in enumerate(as_bytes(b.column(2))):
-                s, e, shingles, names = paragraphs(t)
+            for row, column in pieces(b.column(2)):
+                c, shingles, names = paragraphs(column)
                 if not len(names):
                     continue
-                at.append(np.full(len(s), k))
-                starts.append(s)
-                lengths.append(e - s)
+                at.append(row + c.text)
+                starts.append(c.starts - c.begin[c.text])
+                lengths.append(c.ends - c.starts)
                 ids.append(names)
-                last.append(e == len(shingles) + SHINGLE - 1)
-                bounds, padded = shingle_bounds(s, e), np.append(shingles, np.uint64(0))
+                last.append(c.ends == c.end[c.text])
+                bounds = shingle_bounds(c.starts, c.ends)
                 # shingle hashes are mixed, so the one nearest to a seed in bits is a random choice
-                least = [np.minimum.reduceat(padded ^ seed, bounds)[::2] for seed in seeds]
+                least = [np.minimum.reduceat(shingles ^ seed, bounds)[::2] for seed in seeds]
                 keys.append(np.stack([(x & ~np.uint64(3)) | np.uint64(k) for k, x in enumerate(least)], axis=1))
             if not at:
                 continue
@@ -269,42 +331,84 @@ def beside(docs: DataFrame, places: DataFrame) -> DataFrame:
             lists = b.column(3)
             each, flat = np.diff(lists.offsets.to_numpy()), lists.flatten()
             at, after = flat.field(0).to_numpy(), flat.field(1).to_numpy(zero_copy_only=False)
-            found, k = [], 0
-            for t, n in zip(as_bytes(b.column(2)), each.tolist(), strict=True):
-                h = hashed(words(t))
-                starts, short, p = begins(h), (h >> np.uint64(32)).astype(np.uint32), at[k:k + n]
+            text, first = np.repeat(np.arange(len(each)), each), np.concatenate([[0], np.cumsum(each)]).tolist()
+            for row, column in pieces(b.column(2)):
+                c, mine = cut_texts(column), slice(first[row], first[row + len(column)])
+                up, own = after[mine], text[mine] - row
+                begin, end = c.begin[own], c.end[own]
+                p = begin + at[mine]
                 # the end of the paragraph that begins at each place, and the beginning of the one that ends there
-                ends = np.append(starts[1:], len(h))[np.maximum(np.searchsorted(starts, p, "right") - 1, 0)]
-                heads = starts[np.maximum(np.searchsorted(starts, p, "left") - 1, 0)]
-                high, low = np.maximum(p + BESIDE, ends + MARGIN).tolist(), np.maximum(np.minimum(p - BESIDE, heads - MARGIN), 0).tolist()
-                found += [(short[x:y] if up else short[z:x][::-1]).tobytes() for x, y, z, up in zip(p.tolist(), high, low, after[k:k + n].tolist(), strict=True)]
-                k += n
-            rows = pa.array(np.repeat(np.arange(len(each)), each))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), flat.field(0), flat.field(1), pa.array(found, pa.binary())], names=["doc_id", "text_key", "at", "after", "words"])
+                ends = c.ends[np.maximum(np.searchsorted(c.starts, p, "right") - 1, 0)]
+                heads = np.maximum(c.starts[np.maximum(np.searchsorted(c.starts, p, "left") - 1, 0)], begin)
+                n = np.where(up, np.minimum(np.maximum(p + BESIDE, ends + MARGIN), end) - p, p - np.maximum(np.minimum(p - BESIDE, heads - MARGIN), begin))
+                short = (c.hashes[stretches(np.where(up, p, p - 1), n, np.where(up, 1, -1))] >> np.uint64(32)).astype(np.uint32)
+                rows = pa.array(text[mine])
+                places = flat.slice(mine.start, mine.stop - mine.start)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), places.field(0), places.field(1), binaries(short, n).cast(pa.binary())], names=["doc_id", "text_key", "at", "after", "words"])
 
     rows = rows.select("doc.doc_id", "doc.text_key", "text", "places").mapInArrow(run, "doc_id long, text_key long, at int, after boolean, words binary")
     return rows.select(F.struct("doc_id", "text_key").alias("doc"), "at", "after", "words").dropDuplicates(["doc", "at", "after"])
 
 
-def equal(a: np.ndarray, b: np.ndarray) -> int:
-    """Number of equal words at the beginning."""
-    n = min(len(a), len(b))
-    other = a[:n] != b[:n]
-    return int(other.argmax()) if other.any() else n
+def padded(flat: np.ndarray, first: np.ndarray, n: np.ndarray, width: int, none: int) -> np.ndarray:
+    """A row for each stretch of ``flat``; at least its last place is ``none``."""
+    out = np.full((len(n), width + 1), none, np.int64)
+    out[np.arange(width + 1) < n[:, None]] = flat[stretches(first, n)]
+    return out
+
+
+#: Ways across a change, words of either text, the least wanted first: fewer changed words are better.
+WAYS = np.array(sorted(((x, y) for x in range(CHANGED + 1) for y in range(CHANGED + 1) if x or y), key=lambda w: (-max(w), *w)))
+
+
+def all_extents(a: list[bytes], b: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How far two texts go alike, for each pair of hashed texts: the number of its rows, and all rows.
+
+    A row has the words of either text, and the shingles lost to the changes on the way, for none, one, ... changes.
+    """
+    na, nb = (np.fromiter(map(len, x), np.int64, len(x)) // 4 for x in (a, b))
+    flat_a, flat_b = (np.frombuffer(b"".join(x), np.uint32) for x in (a, b))
+    first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
+    longest = np.maximum(na, nb)
+    order = np.argsort(longest, kind="stable")  # pairs of like lengths share a matrix
+    pair, rows, k = [], [], 0
+    while k < len(order):
+        more = order[k:k + max(1, MATRIX // (int(longest[order[k]]) + 1))]
+        more = more[:max(1, MATRIX // (int(longest[more[-1]]) + 1))]
+        k += len(more)
+        la, lb, width = na[more], nb[more], int(longest[more[-1]])
+        x, y = padded(flat_a, first_a[more], la, width, -1), padded(flat_b, first_b[more], lb, width, -2)
+        i = (x != y).argmax(axis=1)
+        j, lost, now = i.copy(), np.zeros(len(more), np.int64), np.arange(len(more))
+        pair.append(more)
+        rows.append(np.stack([i, j, lost], axis=1))
+        for _ in range(CROSSINGS):
+            rest = np.minimum(la - i, lb - j)[now]
+            now = now[rest > SHINGLE - 1]
+            if not len(now):
+                break
+            n = int(rest.max()) + 1
+            ahead = np.arange(n + CHANGED)
+            own = x[now[:, None], np.minimum(i[now, None] + ahead, width)]
+            other = y[now[:, None], np.minimum(j[now, None] + ahead, width)]
+            best = np.max([(own[:, u:u + n] != other[:, v:v + n]).argmax(axis=1) * len(WAYS) + w for w, (u, v) in enumerate(WAYS.tolist())], axis=0)
+            equal, way = best // len(WAYS), WAYS[best % len(WAYS)]
+            crossed = equal >= SHINGLE
+            now, equal, way = now[crossed], equal[crossed], way[crossed]
+            i[now] += way[:, 0] + equal
+            j[now] += way[:, 1] + equal
+            lost[now] += SHINGLE - 1 + way.max(axis=1)
+            pair.append(more[now])
+            rows.append(np.stack([i[now], j[now], lost[now]], axis=1))
+    if not pair:
+        return np.empty(0, np.int64), np.empty((0, 3), np.int64)
+    whose = np.concatenate(pair)
+    return np.bincount(whose, minlength=len(a)), np.concatenate(rows)[np.argsort(whose, kind="stable")]
 
 
 def extents(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
-    """How far two texts go alike: words of either, and the shingles lost to the changes on the way, for none, one, ... changes."""
-    i = j = equal(a, b)
-    lost, out = 0, [(i, i, 0)]
-    for _ in range(CROSSINGS):
-        ways = [(equal(a[i + x:], b[j + y:]), -max(x, y), x, y) for x in range(CHANGED + 1) for y in range(CHANGED + 1) if x or y]
-        more, _, x, y = max(ways)
-        if more < SHINGLE:
-            break
-        i, j, lost = i + x + more, j + y + more, lost + SHINGLE - 1 + max(x, y)
-        out.append((i, j, lost))
-    return out
+    """``all_extents`` of one pair."""
+    return [tuple(x) for x in all_extents([a.astype(np.uint32).tobytes()], [b.astype(np.uint32).tobytes()])[1].tolist()]
 
 
 def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -321,9 +425,9 @@ def extended(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[{"words": i, "there": j, "lost": lost} for i, j, lost in extents(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32))]
-                   for x, y in zip(as_bytes(b.column(4)), as_bytes(b.column(5)), strict=True)]
-            options = pa.array(out, pa.list_(pa.struct([("words", pa.int32()), ("there", pa.int32()), ("lost", pa.int32())])))
+            n, rows = all_extents(as_bytes(b.column(4)), as_bytes(b.column(5)))
+            each = pa.StructArray.from_arrays([pa.array(x) for x in rows.T.astype(np.int32)], names=["words", "there", "lost"])
+            options = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), each)
             yield pa.RecordBatch.from_arrays([*b.columns[:4], options], names=["doc_id", "text_key", "start", "after", "options"])
 
     sized = pairs.select("doc.doc_id", "doc.text_key", "start", "after", "own", "other").mapInArrow(run, "doc_id long, text_key long, start int, after boolean, options array<struct<words:int,there:int,lost:int>>")
