@@ -87,7 +87,7 @@ def features(spark, d):
 
     What several parts read (one row per ticker and session, filing or estimate) is reduced from the raw tables once and written.
     """
-    b = materialize(V.bars(spark, d), "bars")
+    b = V.written_bars(spark, d)
     prices = O.price_features(b)
     f = O.benchmark_features(prices, b.where("ticker = 'T00'"), "market")
     f = f.withColumn("risk_regime", SN.risk_regime(F.col("market_volatility"), F.col("market_21d")))

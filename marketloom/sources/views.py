@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from marketloom.sources.shared import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -20,18 +22,47 @@ def ticker_of(key: Column | str) -> Column:
     return F.concat(F.lit("T"), F.lpad((key % 10).cast("string"), 2, "0"))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One OHLCV row per (ticker, trade_date)."""
-    li = table(spark, sf_dir, "lineitem").select(
+def bar_rows(lineitem: DataFrame) -> DataFrame:
+    """The raw rows of ``bars``."""
+    return lineitem.select(
         ticker_of("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("trade_date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "px")
-    return li.groupBy("ticker", "trade_date").agg(
+
+
+BAR_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "px"]
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One OHLCV row per (ticker, trade_date)."""
+    order = F.struct(*BAR_ORDER)
+    return bar_rows(table(spark, sf_dir, "lineitem")).groupBy("ticker", "trade_date").agg(
         F.min_by("px", order).alias("open"), F.max("px").alias("high"), F.min("px").alias("low"),
         F.max_by("px", order).alias("close"), F.sum("q").alias("volume"))
 
 
+def bar_bounds(rows: DataFrame) -> DataFrame:
+    """``ticker, trade_date, high, low, volume`` and the ``first`` and ``last`` order of each bar: fixed-size values, so rows are hashed and not sorted."""
+    return rows.groupBy("ticker", "trade_date").agg(F.max("px").alias("high"), F.min("px").alias("low"), F.sum("q").alias("volume"), F.min(_place()).alias("first"), F.max(_place()).alias("last"))
+
+
+def _place() -> Column:
+    return F.coalesce(F.col("l_orderkey").cast("long"), F.lit(-2**63))  # a null is the least, as in a struct
+
+
+def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``bars``, written. Only rows of orders that are the first or last of a bar are compared whole, so the raw rows need no sort."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    bounds = materialize(bar_bounds(bar_rows(lineitem)), "bar-bounds")
+    places = bounds.select(F.explode(F.array("first", "last")).alias("place")).distinct()
+    order, key = F.struct(*BAR_ORDER), ["ticker", "trade_date"]
+    # an order holds rows of other bars too, but none of a bar that come before its first or after its last order
+    prices = (bar_rows(lineitem.join(places, _place() == F.col("place"), "left_semi"))
+              .groupBy(F.col("ticker").alias("t"), F.col("trade_date").alias("d")).agg(F.min_by("px", order).alias("open"), F.max_by("px", order).alias("close")))
+    same = F.col("ticker").eqNullSafe(F.col("t")) & F.col("trade_date").eqNullSafe(F.col("d"))
+    return materialize(bounds.join(prices, same).select(*key, "open", "high", "low", "close", "volume"), "bars")
+
+
 def provider_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same bars from two feeds plus manual corrections, before consolidation."""
     b = bars(spark, sf_dir)

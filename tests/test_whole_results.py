@@ -113,3 +113,18 @@ def test_facts_of_reduced_quarters_do_not_read_orders(spark, tmp_path):
         df = view(spark, d, q)
         assert sorted(map(str, df.collect())) == sorted(map(str, view(spark, d).collect()))
         assert "o_orderkey" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_written_bars_are_the_bars_without_a_sort_of_raw_rows(spark, tmp_path):
+    day = lambda k: dt.date(2024, 1, k) if k else None
+    rows = [(o, n, (n or 0) * 3, s, day(k), float(e), float(q)) for o, n, s, k, e, q in [
+        (5, 1, 1, 2, 50, 5), (5, 2, 1, 2, 90, 3), (5, 2, 1, 2, 80, 4), (7, 1, 1, 2, 10, 1), (6, 1, 11, 2, 1000, 1), (None, 1, 1, 3, 30, 3), (None, 2, 1, 3, 40, 5), (1, 1, 1, 3, 7, 2),
+        (2, None, 2, 2, 8, 2), (2, 1, 2, 2, 9, 2), (None, 4, 2, None, 6, 3), (3, 1, None, 4, 6, 3), (3, 2, None, 4, 1, 3), (4, 1, None, None, 2, 8), (-2**63, 1, 3, 5, 1, 1), (None, 9, 3, 5, 3, 1)]]
+    schema = "l_orderkey long, l_linenumber int, l_partkey int, l_suppkey long, l_shipdate date, l_extendedprice double, l_quantity double"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for d in (str(tmp_path), "/root/testdata/sf0.001"):
+        want, got = views.bars(spark, d), views.written_bars(spark, d)
+        assert got.columns == want.columns and got.dtypes == want.dtypes
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = views.bar_bounds(views.bar_rows(views.table(spark, str(tmp_path), "lineitem")))._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
